@@ -22,9 +22,9 @@ def _entry(index: Column, names: tuple[str, ...]) -> Column:
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw tickets: integer arithmetic on the whole ``events`` table."""
     use_utc(spark)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    e, u = F.col("event_id"), F.col("user_id")
-    k = F.get_json_object("props", "$.k").cast("long")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn(
+        "k", F.get_json_object("props", "$.k").cast("long"))
+    e, u, k = F.col("event_id"), F.col("user_id"), F.col("k")
     j = u % 13
     first = _entry(e % 11, VIOLATIONS)
     second = _entry((e + 3) % 11, VIOLATIONS)

@@ -31,21 +31,32 @@ def weight_tenths(key: Column, weights: Mapping[str, float]) -> Column:
     return F.coalesce(F.create_map(*pairs)[key], F.lit(tenths(C.DEFAULT_WEIGHT)))
 
 
+# A list of plain quoted texts without escapes, split without a JSON parser.
+_SIMPLE_LIST = r'^\["[^"\\\x00-\x1f]*"(?:,"[^"\\\x00-\x1f]*")*\]$'
+
+
 def violation_list(text: Column) -> Column:
     """Violations of one ticket: null -> [], a JSON list -> its items, other text -> [text].
 
-    The JSON parser ignores anything after the first complete value. When the
+    Most texts are plain words or simple lists and need no parser. For the rest:
+    the JSON parser ignores anything after the first complete value. When the
     only ``]`` is the last visible character nothing can follow the list;
     otherwise the text must also parse inside a list and inside an object,
     which no trailing text survives.
     """
-    blanks = F.lit(" \t\r\n")
-    alone = F.locate("]", text) == F.length(F.rtrim(text, blanks))
+    nothing = F.array().cast("array<string>")
+    simple = F.split(F.substr(text, F.lit(3), F.length(text) - 4), '","')
+    alone = F.locate("]", text) == F.length(F.regexp_replace(text, r"[ \t\r\n]+$", ""))
     in_list = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<string>")
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     complete = alone | ((F.size(in_list) == 1) & in_object.isNotNull())
-    items = F.when(complete, F.try_variant_get(F.try_parse_json(text), "$", "array<string>"))
-    return F.coalesce(items, F.when(text.isNotNull(), F.array(text)), F.array().cast("array<string>"))
+    parsed = F.when(complete, F.try_variant_get(F.try_parse_json(text), "$", "array<string>"))
+    return (
+        F.when(text.isNull() | (text == "[]"), nothing)
+        .when(~text.rlike(r"^[ \t\r\n]*\["), F.array(text))
+        .when(text.rlike(_SIMPLE_LIST), simple)
+        .otherwise(F.coalesce(parsed, F.array(text)))
+    )
 
 
 def primary_violation(violations: Column) -> Column:
@@ -54,9 +65,32 @@ def primary_violation(violations: Column) -> Column:
 
 
 def severity_tenths(violations: Column) -> Column:
-    """Largest violation weight of the list, 1.0 when it is empty."""
-    weights = F.transform(violations, lambda v: weight_tenths(v, C.VIOLATION_WEIGHTS))
-    return F.coalesce(F.array_max(weights), F.lit(tenths(C.DEFAULT_WEIGHT)))
+    """Largest violation weight of the list, 1.0 when it is empty.
+
+    Weights are tried from the largest down; an unmapped item counts as 1.0, so
+    the smaller weights are left for lists made of such items alone.
+    """
+    names: dict[int, list[str]] = {}
+    for name, weight in C.VIOLATION_WEIGHTS.items():
+        names.setdefault(tenths(weight), []).append(name)
+    default = tenths(C.DEFAULT_WEIGHT)
+    light = [name for weight, group in names.items() if weight < default for name in group]
+    others = F.size(F.array_except(violations, F.array(*[F.lit(n) for n in light]))) > 0
+
+    def holds(group: list[str]) -> Column:
+        found = F.array_contains(violations, group[0])
+        for name in group[1:]:
+            found = found | F.array_contains(violations, name)
+        return found
+
+    levels = sorted(names, reverse=True)
+    rule = None
+    for weight in [w for w in levels if w > default]:
+        rule = F.when(holds(names[weight]), weight) if rule is None else rule.when(holds(names[weight]), weight)
+    rule = rule.when((F.size(violations) == 0) | others, default)
+    for weight in [w for w in levels if w < default]:
+        rule = rule.when(holds(names[weight]), weight)
+    return rule.otherwise(default)
 
 
 def road_tenths(location: Column, junction: Column) -> Column:
@@ -72,8 +106,12 @@ def road_tenths(location: Column, junction: Column) -> Column:
 
 
 def with_weights(df: DataFrame) -> DataFrame:
-    """The three weights, the exact score in thousandths and the primary violation."""
-    listed = df.withColumn("violations", violation_list(F.col("violation_type")))
+    """The three weights, the exact score in thousandths and the primary violation.
+
+    The list goes through a one-row explode: a later filter on the score is then
+    evaluated on the parsed list instead of repeating the parse per use.
+    """
+    listed = df.withColumn("violations", F.explode(F.array(violation_list(F.col("violation_type")))))
     weighed = listed.withColumns({
         "_size": weight_tenths(F.col("vehicle_type"), C.VEHICLE_WEIGHTS),
         "_type": severity_tenths(F.col("violations")),

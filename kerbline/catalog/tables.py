@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbline import constants as C
 from kerbline.functions import scoring
 from kerbline.session import use_utc
+from kerbline.sources import dimensions
 
 VEHICLES = (*C.VEHICLE_WEIGHTS, "SCHOOL VEHICLE")
 VIOLATIONS = (*C.VIOLATION_WEIGHTS, "FANCY NUMBER PLATE")
@@ -19,8 +20,12 @@ def _entry(index: Column, names: tuple[str, ...]) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), index.cast("int"))
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw tickets: integer arithmetic on the whole ``events`` table."""
+def tickets(spark: SparkSession, sf_dir: str, per_user: bool = False) -> DataFrame:
+    """Raw tickets: integer arithmetic on the whole ``events`` table.
+
+    ``per_user`` adds the user to the junction name, which gives many more
+    junctions with widely spread scores.
+    """
     use_utc(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn(
         "k", F.get_json_object("props", "$.k").cast("long"))
@@ -41,6 +46,8 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(j <= 9, F.concat(F.lit("BTP00"), j.cast("string"), F.lit(" - Junction")))
         .otherwise(F.concat(F.lit("Circle "), j.cast("string")))
     )
+    if per_user:
+        junction = F.when(j >= 2, F.concat(junction, F.lit(" #"), u.cast("string"))).otherwise(junction)
     status = F.when(k % 4 <= 1, "approved").when(k % 4 == 2, "rejected")
     outlier = F.when(e % 53 == 0, 5000 + (37 * e) % 1000 * 100).otherwise(0)
     return events.select(
@@ -57,6 +64,28 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, per_user: bool = False) -> DataFrame:
     """Scored tickets with the default approval probability."""
-    return scoring.score(tickets(spark, sf_dir)).withColumn("approval_probability", F.lit(C.DEFAULT_APPROVAL))
+    rows = scoring.score(tickets(spark, sf_dir, per_user))
+    return rows.withColumn("approval_probability", F.lit(C.DEFAULT_APPROVAL))
+
+
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipped corridors and one corridor per row of ``supplier``."""
+    s = F.col("s_suppkey")
+    lat = (12900 + s * 37 % 500) / 1000
+    lng = (77500 + s * 13 % 130) / 1000
+    path = F.array(*[
+        F.struct((lat + 0.003 * i).alias("lat"), (lng + 0.002 * i).alias("lng")) for i in range(3)])
+    derived = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.concat(F.lit("S"), s.cast("string")).alias("id"),
+        F.concat(F.lit("Road "), s.cast("string")).alias("name"),
+        path.alias("path"),
+        (s * 7 % 60 + 3).cast("int").alias("speed"),
+        (s * 11 % 40 + 45).cast("int").alias("free_flow_speed"),
+        _entry(s % 5, ("dark-red", "red", "orange", "yellow", "green")).alias("congestion"),
+        (s * 10 % 1500).cast("int").alias("affected_vehicles"),
+        (s * 3 % 90 / 10).alias("estimated_delay"),
+        (s % 3 != 0).alias("parking_suspected"),
+    )
+    return dimensions.corridors(spark).unionByName(derived)

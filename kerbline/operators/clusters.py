@@ -9,7 +9,7 @@ from kerbline import constants as C
 from kerbline.functions import bands, rounding, scoring
 from kerbline.operators.dbscan import Limits, dbscan_sites
 from kerbline.operators.junctions import fold_tickets, mean_cis, merged_sums
-from kerbline.operators.skew import lookup_join
+from kerbline.operators.skew import BROADCAST_ROWS, lookup_join
 from kerbline.session import checkpoint
 
 
@@ -35,7 +35,8 @@ def attach_clusters(df: DataFrame, eps: float = C.EPS_DEGREES, min_samples: int
     df = df.select(*columns).withColumn("_eligible", F.coalesce(high_impact(), F.lit(False)))
     if sample_cap is not None:
         picked = sample_rows(df.where("_eligible").select("id"), sample_cap).withColumn("_picked", F.lit(True))
-        df = df.join(F.broadcast(picked), "id", "left").withColumn("_eligible", F.col("_picked").isNotNull()).drop("_picked")
+        picked = F.broadcast(picked) if sample_cap <= BROADCAST_ROWS else picked
+        df = df.join(picked, "id", "left").withColumn("_eligible", F.col("_picked").isNotNull()).drop("_picked")
     sites = checkpoint(
         dbscan_sites(df.where("_eligible").select("id", "latitude", "longitude"), eps, min_samples, limits)
         .where(F.col("cluster_label") != C.NOISE).select("latitude", "longitude", "weight", "cluster_label"))

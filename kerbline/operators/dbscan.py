@@ -51,11 +51,11 @@ class Grid:
     sites: DataFrame
     cells: DataFrame
     eps: float
-    small: bool  # few enough sites to send any table of sites or cells to every task
+    small: bool  # few enough sites to be one partition, as adaptive execution would make them anyway
 
-    def sized(self, table: DataFrame) -> DataFrame:
-        """``table``, at most one row per site and salt, broadcast when the site count allows it."""
-        return F.broadcast(table) if self.small else table
+    def packed(self, table: DataFrame) -> DataFrame:
+        """``table`` in one partition when the counted sites are few: later steps then need no shuffle."""
+        return table.coalesce(1) if self.small else table
 
 
 def dbscan_sites(points: DataFrame, eps: float = C.EPS_DEGREES, min_samples: int = C.MIN_SAMPLES,
@@ -71,9 +71,9 @@ def dbscan_sites(points: DataFrame, eps: float = C.EPS_DEGREES, min_samples: int
         return points.where("false").select(
             "latitude", "longitude", F.lit(0).cast("long").alias("weight"), F.lit(False).alias("is_core"),
             F.lit(C.NOISE).alias("cluster_label"))
-    flagged = checkpoint(_flag_core(grid, min_samples))
+    flagged = checkpoint(grid.packed(_flag_core(grid, min_samples)))
     core = flagged.where("is_core")
-    core_cells = checkpoint(_core_cells(core))
+    core_cells = checkpoint(grid.packed(_core_cells(core)))
     numbered = _number_clusters(grid, core_cells, _links(grid, core, core_cells, limits), limits)
     return _assign(grid, flagged, numbered)
 
@@ -123,6 +123,8 @@ def _place_sites(points: DataFrame, eps: float, limits: Limits) -> Grid | None:
     limit = max(limits.hot_sites, size["total"] // HOT_KEYS)
     cells = cells.withColumn("salts", F.ceil(F.col("n_sites") / F.lit(limit)).cast("int"))
     small = size["total"] <= limits.broadcast_rows
+    if small:
+        sites, cells = sites.coalesce(1), cells.coalesce(1)
     if size["largest"] <= limit:
         return Grid(sites.withColumns({"salts": F.lit(1), "salt": F.lit(0)}), cells, eps, small)
     hot = cells.where(F.col("n_sites") > limit).select("cx", "cy", "salts")
@@ -139,14 +141,14 @@ def _per_salt(cells: DataFrame) -> DataFrame:
 def _flag_core(grid: Grid, min_samples: int) -> DataFrame:
     sites, cells = grid.sites, grid.cells
     weights = _per_salt(cells).select("cx", "cy", "salt", "cell_weight")
-    weighed = sites.join(grid.sized(weights), ["cx", "cy", "salt"])
+    weighed = sites.join(weights, ["cx", "cy", "salt"])
     dense = weighed.where(F.col("cell_weight") >= min_samples).withColumn("is_core", F.lit(True))
     sparse = weighed.where(F.col("cell_weight") < min_samples)
     values = sites.select("cx", "cy", "salt", "latitude", "longitude", F.col("weight").alias("value"))
     around = _around(grid, sparse, cells.withColumn("value", F.col("cell_weight")), values)
     counted = around.groupBy("q_lat", "q_lng").agg(F.sum("value").alias("near"))
     judged = sparse.join(
-        grid.sized(counted), (F.col("latitude") == F.col("q_lat")) & (F.col("longitude") == F.col("q_lng")), "left"
+        counted, (F.col("latitude") == F.col("q_lat")) & (F.col("longitude") == F.col("q_lng")), "left"
     ).withColumn("is_core", F.coalesce(F.col("near") >= min_samples, F.lit(False)))
     return dense.unionByName(judged.select(*dense.columns))
 
@@ -175,14 +177,14 @@ def _around(grid: Grid, queries: DataFrame, cells: DataFrame, sites: DataFrame)
     far_lng = F.greatest(F.col("lng1") - lng, lng - F.col("lng0"))
     boxes = cells.select("cx", "cy", "salts", "lat0", "lat1", "lng0", "lng1", F.col("value").alias("cell_value"))
     touched = (
-        reach.join(grid.sized(boxes), ["cx", "cy"])
+        reach.join(boxes, ["cx", "cy"])
         .where(gap_lat * gap_lat + gap_lng * gap_lng <= limit)
         .withColumn("inside", far_lat * far_lat + far_lng * far_lng <= limit)
         .withColumn("salt", F.explode(
             F.when(F.col("inside"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))))
         .select("q_lat", "q_lng", "cx", "cy", "salt", "inside", "cell_value")
     )
-    met = touched.join(grid.sized(sites), ["cx", "cy", "salt"], "left")
+    met = touched.join(sites, ["cx", "cy", "salt"], "left")
     hit = squared_distance(lat, lng, F.col("latitude"), F.col("longitude")) <= limit
     return met.select("q_lat", "q_lng", F.when(F.col("inside"), F.col("cell_value")).when(hit, F.col("value")).alias(
         "value")).where(F.col("value").isNotNull())
@@ -219,8 +221,8 @@ def _links(grid: Grid, core: DataFrame, core_cells: DataFrame, limits: Limits) -
         "a", "box_a", (F.col("a.cx") + F.col("dx")).alias("cx"), (F.col("a.cy") + F.col("dy")).alias("cy"))
     right = core_cells.select("cx", "cy", cell.alias("b"), box.alias("box_b"))
     near, far = _between("box_a", "box_b")
-    pairs = checkpoint(
-        left.join(grid.sized(right), ["cx", "cy"]).where(near <= limit).select("a", "b", (far <= limit).alias("linked")))
+    pairs = checkpoint(grid.packed(
+        left.join(right, ["cx", "cy"]).where(near <= limit).select("a", "b", (far <= limit).alias("linked"))))
     small = (F.col("a.n") * F.col("b.n") <= limits.direct_pairs) & (F.col("a.salts") == 1) & (F.col("b.salts") == 1)
     open_pairs = pairs.where(~F.col("linked")).withColumn("small", small)
     found = pairs.where("linked").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
@@ -229,7 +231,7 @@ def _links(grid: Grid, core: DataFrame, core_cells: DataFrame, limits: Limits) -
         found = found.unionByName(_compare_sites(grid, core, open_pairs.where("small"), limit))
     if waiting["large"]:
         found = found.unionByName(_refine(core, open_pairs.where(~F.col("small")), grid.eps))
-    return found.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    return grid.packed(found.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
 
 
 def _compare_sites(grid: Grid, core: DataFrame, pairs: DataFrame, limit: Column) -> DataFrame:
@@ -243,7 +245,7 @@ def _compare_sites(grid: Grid, core: DataFrame, pairs: DataFrame, limit: Column)
     slim = pairs.select(
         F.col("a.node").alias("a"), F.col("b.node").alias("b"),
         *[F.col(f"{s}.c{axis}").alias(f"{s}{axis}") for s in ("a", "b") for axis in ("x", "y")])
-    met = slim.join(grid.sized(side("a")), ["ax", "ay"]).join(grid.sized(side("b")), ["bx", "by"])
+    met = slim.join(side("a"), ["ax", "ay"]).join(side("b"), ["bx", "by"])
     hit = squared_distance(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) <= limit
     return met.where(hit).select("a", "b").distinct()
 
@@ -297,7 +299,7 @@ def _number_clusters(grid: Grid, core_cells: DataFrame, links: DataFrame, limits
     """Core cells with the number of their cluster."""
     sizes = {"broadcast_rows": limits.broadcast_rows, "hot_rows": limits.hot_rows}
     roots = connected_components(links, **sizes)
-    rooted = checkpoint(core_cells.join(grid.sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rooted = checkpoint(grid.packed(core_cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
     clusters = global_rank(
         rooted.groupBy("root").agg(F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("cells")),
         [F.asc("first_id"), F.asc("root")], "cluster_label", start=0)
@@ -311,16 +313,16 @@ def _assign(grid: Grid, flagged: DataFrame, numbered: DataFrame) -> DataFrame:
     """Cluster of every site: its cell's for core, the lowest adjacent for border, -1 else."""
     labels = _per_salt(numbered).select("cx", "cy", "salt", "cluster_label")
     core = flagged.where("is_core")
-    inside = core.join(grid.sized(labels), ["cx", "cy", "salt"]).select(
+    inside = core.join(labels, ["cx", "cy", "salt"]).select(
         "latitude", "longitude", "weight", "is_core", "cluster_label")
     others = flagged.where(~F.col("is_core"))
     touched = _around(
         grid, others, numbered.withColumn("value", F.col("cluster_label")),
-        core.join(grid.sized(labels), ["cx", "cy", "salt"]).select(
+        core.join(labels, ["cx", "cy", "salt"]).select(
             "cx", "cy", "salt", "latitude", "longitude", F.col("cluster_label").alias("value")))
     lowest = touched.groupBy("q_lat", "q_lng").agg(F.min("value").alias("lowest"))
     bordering = others.join(
-        grid.sized(lowest), (F.col("latitude") == F.col("q_lat")) & (F.col("longitude") == F.col("q_lng")), "left"
+        lowest, (F.col("latitude") == F.col("q_lat")) & (F.col("longitude") == F.col("q_lng")), "left"
     ).select("latitude", "longitude", "weight", "is_core",
              F.coalesce(F.col("lowest"), F.lit(C.NOISE)).alias("cluster_label"))
-    return inside.unionByName(bordering)
+    return grid.packed(inside.unionByName(bordering))

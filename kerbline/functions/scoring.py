@@ -32,7 +32,7 @@ def weight_tenths(key: Column, weights: Mapping[str, float]) -> Column:
 
 
 # A list of plain quoted texts without escapes, split without a JSON parser.
-_SIMPLE_LIST = r'^\["[^"\\\x00-\x1f]*"(?:,"[^"\\\x00-\x1f]*")*\]$'
+_SIMPLE_LIST = r'^\["[^"\\\x00-\x1f]*"(?:,"[^"\\\x00-\x1f]*")*\]\z'
 
 
 def violation_list(text: Column) -> Column:
@@ -46,7 +46,7 @@ def violation_list(text: Column) -> Column:
     """
     nothing = F.array().cast("array<string>")
     simple = F.split(F.substr(text, F.lit(3), F.length(text) - 4), '","')
-    alone = F.locate("]", text) == F.length(F.regexp_replace(text, r"[ \t\r\n]+$", ""))
+    alone = F.locate("]", text) == F.length(F.regexp_replace(text, r"[ \t\r\n]+\z", ""))
     in_list = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<string>")
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     complete = alone | ((F.size(in_list) == 1) & in_object.isNotNull())

@@ -52,11 +52,10 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, sprea
     settled = F.col("_hot").isNotNull() | ~F.col("_usable")
     for key in keys:
         settled = settled | F.col(key).isNull()
-    dealt = first.withColumn("_deal", F.when(settled, F.xxhash64(*spread)).otherwise(F.lit(0)))
-    dealt = dealt.withColumn("_lane", F.when(settled, F.lit(1)).otherwise(F.lit(0)))
-    rest = plain.select(*keys, *[F.col(v).alias(f"_cold_{v}") for v in values],
-                        F.lit(0).cast("long").alias("_deal"), F.lit(0).alias("_lane"))
-    joined = dealt.join(rest, [*keys, "_deal", "_lane"], "left")
+    # Both sides hash their keys, so the extra join key is no constant the optimizer could fold away.
+    dealt = first.withColumn("_deal", F.when(settled, F.xxhash64(*spread)).otherwise(F.xxhash64(*keys)))
+    rest = plain.select(*keys, *[F.col(v).alias(f"_cold_{v}") for v in values], F.xxhash64(*keys).alias("_deal"))
+    joined = dealt.join(rest, [*keys, "_deal"], "left")
     return joined.select(
         *[c for c in rows.columns if c != "_usable"],
         *[F.when(F.col("_usable"), F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}"))).alias(v)

@@ -15,7 +15,3 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lng * half_lng
     return F.lit(C.EARTH_RADIUS_KM) * 2.0 * F.atan2(F.sqrt(a), F.sqrt(1.0 - a))
 
-
-def squared_distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Squared Euclidean distance on raw degrees."""
-    return (lat1 - lat2) * (lat1 - lat2) + (lng1 - lng2) * (lng1 - lng2)

@@ -9,49 +9,47 @@ from kerbline.operators.skew import BROADCAST_ROWS, HOT_ROWS, lookup_join
 from kerbline.session import checkpoint
 
 
-def connected_components(edges: DataFrame, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame, packed: bool = False, broadcast_rows: int = BROADCAST_ROWS,
+                         hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, root) for every node of ``edges`` (hi, lo; hi > lo); root = smallest node of the component.
 
     Large-star and small-star steps (Kiveris et al., 2014). A step takes the
     smallest neighbour per node, which Spark pre-aggregates before the shuffle,
     and looks it up per edge with a join that tolerates hub nodes. Each round is
     written to the checkpoint folder; the loop ends when only stars are left.
+    ``packed`` says that the edges are few and stay in one partition.
     """
     sizes = {"broadcast_rows": broadcast_rows, "hot_rows": hot_rows}
-    current = checkpoint(edges.distinct())
+
+    def kept(table: DataFrame) -> DataFrame:
+        return checkpoint(table.coalesce(1) if packed else table)
+
+    def smallest(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+        if packed:
+            return rows.join(least.hint("shuffle_hash"), "u").coalesce(1)
+        return lookup_join(rows, least, ["u"], spread=["u", "v"], table_rows=2 * n, total=n, **sizes)
+
+    current = kept(edges.distinct())
     n, unfinished = _progress(current)
     while unfinished:
-        current = checkpoint(_small_star(_large_star(current, n, sizes), n, sizes))
+        # Large star: every larger neighbour of a node moves to the smallest node around it.
+        towards = current.selectExpr("inline(array(named_struct('u', hi, 'v', lo), named_struct('u', lo, 'v', hi)))")
+        around = towards.groupBy("u").agg(F.expr("least(u, min(v)) AS m"))
+        lifted = smallest(current.selectExpr("lo AS u", "hi AS v"), around, n).selectExpr("v AS u", "m AS v").distinct()
+        # Small star: a node and its smaller neighbours move to the smallest of them.
+        below = lifted.groupBy("u").agg(F.expr("min(v) AS m"))
+        moved = smallest(lifted, below, n).where("v <> m").selectExpr("v AS hi", "m AS lo")
+        moved = moved.unionByName(below.selectExpr("u AS hi", "m AS lo"))
+        current = kept((moved.coalesce(1) if packed else moved).distinct())
         n, unfinished = _progress(current)
-    leaves = current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    return leaves.unionByName(current.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    return current.selectExpr("inline(array(named_struct('node', hi, 'root', lo), named_struct('node', lo, 'root', lo)))").distinct()
 
 
 def _progress(edges: DataFrame) -> tuple[int, int]:
     """Number of edges, and of nodes that are not yet plain members or centres of a star."""
-    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
-        edges.select(F.col("lo").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
-    roles = ends.groupBy("node").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
-    linked = (F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") > 0))
-    counts = roles.agg(F.sum("below").alias("edges"), F.count_if(linked).alias("unfinished")).first()
+    ends = edges.selectExpr("inline(array(named_struct('node', hi, 'below', 1, 'above', 0), named_struct('node', lo, 'below', 0, 'above', 1)))")
+    roles = ends.groupBy("node").agg(F.expr("sum(below) AS below"), F.expr("sum(above) AS above"))
+    counts = roles.agg(
+        F.expr("sum(below) AS edges"),
+        F.expr("count_if(below > 1 OR (below = 1 AND above > 0)) AS unfinished")).first()
     return counts["edges"] or 0, counts["unfinished"]
-
-
-def _large_star(edges: DataFrame, n: int, sizes: dict) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest node around it."""
-    towards = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-        edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = towards.groupBy("u").agg(F.min("v").alias("v_min")).select("u", F.least("u", "v_min").alias("m"))
-    upward = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    linked = lookup_join(upward, least, ["u"], spread=["u", "v"], table_rows=2 * n, total=n, **sizes)
-    return linked.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-
-
-def _small_star(edges: DataFrame, n: int, sizes: dict) -> DataFrame:
-    """Link a node and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = lookup_join(down, least, ["u"], spread=["u", "v"], table_rows=n, total=n, **sizes)
-    moved = linked.where(F.col("v") != F.col("m")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-    own = least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))
-    return moved.unionByName(own).distinct()

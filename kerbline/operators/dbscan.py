@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline import constants as C
-from kerbline.functions.geo import squared_distance
 from kerbline.operators.components import connected_components
 from kerbline.operators.ranking import global_rank
 from kerbline.operators.skew import BROADCAST_ROWS, HOT_KEYS, HOT_ROWS, lookup_join
@@ -40,6 +39,7 @@ class Limits:
 
     hot_sites: int = 10_000            # sites of one cell before it is split over tasks
     direct_pairs: int = 4096           # site pairs of two cells compared outright
+    packed_sites: int = 20_000         # sites kept in one partition
     broadcast_rows: int = BROADCAST_ROWS
     hot_rows: int = HOT_ROWS
 
@@ -57,6 +57,15 @@ class Grid:
         """``table`` in one partition when the counted sites are few: later steps then need no shuffle."""
         return table.coalesce(1) if self.small else table
 
+    def join(self, left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+        """Join in place when packed, else as Spark plans it."""
+        return self.packed(left.join(right.hint("shuffle_hash"), on, how)) if self.small else left.join(right, on, how)
+
+    @property
+    def limit(self) -> str:
+        """Squared eps as an SQL literal."""
+        return f"{self.eps * self.eps!r}D"
+
 
 def dbscan_sites(points: DataFrame, eps: float = C.EPS_DEGREES, min_samples: int = C.MIN_SAMPLES,
                  limits: Limits = Limits()) -> DataFrame:
@@ -96,67 +105,56 @@ def _bits(eps: float) -> int:
 
 
 def _box() -> list[Column]:
-    return [
-        F.min("latitude").alias("lat0"), F.max("latitude").alias("lat1"),
-        F.min("longitude").alias("lng0"), F.max("longitude").alias("lng1"),
-    ]
+    return [F.expr(e) for e in (
+        "min(latitude) AS lat0", "max(latitude) AS lat1", "min(longitude) AS lng0", "max(longitude) AS lng1")]
 
 
 def _place_sites(points: DataFrame, eps: float, limits: Limits) -> Grid | None:
     """Distinct coordinates on the grid, and the cells; both written once."""
     bits = _bits(eps)
     fine = eps * CELL_SHARE / (1 << bits)
-    sites = (
-        points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .groupBy("latitude", "longitude")
-        .agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first_id"))
-        .withColumns({"fx": F.floor(F.col("latitude") / fine), "fy": F.floor(F.col("longitude") / fine)})
-        .withColumns({"cx": F.shiftright("fx", bits), "cy": F.shiftright("fy", bits)})
-    )
-    sites = checkpoint(sites)
+    sites = checkpoint(
+        points.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+        .groupBy("latitude", "longitude").agg(F.expr("count(1) AS weight"), F.expr("min(id) AS first_id"))
+        .selectExpr("*", f"floor(latitude / {fine!r}D) AS fx", f"floor(longitude / {fine!r}D) AS fy")
+        .selectExpr("*", f"shiftright(fx, {bits}) AS cx", f"shiftright(fy, {bits}) AS cy"))
     cells = checkpoint(sites.groupBy("cx", "cy").agg(
-        F.count(F.lit(1)).alias("n_sites"), F.sum("weight").alias("cell_weight"), *_box()))
-    size = cells.agg(F.sum("n_sites").alias("total"), F.max("n_sites").alias("largest")).first()
+        F.expr("count(1) AS n_sites"), F.expr("sum(weight) AS cell_weight"), *_box()))
+    size = cells.agg(F.expr("sum(n_sites) AS total"), F.expr("max(n_sites) AS largest")).first()
     if size["total"] is None:
         return None
     # More than `limit` sites in a cell: at most HOT_KEYS cells, so their list can be broadcast.
     limit = max(limits.hot_sites, size["total"] // HOT_KEYS)
-    cells = cells.withColumn("salts", F.ceil(F.col("n_sites") / F.lit(limit)).cast("int"))
-    small = size["total"] <= limits.broadcast_rows
+    cells = cells.selectExpr("*", f"CAST(ceil(n_sites / {limit}) AS INT) AS salts")
+    small = size["total"] <= limits.packed_sites
     if small:
         sites, cells = sites.coalesce(1), cells.coalesce(1)
     if size["largest"] <= limit:
-        return Grid(sites.withColumns({"salts": F.lit(1), "salt": F.lit(0)}), cells, eps, small)
+        return Grid(sites.selectExpr("*", "1 AS salts", "0 AS salt"), cells, eps, small)
     hot = cells.where(F.col("n_sites") > limit).select("cx", "cy", "salts")
-    salted = sites.join(F.broadcast(hot), ["cx", "cy"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("latitude", "longitude"), F.col("salts")).cast("int"))
+    salted = sites.join(F.broadcast(hot), ["cx", "cy"], "left").withColumn("salts", F.expr("coalesce(salts, 1)"))
+    salted = salted.selectExpr("*", "CAST(pmod(xxhash64(latitude, longitude), salts) AS INT) AS salt")
     return Grid(salted, cells, eps, small)
 
 
-def _per_salt(cells: DataFrame) -> DataFrame:
-    """Cells repeated for each part their sites are split into."""
-    return cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+def _per_salt(cells: DataFrame, value: str) -> DataFrame:
+    """A value of every cell, repeated for each part its sites are split into."""
+    return cells.selectExpr("cx", "cy", "explode(sequence(0, salts - 1)) AS salt", value)
 
 
 def _flag_core(grid: Grid, min_samples: int) -> DataFrame:
-    sites, cells = grid.sites, grid.cells
-    weights = _per_salt(cells).select("cx", "cy", "salt", "cell_weight")
-    weighed = sites.join(weights, ["cx", "cy", "salt"])
-    dense = weighed.where(F.col("cell_weight") >= min_samples).withColumn("is_core", F.lit(True))
-    sparse = weighed.where(F.col("cell_weight") < min_samples)
-    values = sites.select("cx", "cy", "salt", "latitude", "longitude", F.col("weight").alias("value"))
-    around = _around(grid, sparse, cells.withColumn("value", F.col("cell_weight")), values)
-    counted = around.groupBy("q_lat", "q_lng").agg(F.sum("value").alias("near"))
-    judged = sparse.join(
-        counted, (F.col("latitude") == F.col("q_lat")) & (F.col("longitude") == F.col("q_lng")), "left"
-    ).withColumn("is_core", F.coalesce(F.col("near") >= min_samples, F.lit(False)))
+    weighed = grid.join(grid.sites, _per_salt(grid.cells, "cell_weight"), ["cx", "cy", "salt"])
+    dense = weighed.where(f"cell_weight >= {min_samples}").selectExpr("*", "true AS is_core")
+    sparse = weighed.where(f"cell_weight < {min_samples}")
+    values = grid.sites.selectExpr("cx", "cy", "salt", "latitude", "longitude", "weight AS value")
+    around = _around(grid, sparse, grid.cells.withColumnRenamed("cell_weight", "value"), values)
+    counted = around.groupBy("q_lat", "q_lng").agg(F.expr("sum(value) AS near"))
+    judged = grid.join(
+        sparse, counted, F.expr("latitude = q_lat AND longitude = q_lng"), "left"
+    ).withColumn("is_core", F.expr(f"coalesce(near >= {min_samples}, false)"))
     return dense.unionByName(judged.select(*dense.columns))
 
 
-def _steps(name: str, first: int, last: int) -> Column:
-    return F.explode(F.sequence(F.lit(first), F.lit(last))).alias(name)
-
-
 def _around(grid: Grid, queries: DataFrame, cells: DataFrame, sites: DataFrame) -> DataFrame:
     """What lies within eps of each query point: (q_lat, q_lng, value).
 
@@ -164,93 +162,87 @@ def _around(grid: Grid, queries: DataFrame, cells: DataFrame, sites: DataFrame)
     cell the circle cuts is compared site by site, each site giving its
     ``value``. Sites of a large cell sit under several salts, all visited.
     """
-    limit = F.lit(grid.eps * grid.eps)
-    reach = queries.select(
-        F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lng"), "cx", "cy", _steps("dx", -REACH, REACH),
-    ).select("*", _steps("dy", -REACH, REACH)).select(
-        "q_lat", "q_lng", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    lat, lng = F.col("q_lat"), F.col("q_lng")
-    zero = F.lit(0.0)
-    gap_lat = F.greatest(F.col("lat0") - lat, lat - F.col("lat1"), zero)
-    gap_lng = F.greatest(F.col("lng0") - lng, lng - F.col("lng1"), zero)
-    far_lat = F.greatest(F.col("lat1") - lat, lat - F.col("lat0"))
-    far_lng = F.greatest(F.col("lng1") - lng, lng - F.col("lng0"))
-    boxes = cells.select("cx", "cy", "salts", "lat0", "lat1", "lng0", "lng1", F.col("value").alias("cell_value"))
+    reach = (
+        queries.selectExpr("latitude AS q_lat", "longitude AS q_lng", "cx", "cy", f"explode(sequence(-{REACH}, {REACH})) AS dx")
+        .selectExpr("*", f"explode(sequence(-{REACH}, {REACH})) AS dy")
+        .selectExpr("q_lat", "q_lng", "cx + dx AS cx", "cy + dy AS cy")
+    )
+    boxes = cells.selectExpr("cx", "cy", "salts", "lat0", "lat1", "lng0", "lng1", "value AS cell_value")
+    gaps = "greatest(lat0 - q_lat, q_lat - lat1, 0D) AS gap_lat", "greatest(lng0 - q_lng, q_lng - lng1, 0D) AS gap_lng"
+    spans = "greatest(lat1 - q_lat, q_lat - lat0) AS far_lat", "greatest(lng1 - q_lng, q_lng - lng0) AS far_lng"
     touched = (
-        reach.join(boxes, ["cx", "cy"])
-        .where(gap_lat * gap_lat + gap_lng * gap_lng <= limit)
-        .withColumn("inside", far_lat * far_lat + far_lng * far_lng <= limit)
-        .withColumn("salt", F.explode(
-            F.when(F.col("inside"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))))
-        .select("q_lat", "q_lng", "cx", "cy", "salt", "inside", "cell_value")
+        grid.join(reach, boxes, ["cx", "cy"]).selectExpr("*", *gaps, *spans)
+        .where(f"gap_lat * gap_lat + gap_lng * gap_lng <= {grid.limit}")
+        .withColumn("inside", F.expr(f"far_lat * far_lat + far_lng * far_lng <= {grid.limit}"))
+        .selectExpr("q_lat", "q_lng", "cx", "cy", "inside", "cell_value",
+                    "explode(if(inside, array(-1), sequence(0, salts - 1))) AS salt")
+    )
+    hit = ("(q_lat - latitude) * (q_lat - latitude) + (q_lng - longitude) * (q_lng - longitude) "
+           f"<= {grid.limit}")
+    return (
+        grid.join(touched, sites, ["cx", "cy", "salt"], "left")
+        .selectExpr("q_lat", "q_lng", f"CASE WHEN inside THEN cell_value WHEN {hit} THEN value END AS value")
+        .where("value IS NOT NULL")
     )
-    met = touched.join(sites, ["cx", "cy", "salt"], "left")
-    hit = squared_distance(lat, lng, F.col("latitude"), F.col("longitude")) <= limit
-    return met.select("q_lat", "q_lng", F.when(F.col("inside"), F.col("cell_value")).when(hit, F.col("value")).alias(
-        "value")).where(F.col("value").isNotNull())
 
 
 def _core_cells(core: DataFrame) -> DataFrame:
     """Cells with core sites: one node each, with the box and count of those sites."""
-    node = F.shiftleft("cx", 32).bitwiseOR(F.col("cy").bitwiseAND(F.lit(0xFFFFFFFF)))
     return core.groupBy("cx", "cy").agg(
-        F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts"), F.min("first_id").alias("first_id"), *_box(),
-    ).withColumn("node", node)
+        F.expr("count(1) AS n"), F.expr("max(salts) AS salts"), F.expr("min(first_id) AS first_id"), *_box(),
+    ).withColumn("node", F.expr("shiftleft(cx, 32) | (cy & 4294967295)"))
 
 
-def _between(a: str, b: str) -> tuple[Column, Column]:
-    """Squared smallest and largest distance between two boxes."""
-    near, far = [], []
+def _between(end: str) -> str:
+    """SQL for the squared smallest ("near") or largest ("far") distance between box_a and box_b."""
+    parts = []
     for axis in ("lat", "lng"):
-        a0, a1, b0, b1 = (F.col(f"{side}.{axis}{end}") for side in (a, b) for end in (0, 1))
-        gap = F.greatest(a0 - b1, b0 - a1, F.lit(0.0))
-        span = F.greatest(a1 - b0, b1 - a0)
-        near.append(gap * gap)
-        far.append(span * span)
-    return near[0] + near[1], far[0] + far[1]
+        a0, a1, b0, b1 = (f"box_{s}.{axis}{i}" for s in ("a", "b") for i in (0, 1))
+        part = f"greatest({a0} - {b1}, {b0} - {a1}, 0D)" if end == "near" else f"greatest({a1} - {b0}, {b1} - {a0})"
+        parts.append(f"{part} * {part}")
+    return " + ".join(parts)
 
 
 def _links(grid: Grid, core: DataFrame, core_cells: DataFrame, limits: Limits) -> DataFrame:
     """Pairs of core cells (hi, lo) that hold two core sites within eps of each other."""
-    limit = F.lit(grid.eps * grid.eps)
-    box = F.struct("lat0", "lat1", "lng0", "lng1")
-    cell = F.struct("node", "cx", "cy", "n", "salts")
-    ahead = (F.col("dx") > 0) | (F.col("dy") > 0)  # each pair of cells from one side only
-    left = core_cells.select(cell.alias("a"), box.alias("box_a"), _steps("dx", 0, REACH)).select(
-        "*", _steps("dy", -REACH, REACH)).where(ahead).select(
-        "a", "box_a", (F.col("a.cx") + F.col("dx")).alias("cx"), (F.col("a.cy") + F.col("dy")).alias("cy"))
-    right = core_cells.select("cx", "cy", cell.alias("b"), box.alias("box_b"))
-    near, far = _between("box_a", "box_b")
+    box, cell = "struct(lat0, lat1, lng0, lng1)", "struct(node, cx, cy, n, salts)"
+    left = (
+        core_cells.selectExpr(f"{cell} AS a", f"{box} AS box_a", f"explode(sequence(0, {REACH})) AS dx")
+        .selectExpr("*", f"explode(sequence(-{REACH}, {REACH})) AS dy")
+        .where("dx > 0 OR dy > 0")  # each pair of cells from one side only
+        .selectExpr("a", "box_a", "a.cx + dx AS cx", "a.cy + dy AS cy")
+    )
+    right = core_cells.selectExpr("cx", "cy", f"{cell} AS b", f"{box} AS box_b")
     pairs = checkpoint(grid.packed(
-        left.join(right, ["cx", "cy"]).where(near <= limit).select("a", "b", (far <= limit).alias("linked"))))
-    small = (F.col("a.n") * F.col("b.n") <= limits.direct_pairs) & (F.col("a.salts") == 1) & (F.col("b.salts") == 1)
-    open_pairs = pairs.where(~F.col("linked")).withColumn("small", small)
-    found = pairs.where("linked").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    waiting = open_pairs.agg(F.count_if("small").alias("small"), F.count_if(~F.col("small")).alias("large")).first()
+        grid.join(left, right, ["cx", "cy"]).where(f"{_between('near')} <= {grid.limit}")
+        .selectExpr("a", "b", f"{_between('far')} <= {grid.limit} AS linked",
+                    f"a.n * b.n <= {limits.direct_pairs} AND a.salts = 1 AND b.salts = 1 AS small")))
+    waiting = pairs.agg(
+        F.expr("count_if(NOT linked AND small) AS small"), F.expr("count_if(NOT linked AND NOT small) AS large")).first()
+    found = pairs.where("linked").selectExpr("a.node AS a", "b.node AS b")
     if waiting["small"]:
-        found = found.unionByName(_compare_sites(grid, core, open_pairs.where("small"), limit))
+        found = found.unionByName(_compare_sites(grid, core, pairs.where("NOT linked AND small")))
     if waiting["large"]:
-        found = found.unionByName(_refine(core, open_pairs.where(~F.col("small")), grid.eps))
-    return grid.packed(found.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+        found = found.unionByName(_refine(core, pairs.where("NOT linked AND NOT small"), grid))
+    return grid.packed(found.selectExpr("greatest(a, b) AS hi", "least(a, b) AS lo"))
+
 
+_PAIR = ("a.node AS a", "b.node AS b", "a.cx AS ax", "a.cy AS ay", "b.cx AS bx", "b.cy AS by")
 
-def _compare_sites(grid: Grid, core: DataFrame, pairs: DataFrame, limit: Column) -> DataFrame:
+
+def _compare_sites(grid: Grid, core: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cell pairs with few sites: compare these outright."""
-    plain = core.where(F.col("salts") == 1)
+    plain = core.where("salts = 1")
 
     def side(s: str) -> DataFrame:
-        return plain.select(F.col("cx").alias(f"{s}x"), F.col("cy").alias(f"{s}y"),
-                            F.col("latitude").alias(f"{s}_lat"), F.col("longitude").alias(f"{s}_lng"))
-
-    slim = pairs.select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"),
-        *[F.col(f"{s}.c{axis}").alias(f"{s}{axis}") for s in ("a", "b") for axis in ("x", "y")])
-    met = slim.join(side("a"), ["ax", "ay"]).join(side("b"), ["bx", "by"])
-    hit = squared_distance(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) <= limit
+        return plain.selectExpr(f"cx AS {s}x", f"cy AS {s}y", f"latitude AS {s}_lat", f"longitude AS {s}_lng")
+
+    met = grid.join(grid.join(pairs.selectExpr(*_PAIR), side("a"), ["ax", "ay"]), side("b"), ["bx", "by"])
+    hit = f"(a_lat - b_lat) * (a_lat - b_lat) + (a_lng - b_lng) * (a_lng - b_lng) <= {grid.limit}"
     return met.where(hit).select("a", "b").distinct()
 
 
-def _refine(core: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+def _refine(core: DataFrame, pairs: DataFrame, grid: Grid) -> DataFrame:
     """Cell pairs with many sites: split both boxes until one pair of parts decides.
 
     Per round a part splits into at most 16; part pairs that are too far apart
@@ -258,38 +250,31 @@ def _refine(core: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
     single site is a point, so its distance is exact. Only the facing edges of
     two cells stay open, never their full contents.
     """
-    limit = F.lit(eps * eps)
-    shift = _bits(eps)
-    box = F.struct("lat0", "lat1", "lng0", "lng1")
-    waiting = pairs.select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"),
-        *[F.col(f"{s}.c{axis}").alias(f"{s}{axis}") for s in ("a", "b") for axis in ("x", "y")])
-    found = None
+    shift = _bits(grid.eps)
+    waiting, found = pairs.selectExpr(*_PAIR), None
     while True:
         finer = max(0, shift - HALVINGS)
         if shift == 0:  # parts are the finest grid squares: take the sites themselves
-            parts = core.select("fx", "fy", F.col("fx").alias("kx"), F.col("fy").alias("ky"),
-                                F.col("latitude").alias("lat0"), F.col("latitude").alias("lat1"),
-                                F.col("longitude").alias("lng0"), F.col("longitude").alias("lng1"))
-            parts = parts.select(F.col("fx").alias("px"), F.col("fy").alias("py"), "kx", "ky", box.alias("box"))
+            parts = core.selectExpr(
+                "fx AS px", "fy AS py", "fx AS kx", "fy AS ky", "named_struct('lat0', latitude, 'lat1', latitude, "
+                "'lng0', longitude, 'lng1', longitude) AS box")
         else:
-            parts = core.groupBy(
-                F.shiftright("fx", shift).alias("px"), F.shiftright("fy", shift).alias("py"),
-                F.shiftright("fx", finer).alias("kx"), F.shiftright("fy", finer).alias("ky"),
-            ).agg(*_box()).select("px", "py", "kx", "ky", box.alias("box"))
+            keys = [F.expr(f"shiftright({f}, {by}) AS {name}") for f, by, name in (
+                ("fx", shift, "px"), ("fy", shift, "py"), ("fx", finer, "kx"), ("fy", finer, "ky"))]
+            parts = core.groupBy(*keys).agg(*_box()).selectExpr(
+                "px", "py", "kx", "ky", "struct(lat0, lat1, lng0, lng1) AS box")
 
         def side(s: str) -> DataFrame:
-            return parts.select(F.col("px").alias(f"{s}x"), F.col("py").alias(f"{s}y"), F.col("kx").alias(f"{s}kx"),
-                                F.col("ky").alias(f"{s}ky"), F.col("box").alias(f"box_{s}"))
+            return parts.selectExpr(f"px AS {s}x", f"py AS {s}y", f"kx AS {s}kx", f"ky AS {s}ky", f"box AS box_{s}")
 
-        near, far = _between("box_a", "box_b")
         tried = checkpoint(
-            waiting.join(side("a"), ["ax", "ay"]).join(side("b"), ["bx", "by"]).where(near <= limit)
-            .select("a", "b", F.col("akx").alias("ax"), F.col("aky").alias("ay"),
-                    F.col("bkx").alias("bx"), F.col("bky").alias("by"), (far <= limit).alias("linked")))
+            waiting.join(side("a"), ["ax", "ay"]).join(side("b"), ["bx", "by"])
+            .where(f"{_between('near')} <= {grid.limit}")
+            .selectExpr("a", "b", "akx AS ax", "aky AS ay", "bkx AS bx", "bky AS by",
+                        f"{_between('far')} <= {grid.limit} AS linked"))
         linked = tried.where("linked").select("a", "b").distinct()
         found = linked if found is None else found.unionByName(linked)
-        waiting = tried.where(~F.col("linked")).join(linked, ["a", "b"], "left_anti").drop("linked")
+        waiting = tried.where("NOT linked").join(linked, ["a", "b"], "left_anti").drop("linked")
         if shift == 0 or waiting.isEmpty():
             return found.distinct()
         shift = finer
@@ -298,31 +283,29 @@ def _refine(core: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
 def _number_clusters(grid: Grid, core_cells: DataFrame, links: DataFrame, limits: Limits) -> DataFrame:
     """Core cells with the number of their cluster."""
     sizes = {"broadcast_rows": limits.broadcast_rows, "hot_rows": limits.hot_rows}
-    roots = connected_components(links, **sizes)
-    rooted = checkpoint(grid.packed(core_cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))))
+    roots = connected_components(links, packed=grid.small, **sizes)
+    rooted = checkpoint(
+        grid.join(core_cells, roots, "node", "left").withColumn("root", F.expr("coalesce(root, node)")))
     clusters = global_rank(
-        rooted.groupBy("root").agg(F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("cells")),
-        [F.asc("first_id"), F.asc("root")], "cluster_label", start=0)
-    counts = clusters.agg(F.count(F.lit(1)).alias("n"), F.sum("cells").alias("cells")).first()
+        rooted.groupBy("root").agg(F.expr("min(first_id) AS first_id"), F.expr("count(1) AS cells")),
+        [F.asc("first_id"), F.asc("root")], "cluster_label", start=0).select("root", "cluster_label", "cells")
+    if grid.small:
+        return grid.join(rooted, clusters.coalesce(1), "root")
+    counts = clusters.agg(F.expr("count(1) AS n"), F.expr("sum(cells) AS cells")).first()
     return lookup_join(
-        rooted, clusters.select("root", "cluster_label", "cells"), ["root"], spread=["node"],
-        table_rows=counts["n"], total=counts["cells"] or 0, weight="cells", **sizes)
+        rooted, clusters, ["root"], spread=["node"], table_rows=counts["n"], total=counts["cells"] or 0,
+        weight="cells", **sizes)
 
 
 def _assign(grid: Grid, flagged: DataFrame, numbered: DataFrame) -> DataFrame:
     """Cluster of every site: its cell's for core, the lowest adjacent for border, -1 else."""
-    labels = _per_salt(numbered).select("cx", "cy", "salt", "cluster_label")
-    core = flagged.where("is_core")
-    inside = core.join(labels, ["cx", "cy", "salt"]).select(
-        "latitude", "longitude", "weight", "is_core", "cluster_label")
-    others = flagged.where(~F.col("is_core"))
+    core = grid.join(flagged.where("is_core"), _per_salt(numbered, "cluster_label"), ["cx", "cy", "salt"])
+    others = flagged.where("NOT is_core")
     touched = _around(
         grid, others, numbered.withColumn("value", F.col("cluster_label")),
-        core.join(labels, ["cx", "cy", "salt"]).select(
-            "cx", "cy", "salt", "latitude", "longitude", F.col("cluster_label").alias("value")))
-    lowest = touched.groupBy("q_lat", "q_lng").agg(F.min("value").alias("lowest"))
-    bordering = others.join(
-        lowest, (F.col("latitude") == F.col("q_lat")) & (F.col("longitude") == F.col("q_lng")), "left"
-    ).select("latitude", "longitude", "weight", "is_core",
-             F.coalesce(F.col("lowest"), F.lit(C.NOISE)).alias("cluster_label"))
-    return grid.packed(inside.unionByName(bordering))
+        core.selectExpr("cx", "cy", "salt", "latitude", "longitude", "cluster_label AS value"))
+    lowest = touched.groupBy("q_lat", "q_lng").agg(F.expr("min(value) AS lowest"))
+    bordering = grid.join(others, lowest, F.expr("latitude = q_lat AND longitude = q_lng"), "left")
+    columns = ["latitude", "longitude", "weight", "is_core"]
+    return grid.packed(core.select(*columns, "cluster_label").unionByName(
+        bordering.selectExpr(*columns, f"coalesce(lowest, {C.NOISE}) AS cluster_label")))

@@ -8,7 +8,7 @@ from kerbline.operators.dbscan import Limits, core_sites, dbscan_sites
 
 POINT = "id long, latitude double, longitude double"
 # Small sizes force every large-data branch: salted cells, refinement, hot keys, shuffled lookups.
-TINY = Limits(hot_sites=3, direct_pairs=1, broadcast_rows=0, hot_rows=2)
+TINY = Limits(hot_sites=3, direct_pairs=1, packed_sites=0, broadcast_rows=0, hot_rows=2)
 
 
 def brute_force(rows, eps, min_samples):
@@ -74,14 +74,14 @@ def test_random_points_match_brute_force(spark, limits):
 def test_facing_dense_cells_are_separated_exactly(spark):
     """Two dense columns of points a hair more, then a hair less, than eps apart."""
     rng = random.Random(2)
-    for gap, count in ((0.0015001, 2), (0.0014999, 1)):
+    for gap, count, packed in ((0.0015001, 2, 0), (0.0014999, 1, 20_000)):
         heights = [k * 0.0000101 for k in range(90)]
         rows = [(i, h, rng.random() * 1e-5 - 2e-5) for i, h in enumerate(heights)]
         rows += [(1000 + i, h, gap + rng.random() * 1e-5) for i, h in enumerate(heights)]
         rows += [(2000, 0.0004, 0.0), (2001, 0.0004, gap)]
         expected, _ = brute_force(rows, 0.0015, 15)
         assert len(set(expected.values())) == count
-        assert labels_of(spark, rows, 0.0015, 15, Limits(direct_pairs=64)) == expected
+        assert labels_of(spark, rows, 0.0015, 15, Limits(direct_pairs=64, packed_sites=packed)) == expected
 
 
 def test_eligible_rows_only_and_hot_coordinate(spark):

@@ -78,7 +78,7 @@ def test_components_match_union_find(spark):
     sparse = [tuple(sorted(rng.sample(range(200, 400), 2), reverse=True)) for _ in range(120)]
     edges = path + hub + sparse
     df = spark.createDataFrame(edges, "hi long, lo long")
-    for options in ({}, {"broadcast_rows": 0, "hot_rows": 10}):
+    for options in ({"packed": True}, {"broadcast_rows": 0, "hot_rows": 10}):
         got = {r.node: r.root for r in connected_components(df, **options).collect()}
         assert got == find_components(edges)
 

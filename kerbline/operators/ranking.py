@@ -49,7 +49,7 @@ def topsis(df: DataFrame, criteria: Sequence[str], weights: Mapping[str, float]
     contributes nothing; with no distance at all the closeness is 0.
     """
     share = {c: (weights or {}).get(c, 1.0 / len(criteria)) for c in criteria}
-    known = df.fillna(0.0, subset=list(criteria))
+    known = checkpoint(df.fillna(0.0, subset=list(criteria)))  # read twice: for the norms and for the rows
     stats = known.agg(*[
         f(c).alias(f"{n}_{c}")
         for c in criteria

@@ -109,6 +109,11 @@ def test_sample_cap(spark):
     picked = {r.id for r in got.where("cluster_label = 0").collect()}
     again = clusters.sample_rows(df.repartition(9).select("id"), 40)
     assert picked == {r.id for r in again.collect()}
+    smallest = df.orderBy(F.xxhash64("id")).limit(40)
+    assert picked == {r.id for r in smallest.collect()}
+    assert clusters.sample_rows(df, 100).count() == 100
+    few = clusters.sample_rows(spark.range(200_000), 3).collect()
+    assert few == spark.range(200_000).orderBy(F.xxhash64("id")).limit(3).collect()
 
 
 def test_nothing_to_cluster(spark):

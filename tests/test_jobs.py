@@ -48,6 +48,8 @@ def test_snapshot(spark, job):
     assert scored.where("approval_probability not between 0 and 1").count() == 0
     plan = scored.where("month = 2").select("cis")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+    plan = scored.where("cis >= 1.5").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(cis,1.5)" in plan and "ReadSchema: struct<id:bigint,cis:double>" in plan
 
 
 def test_model_round_trip(spark, job):

@@ -459,5 +459,4 @@ FROM top3 t JOIN units u ON u.position = t.position""", TOP3,
                 f"({i + 1}, {_text(u)}, {a!r}::DOUBLE, {o!r}::DOUBLE)" for i, (u, a, o, _, _) in enumerate(C.PATROL_UNITS[:3])) + ")"),
         "encoders": _scored(encoded),
         "approval_default": _scored("SELECT id, 0.85e0 AS approval_probability FROM scored"),
-        "sampled_input": _scored("SELECT id, latitude, longitude FROM scored WHERE milli >= 1500"),
     }

@@ -288,7 +288,8 @@ def _number_clusters(grid: Grid, core_cells: DataFrame, links: DataFrame, limits
         grid.join(core_cells, roots, "node", "left").withColumn("root", F.expr("coalesce(root, node)")))
     clusters = global_rank(
         rooted.groupBy("root").agg(F.expr("min(first_id) AS first_id"), F.expr("count(1) AS cells")),
-        [F.asc("first_id"), F.asc("root")], "cluster_label", start=0).select("root", "cluster_label", "cells")
+        [F.asc("first_id"), F.asc("root")], "cluster_label", start=0,
+    ).selectExpr("root", "CAST(cluster_label AS INT) AS cluster_label", "cells")
     if grid.small:
         return grid.join(rooted, clusters.coalesce(1), "root")
     counts = clusters.agg(F.expr("count(1) AS n"), F.expr("sum(cells) AS cells")).first()

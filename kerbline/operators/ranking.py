@@ -29,7 +29,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", star
     return (
         ordered.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_before") + within + start).cast("int"))
+        .withColumn(name, F.col("_before") + within + start)
         .drop("_part", "_place", "_before")
     )
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import ann, packing, topk_search, warc
+from kerbline.llm import ann, packing, quality, segmentation, topk_search, toxicity, warc
 from kerbline.llm.common import vectors_of
 
 SCALE = 1024
@@ -29,23 +29,49 @@ def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.exact_top_k(vectors, vectors.where("id % 100 = 0"), 10)
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor``; rows without id have none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(documents, labels.where(remainder(5) != 0).select("doc_id", F.col("toxic").alias("label")))
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op5_nbest_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return segmentation.digest(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_ann(spark: SparkSession, folder: str) -> DataFrame:
     vectors = vectors_of(table(spark, folder, "embeddings"), "vec_id", "embedding", "exists(vec, x -> x <> 0)")
     return ann.nearest(vectors, vectors.where("id % 100 = 0"), 10)
 
 
+def op9_quality_pu(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.train(documents, labels.where((remainder(3) != 1) & (F.col("quality") == 1)))
+    scored = quality.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_records(table(spark, folder, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op3_toxicity": op3_toxicity,
     "op4_bestfit_packing": op4_bestfit_packing,
+    "op5_nbest_pieces": op5_nbest_pieces,
     "op8_ann": op8_ann,
+    "op9_quality_pu": op9_quality_pu,
     "op10_warc": op10_warc,
 }
 

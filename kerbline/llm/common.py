@@ -49,14 +49,24 @@ class _Powers:
 _bytes_powers, _word_powers = _Powers(_BASE), _Powers(_STEP)
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of every word of ``data``; a word is a run of bytes other than ASCII white space."""
+def word_hashes(data: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word of ``data``; a word is a run of bytes other than ASCII white space.
+
+    ``prefixes`` adds a row of hashes for each length: those of the words' first bytes (0 for shorter words).
+    """
     inside = ~_SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     up, down = _bytes_powers.get(len(data) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTERS[data] * up[: len(data)])])
-    return mix((sums[ends] - sums[starts]) * down[starts]) ^ (ends - starts).astype(np.uint64), starts
+
+    def hashed(upto: np.ndarray) -> np.ndarray:
+        return mix((sums[upto] - sums[starts]) * down[starts]) ^ (upto - starts).astype(np.uint64)
+
+    if prefixes:
+        parts = [np.where(ends - starts > n, mix(hashed(np.minimum(ends, starts + n)) + np.uint64(n)), np.uint64(0)) for n in prefixes]
+        return np.stack([hashed(ends), *parts]), starts
+    return hashed(ends), starts
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -68,7 +78,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
 
 
-def texts_in_steps(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts_in_steps(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(position of the first text, word hashes, words per text) for runs of texts of bounded size.
 
     A text longer than the step forms a run of its own, so nothing is cut.
@@ -80,7 +90,7 @@ def texts_in_steps(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.nda
             size += len(texts[last]) + 1
             last += 1
         data = np.frombuffer(b"\n".join(texts[first:last]) + b"\n", np.uint8)
-        hashes, starts = word_hashes(data)
+        hashes, starts = word_hashes(data, prefixes)
         ends = np.cumsum([len(t) + 1 for t in texts[first:last]])
         yield first, hashes, np.diff(np.concatenate([[0], np.searchsorted(starts, ends)]))
         first = last

@@ -56,7 +56,9 @@ class Pieces:
             raise ValueError("a piece crosses words; this model has no chain of word lattices")
         self.longest = max(map(len, self.vocabulary))
         self.byte_ids, self.byte_score = byte_ids, min(s for s, _ in self.vocabulary.values() if s > RARE) - UNKNOWN
-        self.known: dict[str, tuple[bytes, float, float, int]] = {}
+        # Two generations of remembered words: when the young one is full, words not met since are forgotten.
+        self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
 
     def arcs(self, word: str, end: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
         """(start, score, ids) of the arcs that end at ``end``."""
@@ -96,17 +98,21 @@ class Pieces:
             last.append(arc)
         return best, second, last
 
-    def best_of(self, word: str) -> tuple[bytes, float, float, int]:
-        """(ids, score, cost of the second choice, number of pieces) of a word, remembered."""
+    def best_of(self, word: str) -> tuple[bytes, float, float]:
+        """(ids, score, cost of the second choice) of a word, remembered."""
         found = self.known.get(word)
         if found is None:
+            found = self.older.get(word)
+            if found is not None:
+                self.known[word] = found
+                return found
             best, second, last = self.forward(word)
             ids, end = [], len(word)
             while end:
                 end, piece = last[end]
                 ids.append(piece) if isinstance(piece, int) else ids.extend(reversed(piece))
             ids.reverse()
-            found = array("I", ids).tobytes(), best[-1], best[-1] - second[-1], len(ids)
+            found = array("I", ids).tobytes(), best[-1], best[-1] - second[-1]
             self.known[word] = found
         return found
 
@@ -124,18 +130,23 @@ class Pieces:
                 heapq.heappush(queue, (-(best[start] + score + behind), order, start, score + behind, arc + ids))
         return found
 
-    def n_best(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """(score, ids as 32-bit numbers) of the ``n`` best segmentations of a text; an empty text has one, without pieces."""
+    def n_best(self, text: str, n: int) -> list[tuple[float, bytes, bool]]:
+        """(score, ids as 32-bit numbers, whether they decode to the text) of the ``n`` best segmentations of a text.
+
+        An empty text has one, without pieces.
+        """
         if not text:
-            return [(0.0, b"")]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+            return [(0.0, b"", True)]
+        if len(self.known) > CACHED_WORDS // 2:
+            self.known, self.older = {}, self.known
         words = WORDS.findall(MARK + text.replace(" ", MARK))
         firsts = [self.best_of(w) for w in words]
         ids, total = [f[0] for f in firsts], sum(f[1] for f in firsts)
         loose = heapq.nsmallest(n - 1, ((f[2], i) for i, f in enumerate(firsts) if f[2] != float("inf")))
         # Combine the loose words' choices, cheapest first; choices[k] = (costs, segmentations) of the k-th loose word.
         choices = [self.segmentations(words[i], n) for _, i in loose]
+        spelt = [[b"".join(map(self.bytes_of.__getitem__, o[1])) for o in options] for options in choices]
+        exact = self.decode(memoryview(b"".join(ids)).cast("I")) == text
         queue, seen, out = [(0.0, (0,) * len(loose))], {(0,) * len(loose)}, []
         while queue and len(out) < n:
             cost, picks = heapq.heappop(queue)
@@ -143,7 +154,7 @@ class Pieces:
             for (_, i), options, pick in zip(loose, choices, picks):
                 if pick:
                     parts[i] = array("I", options[pick][1]).tobytes()
-            out.append((total - cost, b"".join(parts)))
+            out.append((total - cost, b"".join(parts), exact and all(s[pick] == s[0] for s, pick in zip(spelt, picks))))
             for k, options in enumerate(choices):
                 if picks[k] + 1 < len(options):
                     further = picks[:k] + (picks[k] + 1,) + picks[k + 1:]
@@ -174,7 +185,7 @@ def encode(documents: DataFrame, model: str, n: int = BEST) -> DataFrame:
     A null or empty text has one segmentation without pieces; a text with fewer
     segmentations gives fewer rows; repeated rows are encoded as often as they come.
     """
-    return _rows(documents, model, n, "doc_id string, rank int, score double, ids array<int>", lambda model, text, score, ids: (score, memoryview(ids).cast("I").tolist()))
+    return _rows(documents, model, n, "doc_id string, rank int, score double, ids array<int>", lambda score, ids, exact: (score, memoryview(ids).cast("I").tolist()))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -196,8 +207,8 @@ def digest(documents: DataFrame, model: str, n: int = BEST) -> DataFrame:
     """
     schema = "doc_id string, rank int, n_pieces long, score double, ids_crc32 long, exact boolean"
 
-    def summary(own: Pieces, text: str, score: float, ids: bytes) -> tuple:
-        return len(ids) // 4, score, zlib.crc32(ids), own.decode(memoryview(ids).cast("I")) == text
+    def summary(score: float, ids: bytes, exact: bool) -> tuple:
+        return len(ids) // 4, score, zlib.crc32(ids), exact
 
     return _rows(documents, model, n, schema, summary)
 
@@ -214,7 +225,7 @@ def _rows(documents: DataFrame, model: str, n: int, schema: str, summary) -> Dat
                 out = []
                 for doc_id, text in zip(part["doc_id"], part["text"]):
                     text = text if isinstance(text, str) else ""
-                    out += [(doc_id, rank, *summary(own, text, *found)) for rank, found in enumerate(own.n_best(text, n), 1)]
+                    out += [(doc_id, rank, *summary(*found)) for rank, found in enumerate(own.n_best(text, n), 1)]
                 yield pd.DataFrame(out, columns=names)
 
     rows = documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import ann, packing, quality, segmentation, topk_search, toxicity, warc
+from kerbline.llm import ann, ngram_join, packing, quality, segmentation, substring_dedup, topk_search, toxicity, warc
 from kerbline.llm.common import vectors_of
 
 SCALE = 1024
@@ -49,6 +49,14 @@ def op5_nbest_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return segmentation.digest(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, folder, "documents"))
+
+
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_ann(spark: SparkSession, folder: str) -> DataFrame:
     vectors = vectors_of(table(spark, folder, "embeddings"), "vec_id", "embedding", "exists(vec, x -> x <> 0)")
     return ann.nearest(vectors, vectors.where("id % 100 = 0"), 10)
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_bestfit_packing": op4_bestfit_packing,
     "op5_nbest_pieces": op5_nbest_pieces,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_ann": op8_ann,
     "op9_quality_pu": op9_quality_pu,
     "op10_warc": op10_warc,
@@ -84,6 +94,27 @@ ORACLES: dict[str, str] = {
                    FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored QUALIFY rank <= 10""",
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        p AS (SELECT doc_id, words, len(words) AS n, unnest(range(1, len(words) + 1)) AS i FROM d),
+        w AS (SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS phrase FROM p WHERE i + 12 <= n),
+        f AS (SELECT phrase, min(doc_id) AS first FROM w GROUP BY phrase),
+        r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM w JOIN f USING (phrase) WHERE first < doc_id),
+        k AS (SELECT p.doc_id, string_agg(p.words[p.i], ' ' ORDER BY p.i) FILTER (WHERE r.i IS NULL) AS kept, count(r.i) AS gone
+              FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = p.i GROUP BY p.doc_id)
+        SELECT d.doc_id, len(d.words) AS n_words, coalesce(k.gone, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op7_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                              '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + least(len(words), 5) - 1], ' ') AS shingle
+              FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, CASE WHEN len(words) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+                  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+                  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM w LEFT JOIN n USING (doc_id)
+        JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
         g AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import ann, ngram_join, packing, quality, segmentation, substring_dedup, topk_search, toxicity, warc
+from kerbline.llm import ann, line_dedup, ngram_join, packing, quality, segmentation, substring_dedup, topk_search, toxicity, warc
 from kerbline.llm.common import vectors_of
 
 SCALE = 1024
@@ -34,6 +34,10 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def op2_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(table(spark, folder, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = toxicity.train(documents, labels.where(remainder(5) != 0).select("doc_id", F.col("toxic").alias("label")))
@@ -75,6 +79,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_fuzzy_lines": op2_fuzzy_lines,
     "op3_toxicity": op3_toxicity,
     "op4_bestfit_packing": op4_bestfit_packing,
     "op5_nbest_pieces": op5_nbest_pieces,

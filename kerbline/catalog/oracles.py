@@ -51,7 +51,11 @@ ACTIONS = ((8.0, "Tow Immediately"), (5.0, "Deploy Officers"))
 STATUSES = ((8.0, "critical"), (5.0, "active"))
 
 
-def _tickets(name: str, junction_suffix: str) -> str:
+LATITUDE = ("(129000 + j * 100 + (e % 7 - 3) * 2 + CASE WHEN e % 53 = 0 THEN 5000 + (37 * e) % 1000 * 100 ELSE 0 END) / 10000")
+LONGITUDE = "(775000 + j * 100 + ((e // 7) % 7 - 3) * 2) / 10000"
+
+
+def _tickets(name: str, junction_suffix: str, latitude: str = LATITUDE, longitude: str = LONGITUDE) -> str:
     return f"""{name}_raw AS (
   SELECT e AS id, ts AS created_datetime,
     {_case('(e + u) % 15', VEHICLES)} AS vehicle_type,
@@ -66,8 +70,7 @@ def _tickets(name: str, junction_suffix: str) -> str:
          ELSE 'Circle ' || j{junction_suffix} END AS junction_name,
     CASE WHEN u % 9 <> 0 THEN 'Station ' || (u % 9) END AS police_station,
     CASE WHEN k % 4 <= 1 THEN 'approved' WHEN k % 4 = 2 THEN 'rejected' END AS validation_status,
-    (129000 + j * 100 + (e % 7 - 3) * 2 + CASE WHEN e % 53 = 0 THEN 5000 + (37 * e) % 1000 * 100 ELSE 0 END) / 10000 AS latitude,
-    (775000 + j * 100 + ((e // 7) % 7 - 3) * 2) / 10000 AS longitude
+    {latitude} AS latitude, {longitude} AS longitude
   FROM (SELECT event_id AS e, user_id AS u, user_id % 13 AS j, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
 {name}_clean AS (
   SELECT * REPLACE (coalesce(vehicle_type, 'UNKNOWN') AS vehicle_type, coalesce(location, 'UNKNOWN') AS location,
@@ -94,6 +97,14 @@ def _tickets(name: str, junction_suffix: str) -> str:
 
 TICKETS = _tickets("scored", "")
 BY_USER = _tickets("by_user", " || ' #' || u")
+STREETS = _tickets("scored", "", """(CASE WHEN e % 9 <= 4 THEN 12800000 + e % 40 * 10000 + e % 5 * 20 WHEN e % 9 <= 6 THEN 12950000 + e % 13 * 10
+      WHEN e % 9 = 7 THEN 12801400 + e % 40 * 10000 + e % 3 * 50 ELSE 12700000 + (e * 104729) % 500000 END) / 1000000""",
+    """(CASE WHEN e % 9 <= 4 THEN 77400000 + (e * 7919) % 2000 * 10 WHEN e % 9 <= 6 THEN 77600000 + (e // 13) % 13 * 10
+      WHEN e % 9 = 7 THEN 77400000 + (e * 31) % 2000 * 10 ELSE 77300000 + (e * 15485863) % 500000 END) / 1000000""")
+ODD_LATITUDE = ("CASE e % 20 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN NULL WHEN 2 THEN 'inf'::DOUBLE ELSE " + LATITUDE + " END")
+ODD_LONGITUDE = "CASE e % 20 WHEN 3 THEN 'nan'::DOUBLE WHEN 4 THEN '-inf'::DOUBLE ELSE " + LONGITUDE + " END"
+ODD = _tickets("scored", "", ODD_LATITUDE, ODD_LONGITUDE)
+PROBABILITY = "CASE id % 10 WHEN 0 THEN NULL WHEN 1 THEN 0.5 WHEN 2 THEN 0.6999 WHEN 3 THEN 0.7 ELSE (75 + id % 10) / 100 END::DOUBLE"
 
 
 def _mean(column: str) -> str:
@@ -175,7 +186,7 @@ MULTIPLIER_ROWS = " UNION ALL ".join(
 TREND_TEXT = " || ',' || ".join(f"'{h:02d}:00=' || CAST({norm(f'h{h}')} AS VARCHAR)" for h in C.TREND_HOURS)
 
 EPS2 = f"({C.EPS_DEGREES!r}::DOUBLE * {C.EPS_DEGREES!r}::DOUBLE)"
-CLUSTERS = f"""eligible AS (SELECT * FROM scored WHERE milli >= 1500),
+_CLUSTERS = f"""eligible AS (SELECT * FROM scored WHERE milli >= 1500 AND PROBABLE AND isfinite(latitude) AND isfinite(longitude)),
 sites AS (SELECT latitude, longitude, count(*) AS weight, min(id) AS first_id FROM eligible GROUP BY latitude, longitude),
 near AS (
   SELECT a.first_id AS a, b.first_id AS b, b.weight
@@ -192,13 +203,16 @@ site_labels AS (
   LEFT JOIN near n ON n.a = s.first_id LEFT JOIN numbered other ON other.site = n.b
   GROUP BY s.latitude, s.longitude),
 labelled AS (
-  SELECT t.*, CASE WHEN t.milli >= 1500 THEN coalesce(l.label, -1) ELSE -1 END AS cluster_label
+  SELECT t.*, CASE WHEN t.milli >= 1500 AND PROBABLE THEN coalesce(l.label, -1) ELSE -1 END AS cluster_label
   FROM scored t LEFT JOIN site_labels l ON l.latitude = t.latitude AND l.longitude = t.longitude),
 clusters AS (
   SELECT cluster_label, {_mean('latitude')} AS lat, {_mean('longitude')} AS lng, count(*) AS violations_count,
     {RAW} AS avg_cis, {MILLI} * 375 / 1e4 AS economic_loss, arg_min(police_station, id) AS police_station
   FROM labelled WHERE cluster_label <> -1 GROUP BY cluster_label)"""
 
+CLUSTERS = _CLUSTERS.replace("PROBABLE", "true")
+LIKELY_CLUSTERS = _CLUSTERS.replace("PROBABLE", f"({PROBABILITY}) >= 0.7")
+
 LITERAL_ROADS = " UNION ALL ".join(
     "SELECT {} AS id, {} AS name, [{}] AS path, {} AS speed, {} AS free_flow_speed, {} AS congestion, "
     "{}::DOUBLE AS estimated_delay, {} AS parking_suspected".format(
@@ -255,7 +269,8 @@ def _feed() -> str:
     return _user_junctions(
         f"""SELECT position AS id, junction_name AS name, {known('jurisdiction', _text(d['jurisdiction']))} AS jurisdiction,
   violations, cis AS raw_cis, n AS cis, {bands('n', STATUSES, 'neutral')} AS status,
-  {bands('n', ACTIONS, 'Routine Patrol')} AS action, recommendation, least(50e0, {np1('n * 5')}) AS expected_improvement,
+  {bands('n', ACTIONS, 'Routine Patrol')} AS action,
+  coalesce(nullif(recommendation, ''), {bands('n', ACTIONS, 'Routine Patrol')}) AS recommendation, least(50e0, {np1('n * 5')}) AS expected_improvement,
   {known('vehicle_mix', _text(d['vehicle_mix']))} AS vehicle_mix, {known('mix_data', _text(mix))} AS mix_data,
   {known('peak_hour', _text(d['peak_hour']))} AS peak_hour, {known('peak_hour_val', '9')} AS peak_hour_val,
   {known('peak_hour_violations', '100')} AS peak_hour_violations,
@@ -267,12 +282,15 @@ def _feed() -> str:
   {known('lat', '12.9716::DOUBLE')} AS lat, {known('lng', '77.5946::DOUBLE')} AS lng, {trend} AS trend
 FROM joined""",
         _top(FEED_LINES),
+        """published AS (
+  SELECT * REPLACE (CASE WHEN position % 7 = 3 THEN '' WHEN position % 7 = 5 THEN junction_name || ' (old)' ELSE junction_name END AS junction_name,
+    CASE WHEN position % 5 = 0 THEN '' WHEN position % 5 = 1 THEN NULL ELSE recommendation END AS recommendation) FROM top)""",
         f"""joined AS (
-  SELECT t.*, s.junction_name LIKE 'BTP%' AS known, s.jurisdiction, s.lat, s.lng, s.raw_cis AS base_cis, {norm('t.cis')} AS n,
+  SELECT t.*, s.junction_name IS NOT NULL AS known, s.jurisdiction, s.lat, s.lng, s.raw_cis AS base_cis, {norm('t.cis')} AS n,
     (s.milli * 375) // (10000 * 150) AS cost, (s.milli * 345) // (1000000 * 150) AS carbon,
     m.vehicle_mix, m.mix_data, p.peak_hour, p.peak_hour_val, p.peak_hour_violations, x.*EXCLUDE (junction_name)
-  FROM top t JOIN summary s USING (junction_name) JOIN mix_text m USING (junction_name)
-  JOIN peak p USING (junction_name) JOIN multiplier x USING (junction_name))""")
+  FROM published t LEFT JOIN summary s USING (junction_name) LEFT JOIN mix_text m USING (junction_name)
+  LEFT JOIN peak p USING (junction_name) LEFT JOIN multiplier x USING (junction_name) WHERE t.junction_name <> '')""")
 
 
 TOP5 = "top5 AS (SELECT * FROM hotspots ORDER BY cis DESC, id LIMIT 5)"
@@ -281,6 +299,7 @@ REASONS = (
     (8.0, "Critical bottleneck showing extreme peak-hour congestion and heavy vehicle footprint. Immediate towing enforcement required."),
     (5.0, "High violation density and sustained peak-hour concentration. Scheduled officer deployment recommended to clear transit capacity."),
 )
+SPLIT = "(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8))::BIGINT % 10 < 8)"
 TIERS = bands("avg_cis", ((4.0, "CRITICAL"), (2.5, "HIGH")), "MEDIUM")
 
 
@@ -300,6 +319,30 @@ def _topsis() -> str:
         f"distances AS (SELECT cluster_label, sqrt({gap['max']}) AS near, sqrt({gap['min']}) AS far FROM criteria)")
 
 
+def _raw_queries() -> dict[str, str]:
+    """What the texts of ``raw_texts`` stand for."""
+    first, second = (_case(f"{x} % 11", VIOLATIONS) for x in ("id", "(id + 3)"))
+    return {
+        "mixed_times": _scored("""SELECT 'T' || id AS id, strftime(CASE id % 6 WHEN 1 THEN date_trunc('second', created_datetime) - INTERVAL 330 MINUTE
+  WHEN 2 THEN date_trunc('minute', created_datetime) WHEN 5 THEN NULL ELSE date_trunc('second', created_datetime) END, '%Y-%m-%d %H:%M:%S') AS created FROM scored"""),
+        "rejected_values": _scored("""SELECT count(*) FILTER (id % 6 = 5) AS created_datetime, count(*) FILTER (id % 11 = 0) AS latitude,
+  count(*) FILTER (id % 13 = 0) AS longitude FROM scored"""),
+        "odd_violation_texts": _scored(f"""SELECT 'T' || id AS id, CASE id % 6 WHEN 0 THEN {first} || '|' || {second} WHEN 1 THEN '{{"type": "' || {first} || '"}}'
+  WHEN 2 THEN '["' || {first} || '"] extra' WHEN 3 THEN {first} || ' "x"' WHEN 4 THEN {first} ELSE {first} || ', ' || {second} END AS violations FROM scored"""),
+    }
+
+
+def _visits(left: float) -> str:
+    """Patrol plan: the 15 clusters with most loss left, visited by their full loss."""
+    return _clustered(
+        """SELECT patrol, string_agg('Hotspot #' || cluster_label, ' -> ' ORDER BY rank) AS route,
+  round(sum(economic_loss), 4) AS loss, round(avg(avg_cis), 6) AS avg_cis FROM visits GROUP BY patrol""",
+        f"""considered AS (SELECT * FROM clusters ORDER BY economic_loss * {left!r}::DOUBLE DESC, economic_loss DESC, cluster_label LIMIT 15)""",
+        f"""visits AS (
+  SELECT *, (rank - 1) // {PER_UNIT} + 1 AS patrol
+  FROM (SELECT *, row_number() OVER (ORDER BY economic_loss DESC, cluster_label) AS rank FROM considered) WHERE rank <= {UNITS * PER_UNIT})""")
+
+
 def build() -> dict[str, str]:
     loss = f"({MILLI} * 375 / 1e4 * {LEFT})"
     carbon = f"({MILLI} * 345 / 1e6 * {LEFT})"
@@ -403,7 +446,7 @@ FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.juncti
         "corridor_links": _user_junctions("SELECT * FROM linked", ROADS, LINKS),
         "corridor_hotspots": _user_junctions(
             """SELECT l.id, row_number() OVER (PARTITION BY l.id ORDER BY l.hotspot_id) - 1 AS place, l.name,
-  CASE WHEN h.cis >= 7 THEN h.status ELSE 'Inactive' END AS status
+  h.status
 FROM linked l JOIN hotspots h ON h.name = l.name""", ROADS, LINKS),
         "corridor_stats": _sql(
             """SELECT id, name, CASE WHEN speed < 12 THEN 'Critical' WHEN speed < 20 THEN 'Severe' WHEN speed < 30 THEN 'Heavy'
@@ -441,13 +484,8 @@ FROM sites s LEFT JOIN core c ON c.site = s.first_id"""),
 FROM (SELECT cluster_label, unnest(violations) AS violation FROM labelled WHERE cluster_label <> -1)
 GROUP BY cluster_label, violation"""),
         "weight_contributions": _clustered(weights),
-        "patrol_assignment": _clustered(
-            """SELECT patrol, string_agg('Hotspot #' || cluster_label, ' -> ' ORDER BY rank) AS route,
-  round(sum(economic_loss), 4) AS loss, round(avg(avg_cis), 6) AS avg_cis FROM visits GROUP BY patrol""",
-            f"""visits AS (
-  SELECT *, (rank - 1) // {PER_UNIT} + 1 AS patrol
-  FROM (SELECT *, row_number() OVER (ORDER BY economic_loss DESC, cluster_label) AS rank FROM clusters)
-  WHERE rank <= least(15, {UNITS} * {PER_UNIT}))"""),
+        "patrol_assignment": _visits((100 - COMPLIANCE) / 100.0),
+        "patrol_assignment_full": _visits(0.0),
         "dispatch_top3": _user_junctions(
             f"""SELECT {_case('position - 1', C.DISPATCH_NAMES)} AS unit, name AS target,
   CASE WHEN position = 3 THEN 'Tow Vehicle' ELSE action END AS action, {_case('position - 1', C.DISPATCH_CODES)} AS code
@@ -458,5 +496,22 @@ FROM top3 t JOIN units u ON u.position = t.position""", TOP3,
             "units(position, unit, a, o) AS (VALUES " + ", ".join(
                 f"({i + 1}, {_text(u)}, {a!r}::DOUBLE, {o!r}::DOUBLE)" for i, (u, a, o, _, _) in enumerate(C.PATROL_UNITS[:3])) + ")"),
         "encoders": _scored(encoded),
-        "approval_default": _scored("SELECT id, 0.85e0 AS approval_probability FROM scored"),
+        "approval_split": _scored(f"""SELECT is_train, count(*) AS n, CAST(count(*) FILTER (validation_status = 'approved') AS DOUBLE) AS approved
+  FROM (SELECT *, {SPLIT} AS is_train FROM scored WHERE validation_status IN ('approved', 'rejected')) GROUP BY is_train"""),
+        "approval_scores": _scored("SELECT id, true AS is_probability FROM scored"),
+        "approval_logloss": _scored(f"SELECT count(*) AS n, true AS is_bounded FROM scored WHERE validation_status IN ('approved', 'rejected') AND NOT {SPLIT}"),
+        "approval_default": _scored("SELECT id, 0.85e0 AS approval_probability FROM scored WHERE validation_status IS NULL"),
+        "dbscan_odd_coordinates": _sql("SELECT id, cluster_label FROM labelled", ODD, CLUSTERS),
+        "cluster_summary_odd": _clustered(
+            f"SELECT cluster_label, {_mean('latitude')} AS lat, {_mean('longitude')} AS lng, count(*) AS violations_count FROM odd GROUP BY cluster_label",
+            f"""odd AS (SELECT cluster_label, CASE WHEN isfinite(la) THEN la END AS latitude, CASE WHEN isfinite(lo) THEN lo END AS longitude
+  FROM (SELECT cluster_label, CASE WHEN id % 20 IN (0, 1, 2) THEN NULL ELSE latitude END AS la, CASE WHEN id % 20 IN (3, 4) THEN NULL ELSE longitude END AS lo
+        FROM labelled WHERE cluster_label <> -1))"""),
+        "dbscan_streets": _sql("SELECT id, cluster_label FROM labelled", STREETS, CLUSTERS),
+        "cluster_summary_streets": _sql("SELECT * FROM clusters", STREETS, CLUSTERS),
+        "dbscan_labels_scored": _sql("SELECT id, cluster_label FROM labelled", TICKETS, LIKELY_CLUSTERS),
+        "hotspot_audit_scored": audit.replace(CLUSTERS, LIKELY_CLUSTERS).replace(
+            "850000 * c.violations_count / (c.violations_count * 10000)", "c.approval / (c.violations_count * 10000)").replace(
+            f"{MILLI} * 375 / 1e4 AS economic_loss, arg_min", f"CAST(sum(CAST(round({PROBABILITY} * 1e6) AS BIGINT)) AS BIGINT) AS approval, {MILLI} * 375 / 1e4 AS economic_loss, arg_min"),
+        **_raw_queries(),
     }

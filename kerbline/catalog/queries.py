@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline import constants as C
-from kerbline.catalog.tables import roads, scored, tickets
+from kerbline.catalog.tables import (
+    odd_coordinates, published, raw_texts, roads, scored, street_tickets, tickets, with_probability,
+)
 from kerbline.functions import bands, rounding, scoring
 from kerbline.operators import (
     approval, audit, clusters, corridors, dbscan, dispatch, explore, feed, junctions, ranking,
 )
 from kerbline.sources import dimensions
+from kerbline.sources.tickets import rejected_counts, type_violations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +35,11 @@ def _hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return junctions.junction_hotspots(scored(spark, sf_dir, per_user=True))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hotspot records without their rank, which totals do not need."""
+    return junctions.junction_records(scored(spark, sf_dir, per_user=True))
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.attach_clusters(scored(spark, sf_dir))
 
@@ -85,6 +93,25 @@ def cis_cost(spark, sf_dir):
         "id", "cis", "delay_hours", "economic_loss_inr", "fuel_wasted_liters", "co2_wasted_kg")
 
 
+@query
+def mixed_times(spark, sf_dir):
+    """Time texts in several spellings."""
+    return type_violations(raw_texts(spark, sf_dir)).select("id", F.col("created_datetime").cast("string").alias("created"))
+
+
+@query
+def rejected_values(spark, sf_dir):
+    """How many texts of each typed column did not parse."""
+    return rejected_counts(raw_texts(spark, sf_dir))
+
+
+@query
+def odd_violation_texts(spark, sf_dir):
+    """Violation lists written as objects, with trailing text, escapes and blanks."""
+    rows = type_violations(raw_texts(spark, sf_dir)).select("id", scoring.violation_list(F.col("violation_type")).alias("violations"))
+    return rows.select("id", F.array_join("violations", "|").alias("violations"))
+
+
 # --- junctions ---------------------------------------------------------------
 @query
 def junction_summary(spark, sf_dir):
@@ -158,10 +185,10 @@ def junction_records(spark, sf_dir):
 
 @query
 def hotspot_feed(spark, sf_dir):
-    """Feed of the busiest user-level junctions; those without a BTP name are unknown to the metadata."""
+    """Feed of a published list: the busiest user-level junctions, among lines that are blank, renamed or without advice."""
     rows = scored(spark, sf_dir, per_user=True)
-    metadata = junctions.junction_metadata(rows.where(F.col("junction_name").startswith("BTP")))
-    return feed.hotspot_feed(junctions.top_junctions(rows, FEED_LINES), metadata).select(
+    lines = published(junctions.top_junctions(rows, FEED_LINES))
+    return feed.hotspot_feed(lines, junctions.junction_metadata(feed.listed_only(rows, lines))).select(
         "id", "name", "jurisdiction", "violations", "raw_cis", "cis", "status", "action", "recommendation",
         "expected_improvement", "vehicle_mix", "peak_hour", "peak_hour_val", "peak_hour_violations",
         "affected_vehicles", "avg_delay", "capacity_loss", "economic_cost", "co2_impact", "lat", "lng",
@@ -204,7 +231,7 @@ def hour_histogram(spark, sf_dir):
 
 @query
 def summary_metrics(spark, sf_dir):
-    return explore.summary_metrics(explore.filter_hotspots(_hotspots(spark, sf_dir), min_cis=3.0), COMPLIANCE)
+    return explore.summary_metrics(explore.filter_hotspots(_records(spark, sf_dir), min_cis=3.0), COMPLIANCE)
 
 
 @query
@@ -243,16 +270,15 @@ def map_centre(spark, sf_dir):
 # --- corridors ---------------------------------------------------------------
 @query
 def corridor_links(spark, sf_dir):
-    return corridors.link_corridors(roads(spark, sf_dir), _hotspots(spark, sf_dir))
+    return corridors.link_corridors(roads(spark, sf_dir), _hotspots(spark, sf_dir)).drop("status")
 
 
 @query
 def corridor_hotspots(spark, sf_dir):
-    """Linked names per corridor, looked up among the hotspots of at least score 7."""
+    """Linked hotspots per corridor, numbered, with their status."""
     hotspots = _hotspots(spark, sf_dir)
-    streets = roads(spark, sf_dir)
-    nearby = corridors.with_nearby(streets, corridors.link_corridors(streets, hotspots))
-    return corridors.linked_status(nearby, hotspots.where(F.col("cis") >= 7.0)).select("id", "place", "name", "status")
+    links = corridors.link_corridors(roads(spark, sf_dir), hotspots)
+    return corridors.numbered_links(links).select("id", "place", "name", "status")
 
 
 @query
@@ -281,6 +307,41 @@ def dbscan_labels(spark, sf_dir):
     return _labelled(spark, sf_dir).select("id", "cluster_label")
 
 
+@query
+def dbscan_odd_coordinates(spark, sf_dir):
+    """Rows with missing, NaN and infinite coordinates are noise."""
+    return clusters.attach_clusters(odd_coordinates(scored(spark, sf_dir))).select("id", "cluster_label")
+
+
+@query
+def cluster_summary_odd(spark, sf_dir):
+    """Centres leave out coordinates that are not finite."""
+    rows = clusters.attach_clusters(scored(spark, sf_dir))
+    return clusters.cluster_summary(odd_coordinates(rows)).select("cluster_label", "lat", "lng", "violations_count")
+
+
+@query
+def dbscan_streets(spark, sf_dir):
+    """Chains along streets, border points, noise and one crowded place; sites in step with the rows."""
+    return clusters.attach_clusters(street_tickets(spark, sf_dir)).select("id", "cluster_label")
+
+
+@query
+def cluster_summary_streets(spark, sf_dir):
+    return clusters.cluster_summary(clusters.attach_clusters(street_tickets(spark, sf_dir)))
+
+
+@query
+def dbscan_labels_scored(spark, sf_dir):
+    """Unlikely and unscored tickets stay out of the clusters."""
+    return clusters.attach_clusters(with_probability(scored(spark, sf_dir))).select("id", "cluster_label")
+
+
+@query
+def hotspot_audit_scored(spark, sf_dir):
+    return audit.audit_hotspots(clusters.attach_clusters(with_probability(scored(spark, sf_dir))), COMPLIANCE)
+
+
 @query
 def hotspot_count(spark, sf_dir):
     return clusters.hotspot_count(_labelled(spark, sf_dir))
@@ -326,11 +387,21 @@ def weight_contributions(spark, sf_dir):
 
 
 # --- dispatch ----------------------------------------------------------------
+def _patrol_plan(spark: SparkSession, sf_dir: str, compliance: float) -> DataFrame:
+    summary = clusters.cluster_summary(_labelled(spark, sf_dir))
+    return dispatch.dispatch_plan(dispatch.assign_patrols(summary, UNITS, PER_UNIT, compliance)).select(
+        "patrol", "route", F.round("loss", 4).alias("loss"), F.round("avg_cis", 6).alias("avg_cis"))
+
+
 @query
 def patrol_assignment(spark, sf_dir):
-    plan = dispatch.assign_patrols(clusters.cluster_summary(_labelled(spark, sf_dir)), UNITS, PER_UNIT)
-    return dispatch.dispatch_plan(plan).select(
-        "patrol", "route", F.round("loss", 4).alias("loss"), F.round("avg_cis", 6).alias("avg_cis"))
+    return _patrol_plan(spark, sf_dir, COMPLIANCE)
+
+
+@query
+def patrol_assignment_full(spark, sf_dir):
+    """At full compliance nothing is left of any loss; the plan still covers the largest ones."""
+    return _patrol_plan(spark, sf_dir, 100.0)
 
 
 @query
@@ -362,25 +433,22 @@ def approval_split(spark, sf_dir):
 
 @query
 def approval_scores(spark, sf_dir):
+    """Every ticket's score, as what must hold for it: a probability, or the default without a model."""
     rows = scoring.score(tickets(spark, sf_dir))
-    return approval.score_approval(approval.fit_approval(rows), rows).select("id", "approval_probability")
+    return approval.score_approval(approval.fit_approval(rows), rows).select(
+        "id", F.col("approval_probability").between(0.0, 1.0).alias("is_probability"))
 
 
 @query
 def approval_logloss(spark, sf_dir):
+    """Validation rows, and whether the model's mean loss is a small number."""
     rows = scoring.score(tickets(spark, sf_dir))
     loss = approval.validation_loss(approval.fit_approval(rows), rows)
-    return spark.range(1).select(F.lit(loss).alias("log_loss"))
+    return loss.select("n", (F.col("log_loss") < 1.0).alias("is_bounded"))
 
 
 @query
 def approval_default(spark, sf_dir):
-    """Tickets nobody has judged: no model is trained."""
-    rows = scoring.score(tickets(spark, sf_dir).withColumn("validation_status", F.lit(None).cast("string")))
+    """Only tickets nobody has judged: no model is trained."""
+    rows = scoring.score(tickets(spark, sf_dir)).where(F.col("validation_status").isNull())
     return approval.score_approval(approval.fit_approval(rows), rows).select("id", "approval_probability")
-
-
-@query
-def sampled_input(spark, sf_dir):
-    eligible = scored(spark, sf_dir).where(clusters.high_impact())
-    return clusters.sample_rows(eligible.select("id", "latitude", "longitude"), C.SAMPLE_CAP)

@@ -76,7 +76,6 @@ MIN_PROBABILITY = 0.7
 MIN_CIS = 1.5
 EPS_DEGREES = 0.0015
 MIN_SAMPLES = 15
-SAMPLE_CAP = 60_000
 APPROVAL_FEATURES = (
     "hour",
     "day_of_week",

@@ -54,13 +54,19 @@ def mean_of(total: Column, count: Column, unit: int = 1000) -> Column:
     return total / (count * F.lit(unit))
 
 
+def is_finite(x: Column) -> Column:
+    """Neither null, NaN nor infinite."""
+    return F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))
+
+
 def degree_parts(name: str, column: str) -> list[Column]:
     """Order-independent sums behind a mean coordinate.
 
     Whole degrees and 1e-7 fractions are summed as longs, so no partitioning
-    changes the mean and the sums stay far from the long limit.
+    changes the mean and the sums stay far from the long limit. Values that are
+    not finite do not count.
     """
-    value = F.col(column)
+    value = F.when(is_finite(F.col(column)), F.col(column))
     fraction = F.floor((value - F.floor(value)) * F.lit(1e7) + F.lit(0.5))
     return [
         F.sum(F.floor(value)).alias(f"{name}_whole"),

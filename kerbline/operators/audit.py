@@ -48,21 +48,29 @@ def weight_contributions(df: DataFrame) -> DataFrame:
 def audit_hotspots(df: DataFrame, compliance_rate: float = 0.0) -> DataFrame:
     """Audit card of every cluster: leading vehicle and violation, means, loss and the sentence.
 
-    The tickets are folded per cluster and vehicle with whole-number sums;
-    probabilities are summed in millionths.
+    One pass: a ticket becomes a row for its vehicle and one for each listed
+    violation, folded by value with whole-number sums; probabilities are summed
+    in millionths.
     """
-    per_vehicle = scoring.with_milli(not_noise(df)).groupBy("cluster_label", "vehicle_type").agg(
+    rows = scoring.with_milli(not_noise(df))
+    if "violations" not in rows.columns:
+        rows = rows.withColumn("violations", scoring.violation_list(F.col("violation_type")))
+    vehicle = F.array(F.struct(F.lit(True).alias("is_vehicle"), F.col("vehicle_type").alias("value")))
+    listed = F.transform("violations", lambda v: F.struct(F.lit(False).alias("is_vehicle"), v.alias("value")))
+    values = rows.select("cluster_label", "cis_milli", "approval_probability", F.inline(F.concat(vehicle, listed)))
+    folded = values.groupBy("cluster_label", "is_vehicle", "value").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("cis_milli").alias("milli"),
-        F.sum(F.rint(F.col("approval_probability") * 1e6).cast("long")).alias("approval"),
+        F.sum(F.when(F.col("is_vehicle"), F.col("cis_milli"))).alias("milli"),
+        F.sum(F.when(F.col("is_vehicle"), F.rint(F.col("approval_probability") * 1e6).cast("long"))).alias("approval"),
+    )
+    vehicles = F.when(F.col("is_vehicle"), F.col("n"))
+    most = F.struct(-F.col("n"), "value")
+    cards = folded.groupBy("cluster_label").agg(
+        F.sum(vehicles).alias("violations"), F.max(vehicles).alias("top_n"),
+        F.min_by("value", F.when(F.col("is_vehicle"), most)).alias("top_vehicle"),
+        F.min_by("value", F.when(~F.col("is_vehicle"), most)).alias("top_violation"),
+        F.sum("milli").alias("milli"), F.sum("approval").alias("approval"),
     )
-    cards = per_vehicle.groupBy("cluster_label").agg(
-        F.sum("n").alias("violations"),
-        F.min_by("vehicle_type", F.struct(-F.col("n"), "vehicle_type")).alias("top_vehicle"),
-        F.max("n").alias("top_n"),
-        F.sum("milli").alias("milli"),
-        F.sum("approval").alias("approval"),
-    ).join(top_violation(df), "cluster_label", "left")
     mean = rounding.mean_of(F.col("milli"), F.col("violations"))
     percent = bands.share_percent(F.col("top_n"), F.col("violations"))
     violation = F.coalesce("top_violation", F.lit(NO_VIOLATION))

@@ -9,7 +9,7 @@ from kerbline import constants as C
 from kerbline.functions import bands, rounding, scoring
 from kerbline.operators.dbscan import Limits, dbscan_sites
 from kerbline.operators.junctions import fold_tickets, mean_cis, merged_sums
-from kerbline.operators.skew import BROADCAST_ROWS, lookup_join
+from kerbline.operators.skew import lookup_join
 from kerbline.session import checkpoint
 
 
@@ -18,38 +18,15 @@ def high_impact() -> Column:
     return (F.col("approval_probability") >= C.MIN_PROBABILITY) & (scoring.cis_milli() >= round(C.MIN_CIS * 1000))
 
 
-def sample_rows(df: DataFrame, cap: int = C.SAMPLE_CAP) -> DataFrame:
-    """At most ``cap`` rows with the smallest id hashes: the same on any partitioning.
-
-    The rows are first cut at a hash value that leaves about twice the cap, so
-    the final sort never gathers ``cap`` rows from every input partition.
-    """
-    total = df.count()
-    if total <= cap:
-        return df
-    share, kept = 2.0 * cap / total, df
-    while share < 1.0:
-        kept = df.where(F.xxhash64("id") < int(-(2**63) + share * 2**64))
-        if kept.count() >= cap:
-            break
-        share, kept = share * 2, df
-    return kept.orderBy(F.xxhash64("id"), "id").limit(cap)
-
-
 def attach_clusters(df: DataFrame, eps: float = C.EPS_DEGREES, min_samples: int = C.MIN_SAMPLES,
-                    sample_cap: int | None = None, limits: Limits = Limits()) -> DataFrame:
+                    limits: Limits = Limits()) -> DataFrame:
     """``df`` with ``cluster_label``: DBSCAN over its high-impact rows, -1 for all others.
 
     Rows at one coordinate share a label, so labels are found per coordinate and
-    handed to the eligible rows. ``sample_cap`` clusters at most that many rows;
-    by default every eligible row takes part.
+    handed to the eligible rows. Every eligible row takes part.
     """
     columns = [c for c in df.columns if c != "cluster_label"]
     df = df.select(*columns).withColumn("_eligible", F.coalesce(high_impact(), F.lit(False)))
-    if sample_cap is not None:
-        picked = sample_rows(df.where("_eligible").select("id"), sample_cap).withColumn("_picked", F.lit(True))
-        picked = F.broadcast(picked) if sample_cap <= BROADCAST_ROWS else picked
-        df = df.join(picked, "id", "left").withColumn("_eligible", F.col("_picked").isNotNull()).drop("_picked")
     sites = checkpoint(
         dbscan_sites(df.where("_eligible").select("id", "latitude", "longitude"), eps, min_samples, limits)
         .where(F.col("cluster_label") != C.NOISE).select("latitude", "longitude", "weight", "cluster_label"))
@@ -102,14 +79,15 @@ def cluster_criteria(df: DataFrame) -> DataFrame:
     active.
     """
     scored = scoring.with_milli(df).withColumn("day", F.to_date("created_datetime"))
-    days = scored.where(F.col("day").isNotNull()).groupBy("day").agg(F.count(F.lit(1)).alias("n")).count()
-    daily = not_noise(scored).groupBy("cluster_label", "day").agg(
+    # One pass over the tickets, noise included; the rest reads this small table.
+    daily = checkpoint(scored.groupBy("cluster_label", "day").agg(
         F.sum("cis_milli").alias("milli"),
         F.count_if(F.col("validation_status") == "approved").alias("approved"),
         F.count_if(F.col("validation_status") == "rejected").alias("rejected"),
-    )
+    ))
+    days = daily.select("day").where(F.col("day").isNotNull()).distinct().count()
     judged = F.col("approved") + F.col("rejected")
-    return daily.groupBy("cluster_label").agg(
+    return not_noise(daily).groupBy("cluster_label").agg(
         F.sum("milli").alias("milli"), F.sum("approved").alias("approved"), F.sum("rejected").alias("rejected"),
         F.count("day").alias("active_days"),
     ).select(

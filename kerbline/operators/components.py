@@ -9,27 +9,20 @@ from kerbline.operators.skew import BROADCAST_ROWS, HOT_ROWS, lookup_join
 from kerbline.session import checkpoint
 
 
-def connected_components(edges: DataFrame, packed: bool = False, broadcast_rows: int = BROADCAST_ROWS,
-                         hot_rows: int = HOT_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, root) for every node of ``edges`` (hi, lo; hi > lo); root = smallest node of the component.
 
     Large-star and small-star steps (Kiveris et al., 2014). A step takes the
     smallest neighbour per node, which Spark pre-aggregates before the shuffle,
     and looks it up per edge with a join that tolerates hub nodes. Each round is
     written to the checkpoint folder; the loop ends when only stars are left.
-    ``packed`` says that the edges are few and stay in one partition.
     """
     sizes = {"broadcast_rows": broadcast_rows, "hot_rows": hot_rows}
 
-    def kept(table: DataFrame) -> DataFrame:
-        return checkpoint(table.coalesce(1) if packed else table)
-
     def smallest(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
-        if packed:
-            return rows.join(least.hint("shuffle_hash"), "u").coalesce(1)
         return lookup_join(rows, least, ["u"], spread=["u", "v"], table_rows=2 * n, total=n, **sizes)
 
-    current = kept(edges.distinct())
+    current = checkpoint(edges.distinct())
     n, unfinished = _progress(current)
     while unfinished:
         # Large star: every larger neighbour of a node moves to the smallest node around it.
@@ -40,7 +33,7 @@ def connected_components(edges: DataFrame, packed: bool = False, broadcast_rows:
         below = lifted.groupBy("u").agg(F.expr("min(v) AS m"))
         moved = smallest(lifted, below, n).where("v <> m").selectExpr("v AS hi", "m AS lo")
         moved = moved.unionByName(below.selectExpr("u AS hi", "m AS lo"))
-        current = kept((moved.coalesce(1) if packed else moved).distinct())
+        current = checkpoint(moved.distinct())
         n, unfinished = _progress(current)
     return current.selectExpr("inline(array(named_struct('node', hi, 'root', lo), named_struct('node', lo, 'root', lo)))").distinct()
 

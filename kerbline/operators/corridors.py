@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline import constants as C
@@ -31,7 +31,9 @@ def _lng_cell(lng: Column, cells: Column) -> Column:
 
 
 def link_corridors(roads: DataFrame, hotspots: DataFrame, km: float = C.LINK_KM) -> DataFrame:
-    """(id, hotspot_id, name): hotspots closer than ``km`` to a path point of a corridor.
+    """(id, hotspot_id, name, status): hotspots closer than ``km`` to a path point of a corridor.
+
+    Distances are taken per distinct place, so many hotspots at one place cost one distance.
 
     Path points are copied to the 3 x 3 grid cells around them and meet the
     hotspots by equal cell. Longitude cells follow the latitude band, wrap at
@@ -46,11 +48,18 @@ def link_corridors(roads: DataFrame, hotspots: DataFrame, km: float = C.LINK_KM)
         "mid", _lng_cell(F.col("p_lng"), F.col("cells")))
     spots = F.array_distinct(F.array(*[F.pmod(F.col("mid") + F.lit(d), F.col("cells")) for d in (-1, 0, 1)]))
     reach = around.select("id", "p_lat", "p_lng", "band", F.explode(spots).alias("cell"))
-    placed = hotspots.select(
-        F.col("id").alias("hotspot_id"), "name", "lat", "lng", F.floor(F.col("lat") / step).alias("band"),
-    ).withColumn("cell", _lng_cell(F.col("lng"), _cells_around(F.col("band"), km)))
+    placed = hotspots.select("lat", "lng").distinct().withColumn("band", F.floor(F.col("lat") / step)).withColumn(
+        "cell", _lng_cell(F.col("lng"), _cells_around(F.col("band"), km)))
     near = haversine_km(F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng")) < km
-    return reach.join(placed, ["band", "cell"]).where(near).select("id", "hotspot_id", "name").distinct()
+    places = reach.join(placed, ["band", "cell"]).where(near).select("id", "lat", "lng").distinct()
+    return places.join(hotspots.select(F.col("id").alias("hotspot_id"), "name", "status", "lat", "lng"), ["lat", "lng"]).select(
+        "id", "hotspot_id", "name", "status")
+
+
+def numbered_links(links: DataFrame) -> DataFrame:
+    """The hotspots of each corridor in hotspot order, with their place in it."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy("hotspot_id")) - 1
+    return links.select("id", place.alias("place"), "name", "hotspot_id", "status")
 
 
 def with_nearby(roads: DataFrame, links: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline import constants as C
+from kerbline.functions import rounding
 from kerbline.operators.components import connected_components
 from kerbline.operators.ranking import global_rank
 from kerbline.operators.skew import BROADCAST_ROWS, HOT_KEYS, HOT_ROWS, lookup_join
@@ -39,27 +40,17 @@ class Limits:
 
     hot_sites: int = 10_000            # sites of one cell before it is split over tasks
     direct_pairs: int = 4096           # site pairs of two cells compared outright
-    packed_sites: int = 20_000         # sites kept in one partition
     broadcast_rows: int = BROADCAST_ROWS
     hot_rows: int = HOT_ROWS
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Distinct coordinates, their cells, and how to join with them."""
+    """Distinct coordinates and their cells."""
 
     sites: DataFrame
     cells: DataFrame
     eps: float
-    small: bool  # few enough sites to be one partition, as adaptive execution would make them anyway
-
-    def packed(self, table: DataFrame) -> DataFrame:
-        """``table`` in one partition when the counted sites are few: later steps then need no shuffle."""
-        return table.coalesce(1) if self.small else table
-
-    def join(self, left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-        """Join in place when packed, else as Spark plans it."""
-        return self.packed(left.join(right.hint("shuffle_hash"), on, how)) if self.small else left.join(right, on, how)
 
     @property
     def limit(self) -> str:
@@ -72,7 +63,7 @@ def dbscan_sites(points: DataFrame, eps: float = C.EPS_DEGREES, min_samples: int
     """Distinct coordinates of ``points`` (id, latitude, longitude) with their cluster.
 
     Returns latitude, longitude, weight (rows there), is_core and cluster_label
-    (-1 noise). Clusters are numbered by the smallest id of their core points;
+    (-1 noise). Coordinates that are null, NaN or infinite are left out. Clusters are numbered by the smallest id of their core points;
     a border point joins the lowest-numbered cluster next to it.
     """
     grid = _place_sites(points, eps, limits)
@@ -80,9 +71,9 @@ def dbscan_sites(points: DataFrame, eps: float = C.EPS_DEGREES, min_samples: int
         return points.where("false").select(
             "latitude", "longitude", F.lit(0).cast("long").alias("weight"), F.lit(False).alias("is_core"),
             F.lit(C.NOISE).alias("cluster_label"))
-    flagged = checkpoint(grid.packed(_flag_core(grid, min_samples)))
+    flagged = checkpoint(_flag_core(grid, min_samples))
     core = flagged.where("is_core")
-    core_cells = checkpoint(grid.packed(_core_cells(core)))
+    core_cells = checkpoint(_core_cells(core))
     numbered = _number_clusters(grid, core_cells, _links(grid, core, core_cells, limits), limits)
     return _assign(grid, flagged, numbered)
 
@@ -114,7 +105,7 @@ def _place_sites(points: DataFrame, eps: float, limits: Limits) -> Grid | None:
     bits = _bits(eps)
     fine = eps * CELL_SHARE / (1 << bits)
     sites = checkpoint(
-        points.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+        points.where(rounding.is_finite(F.col("latitude")) & rounding.is_finite(F.col("longitude")))
         .groupBy("latitude", "longitude").agg(F.expr("count(1) AS weight"), F.expr("min(id) AS first_id"))
         .selectExpr("*", f"floor(latitude / {fine!r}D) AS fx", f"floor(longitude / {fine!r}D) AS fy")
         .selectExpr("*", f"shiftright(fx, {bits}) AS cx", f"shiftright(fy, {bits}) AS cy"))
@@ -126,15 +117,12 @@ def _place_sites(points: DataFrame, eps: float, limits: Limits) -> Grid | None:
     # More than `limit` sites in a cell: at most HOT_KEYS cells, so their list can be broadcast.
     limit = max(limits.hot_sites, size["total"] // HOT_KEYS)
     cells = cells.selectExpr("*", f"CAST(ceil(n_sites / {limit}) AS INT) AS salts")
-    small = size["total"] <= limits.packed_sites
-    if small:
-        sites, cells = sites.coalesce(1), cells.coalesce(1)
     if size["largest"] <= limit:
-        return Grid(sites.selectExpr("*", "1 AS salts", "0 AS salt"), cells, eps, small)
+        return Grid(sites.selectExpr("*", "1 AS salts", "0 AS salt"), cells, eps)
     hot = cells.where(F.col("n_sites") > limit).select("cx", "cy", "salts")
     salted = sites.join(F.broadcast(hot), ["cx", "cy"], "left").withColumn("salts", F.expr("coalesce(salts, 1)"))
     salted = salted.selectExpr("*", "CAST(pmod(xxhash64(latitude, longitude), salts) AS INT) AS salt")
-    return Grid(salted, cells, eps, small)
+    return Grid(salted, cells, eps)
 
 
 def _per_salt(cells: DataFrame, value: str) -> DataFrame:
@@ -143,14 +131,13 @@ def _per_salt(cells: DataFrame, value: str) -> DataFrame:
 
 
 def _flag_core(grid: Grid, min_samples: int) -> DataFrame:
-    weighed = grid.join(grid.sites, _per_salt(grid.cells, "cell_weight"), ["cx", "cy", "salt"])
+    weighed = grid.sites.join(_per_salt(grid.cells, "cell_weight"), ["cx", "cy", "salt"])
     dense = weighed.where(f"cell_weight >= {min_samples}").selectExpr("*", "true AS is_core")
     sparse = weighed.where(f"cell_weight < {min_samples}")
     values = grid.sites.selectExpr("cx", "cy", "salt", "latitude", "longitude", "weight AS value")
     around = _around(grid, sparse, grid.cells.withColumnRenamed("cell_weight", "value"), values)
     counted = around.groupBy("q_lat", "q_lng").agg(F.expr("sum(value) AS near"))
-    judged = grid.join(
-        sparse, counted, F.expr("latitude = q_lat AND longitude = q_lng"), "left"
+    judged = sparse.join(counted, F.expr("latitude = q_lat AND longitude = q_lng"), "left"
     ).withColumn("is_core", F.expr(f"coalesce(near >= {min_samples}, false)"))
     return dense.unionByName(judged.select(*dense.columns))
 
@@ -171,7 +158,7 @@ def _around(grid: Grid, queries: DataFrame, cells: DataFrame, sites: DataFrame)
     gaps = "greatest(lat0 - q_lat, q_lat - lat1, 0D) AS gap_lat", "greatest(lng0 - q_lng, q_lng - lng1, 0D) AS gap_lng"
     spans = "greatest(lat1 - q_lat, q_lat - lat0) AS far_lat", "greatest(lng1 - q_lng, q_lng - lng0) AS far_lng"
     touched = (
-        grid.join(reach, boxes, ["cx", "cy"]).selectExpr("*", *gaps, *spans)
+        reach.join(boxes, ["cx", "cy"]).selectExpr("*", *gaps, *spans)
         .where(f"gap_lat * gap_lat + gap_lng * gap_lng <= {grid.limit}")
         .withColumn("inside", F.expr(f"far_lat * far_lat + far_lng * far_lng <= {grid.limit}"))
         .selectExpr("q_lat", "q_lng", "cx", "cy", "inside", "cell_value",
@@ -180,7 +167,7 @@ def _around(grid: Grid, queries: DataFrame, cells: DataFrame, sites: DataFrame)
     hit = ("(q_lat - latitude) * (q_lat - latitude) + (q_lng - longitude) * (q_lng - longitude) "
            f"<= {grid.limit}")
     return (
-        grid.join(touched, sites, ["cx", "cy", "salt"], "left")
+        touched.join(sites, ["cx", "cy", "salt"], "left")
         .selectExpr("q_lat", "q_lng", f"CASE WHEN inside THEN cell_value WHEN {hit} THEN value END AS value")
         .where("value IS NOT NULL")
     )
@@ -213,10 +200,10 @@ def _links(grid: Grid, core: DataFrame, core_cells: DataFrame, limits: Limits) -
         .selectExpr("a", "box_a", "a.cx + dx AS cx", "a.cy + dy AS cy")
     )
     right = core_cells.selectExpr("cx", "cy", f"{cell} AS b", f"{box} AS box_b")
-    pairs = checkpoint(grid.packed(
-        grid.join(left, right, ["cx", "cy"]).where(f"{_between('near')} <= {grid.limit}")
+    pairs = checkpoint(
+        left.join(right, ["cx", "cy"]).where(f"{_between('near')} <= {grid.limit}")
         .selectExpr("a", "b", f"{_between('far')} <= {grid.limit} AS linked",
-                    f"a.n * b.n <= {limits.direct_pairs} AND a.salts = 1 AND b.salts = 1 AS small")))
+                    f"a.n * b.n <= {limits.direct_pairs} AND a.salts = 1 AND b.salts = 1 AS small"))
     waiting = pairs.agg(
         F.expr("count_if(NOT linked AND small) AS small"), F.expr("count_if(NOT linked AND NOT small) AS large")).first()
     found = pairs.where("linked").selectExpr("a.node AS a", "b.node AS b")
@@ -224,7 +211,7 @@ def _links(grid: Grid, core: DataFrame, core_cells: DataFrame, limits: Limits) -
         found = found.unionByName(_compare_sites(grid, core, pairs.where("NOT linked AND small")))
     if waiting["large"]:
         found = found.unionByName(_refine(core, pairs.where("NOT linked AND NOT small"), grid))
-    return grid.packed(found.selectExpr("greatest(a, b) AS hi", "least(a, b) AS lo"))
+    return found.selectExpr("greatest(a, b) AS hi", "least(a, b) AS lo")
 
 
 _PAIR = ("a.node AS a", "b.node AS b", "a.cx AS ax", "a.cy AS ay", "b.cx AS bx", "b.cy AS by")
@@ -237,7 +224,7 @@ def _compare_sites(grid: Grid, core: DataFrame, pairs: DataFrame) -> DataFrame:
     def side(s: str) -> DataFrame:
         return plain.selectExpr(f"cx AS {s}x", f"cy AS {s}y", f"latitude AS {s}_lat", f"longitude AS {s}_lng")
 
-    met = grid.join(grid.join(pairs.selectExpr(*_PAIR), side("a"), ["ax", "ay"]), side("b"), ["bx", "by"])
+    met = pairs.selectExpr(*_PAIR).join(side("a"), ["ax", "ay"]).join(side("b"), ["bx", "by"])
     hit = f"(a_lat - b_lat) * (a_lat - b_lat) + (a_lng - b_lng) * (a_lng - b_lng) <= {grid.limit}"
     return met.where(hit).select("a", "b").distinct()
 
@@ -283,15 +270,13 @@ def _refine(core: DataFrame, pairs: DataFrame, grid: Grid) -> DataFrame:
 def _number_clusters(grid: Grid, core_cells: DataFrame, links: DataFrame, limits: Limits) -> DataFrame:
     """Core cells with the number of their cluster."""
     sizes = {"broadcast_rows": limits.broadcast_rows, "hot_rows": limits.hot_rows}
-    roots = connected_components(links, packed=grid.small, **sizes)
+    roots = connected_components(links, **sizes)
     rooted = checkpoint(
-        grid.join(core_cells, roots, "node", "left").withColumn("root", F.expr("coalesce(root, node)")))
+        core_cells.join(roots, "node", "left").withColumn("root", F.expr("coalesce(root, node)")))
     clusters = global_rank(
         rooted.groupBy("root").agg(F.expr("min(first_id) AS first_id"), F.expr("count(1) AS cells")),
         [F.asc("first_id"), F.asc("root")], "cluster_label", start=0,
     ).selectExpr("root", "CAST(cluster_label AS INT) AS cluster_label", "cells")
-    if grid.small:
-        return grid.join(rooted, clusters.coalesce(1), "root")
     counts = clusters.agg(F.expr("count(1) AS n"), F.expr("sum(cells) AS cells")).first()
     return lookup_join(
         rooted, clusters, ["root"], spread=["node"], table_rows=counts["n"], total=counts["cells"] or 0,
@@ -300,13 +285,13 @@ def _number_clusters(grid: Grid, core_cells: DataFrame, links: DataFrame, limits
 
 def _assign(grid: Grid, flagged: DataFrame, numbered: DataFrame) -> DataFrame:
     """Cluster of every site: its cell's for core, the lowest adjacent for border, -1 else."""
-    core = grid.join(flagged.where("is_core"), _per_salt(numbered, "cluster_label"), ["cx", "cy", "salt"])
+    core = flagged.where("is_core").join(_per_salt(numbered, "cluster_label"), ["cx", "cy", "salt"])
     others = flagged.where("NOT is_core")
     touched = _around(
         grid, others, numbered.withColumn("value", F.col("cluster_label")),
         core.selectExpr("cx", "cy", "salt", "latitude", "longitude", "cluster_label AS value"))
     lowest = touched.groupBy("q_lat", "q_lng").agg(F.expr("min(value) AS lowest"))
-    bordering = grid.join(others, lowest, F.expr("latitude = q_lat AND longitude = q_lng"), "left")
+    bordering = others.join(lowest, F.expr("latitude = q_lat AND longitude = q_lng"), "left")
     columns = ["latitude", "longitude", "weight", "is_core"]
-    return grid.packed(core.select(*columns, "cluster_label").unionByName(
-        bordering.selectExpr(*columns, f"coalesce(lowest, {C.NOISE}) AS cluster_label")))
+    return core.select(*columns, "cluster_label").unionByName(
+        bordering.selectExpr(*columns, f"coalesce(lowest, {C.NOISE}) AS cluster_label"))

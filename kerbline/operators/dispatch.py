@@ -9,19 +9,22 @@ from kerbline import constants as C
 from kerbline.functions import bands
 from kerbline.operators.explore import row_numbers, top_by_cis
 
-CANDIDATES = 15
+CANDIDATES = 15  # clusters a plan considers: the top list the planner shows
 
 
-def assign_patrols(clusters: DataFrame, units: int = 4, per_unit: int = 3, compliance_rate: float = 0.0) -> DataFrame:
+def assign_patrols(clusters: DataFrame, units: int = 4, per_unit: int = 3, compliance_rate: float = 0.0,
+                   candidates: int = CANDIDATES) -> DataFrame:
     """Cover the largest losses: rank and unit of every visited cluster.
 
-    All units value a cluster alike and losses are positive, so visiting the
-    best min(15, units * per_unit) clusters is optimal however they are split.
+    The ``candidates`` clusters with the largest loss left at this compliance
+    are considered; what a visit covers is their full loss. All units value a
+    cluster alike and losses are not negative, so visiting the best
+    min(candidates, units * per_unit) is optimal however they are split.
     """
     left = F.col("economic_loss") * bands.compliance_factor(compliance_rate)
-    order = [F.desc("_left"), F.asc("cluster_label")]
-    candidates = clusters.withColumn("_left", left).orderBy(*order).limit(CANDIDATES)
-    ranked = row_numbers(candidates, order, "rank").where(F.col("rank") <= units * per_unit)
+    worth = [F.desc("economic_loss"), F.asc("cluster_label")]
+    considered = clusters.withColumn("_left", left).orderBy(F.desc("_left"), *worth).limit(candidates)
+    ranked = row_numbers(considered, worth, "rank").where(F.col("rank") <= units * per_unit)
     return ranked.withColumn("patrol", F.floor((F.col("rank") - 1) / F.lit(per_unit)).cast("int") + 1).drop("_left")
 
 

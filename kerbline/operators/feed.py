@@ -15,6 +15,11 @@ def _default(name: str) -> Column:
     return F.lit(C.FEED_DEFAULTS[name])
 
 
+def listed_only(df: DataFrame, top: DataFrame) -> DataFrame:
+    """The tickets of the junctions on a top list: nothing else needs to be folded for its feed."""
+    return df.join(top.select("junction_name").where(F.col("junction_name") != "").distinct(), "junction_name", "left_semi")
+
+
 def hotspot_feed(top: DataFrame, metadata: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     """One record per named line of ``top``, with stand-in values for unknown junctions.
 

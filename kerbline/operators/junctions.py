@@ -62,8 +62,8 @@ def junction_summary(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
 def vehicle_mix(df: DataFrame) -> DataFrame:
     """Tickets, percent and place of every vehicle type within its junction."""
     counts = named_junctions(df).groupBy("junction_name", "vehicle_type").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("junction_name").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "junction_name").select(
+    total = F.sum("n").over(Window.partitionBy("junction_name"))
+    return counts.withColumn("total", total).select(
         "junction_name", "vehicle_type", "n",
         bands.share_percent(F.col("n"), F.col("total")).alias("percentage"),
     )
@@ -204,8 +204,14 @@ def _mix_columns() -> list[Column]:
 
 def junction_hotspots(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     """One full record per named junction, numbered by violations, ties by name."""
+    records = junction_records(df, days)
+    return global_rank(records, [F.desc("violations"), F.asc("name")], "id").select("id", *records.columns)
+
+
+def junction_records(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
+    """One full record per named junction, without a number: totals read only the columns they need."""
     norm = F.col("cis")
-    records = _profiles(df).withColumn("cis", bands.normalized_cis(F.col("raw_cis"))).select(
+    return _profiles(df).withColumn("cis", bands.normalized_cis(F.col("raw_cis"))).select(
         F.col("junction_name").alias("name"), "jurisdiction", "violations",
         rounding.round_np(F.col("raw_cis"), 3).alias("raw_cis"),
         "cis",
@@ -224,7 +230,6 @@ def junction_hotspots(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
         "lat", "lng",
         _trend(F.col("raw_cis")).alias("trend_data"),
     )
-    return global_rank(records, [F.desc("violations"), F.asc("name")], "id").select("id", *records.columns)
 
 
 def junction_metadata(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000  # largest table sent whole to every executor
+BROADCAST_ROWS = 200_000  # largest table sent whole to every executor, in rows
+BROADCAST_BYTES = 64 << 20  # and in bytes of its texts
 HOT_KEYS = 10_000         # at most this many keys are ever treated as hot
 HOT_ROWS = 100_000        # a key with fewer rows is never hot
 
@@ -17,6 +18,14 @@ def hot_threshold(total: int, hot_rows: int = HOT_ROWS) -> int:
     return max(hot_rows, total // HOT_KEYS)
 
 
+def _text_bytes(table: DataFrame) -> int:
+    """Bytes of all texts of a table that is known to have few rows; numbers need no count."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind == "string"]
+    if not texts:
+        return 0
+    return table.agg(F.sum(sum(texts[1:], texts[0]))).first()[0] or 0
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, spread: Sequence[str], table_rows: int,
                 total: int, weight: str | None = None, active: Column | None = None,
                 broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -35,7 +44,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, sprea
     rows = rows.withColumn("_usable", usable)
     plain = table.select(*keys, *values)
 
-    if table_rows <= broadcast_rows:
+    if table_rows <= broadcast_rows and _text_bytes(plain) <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(plain), keys, "left")
         return joined.select(*[c for c in rows.columns if c != "_usable"],
                              *[F.when(F.col("_usable"), F.col(v)).alias(v) for v in values])

@@ -19,5 +19,6 @@ def run(spark: SparkSession, scored_path: str, hotspots_path: str, top_path: str
 def feed_rows(spark: SparkSession, scored_path: str, top_path: str, positioned: bool = True,
               days: int = C.REPORT_DAYS) -> DataFrame:
     """The feed for a published top list."""
-    metadata = junctions.junction_metadata(snapshot.read_scored(spark, scored_path), days)
-    return feed.hotspot_feed(snapshot.read_top(spark, top_path, positioned), metadata, days)
+    top = snapshot.read_top(spark, top_path, positioned)
+    metadata = junctions.junction_metadata(feed.listed_only(snapshot.read_scored(spark, scored_path), top), days)
+    return feed.hotspot_feed(top, metadata, days)

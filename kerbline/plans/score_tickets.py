@@ -9,21 +9,26 @@ from kerbline.operators import approval, clusters
 from kerbline.sources import snapshot, tickets
 
 
-def score_and_cluster(scored: DataFrame, rounds: int = approval.ROUNDS, sample_cap: int | None = None,
+def score_and_cluster(scored: DataFrame, rounds: int = approval.ROUNDS,
                       model_path: str | None = None) -> DataFrame:
     """Scored tickets with approval probability and cluster label; saves the model when asked."""
     model = approval.fit_approval(scored, rounds)
     if model is not None and model_path is not None:
         model.save(model_path)
-    return clusters.attach_clusters(approval.score_approval(model, scored), sample_cap=sample_cap)
+    return clusters.attach_clusters(approval.score_approval(model, scored))
 
 
 def run(spark: SparkSession, raw_path: str, staging_path: str, scored_path: str, model_path: str | None = None,
-        rounds: int = approval.ROUNDS, sample_cap: int | None = None, by_month: bool = False) -> None:
-    """Read the CSV once, stage the scored tickets as Parquet, then train, cluster and write.
+        rounds: int = approval.ROUNDS, by_month: bool = False) -> None:
+    """Stage the scored tickets as Parquet, then train, cluster and write.
 
     Training, scoring and clustering each read only the staged columns they use.
+    Rows with values that did not parse are listed under ``staging_path``/rejected,
+    ids that occur twice under ``staging_path``/duplicates.
     """
-    scoring.score(tickets.read_violations(spark, raw_path)).write.mode("overwrite").parquet(staging_path)
-    staged = spark.read.parquet(staging_path)
-    snapshot.write_scored(score_and_cluster(staged, rounds, sample_cap, model_path), scored_path, by_month)
+    text = tickets.read_violations_text(spark, raw_path)
+    tickets.rejected_rows(text).write.mode("overwrite").parquet(f"{staging_path}/rejected")
+    scoring.score(tickets.type_violations(text)).write.mode("overwrite").parquet(f"{staging_path}/tickets")
+    staged = spark.read.parquet(f"{staging_path}/tickets")
+    tickets.duplicate_ids(staged).write.mode("overwrite").parquet(f"{staging_path}/duplicates")
+    snapshot.write_scored(score_and_cluster(staged, rounds, model_path), scored_path, by_month)

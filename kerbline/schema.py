@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 VIOLATIONS_RAW = T.StructType([
-    T.StructField("id", T.LongType(), False),
+    T.StructField("id", T.StringType(), False),  # opaque: never parsed
     T.StructField("created_datetime", T.TimestampType()),
     T.StructField("vehicle_type", T.StringType()),
     T.StructField("violation_type", T.StringType()),

@@ -17,6 +17,9 @@ TIMESTAMP_FORMATS = (
     "M-d-yyyy H:mm:ss", "M-d-yyyy H:mm", "M-d-yyyy",
     "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy",
     "d MMM yyyy H:mm:ss", "d MMM yyyy", "MMM d, yyyy H:mm:ss", "MMM d, yyyy",
+    "yyyy-M-d h:mm:ss a", "yyyy-M-d h:mm a", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "d/M/yyyy h:mm:ss a", "d/M/yyyy h:mm a",
+    "M-d-yyyy h:mm:ss a", "M-d-yyyy h:mm a", "MMM d, yyyy h:mm:ss a", "d MMM yyyy h:mm:ss a",
+    "M/d/yyyy H:mm:ss.SSSSSS", "M/d/yyyy H:mm:ss.SSS", "d/M/yyyy H:mm:ss.SSSSSS", "d/M/yyyy H:mm:ss.SSS",
 )
 
 
@@ -33,11 +36,17 @@ def read_violations_text(spark: SparkSession, path: str, schema: T.StructType =
     ``multi_line`` allows line breaks inside quotes, but then a file cannot be split.
     """
     use_utc(spark)
+    return known_texts(text_reader(spark.read, schema).option("multiLine", multi_line).csv(path))
+
+
+def text_reader(reader, schema: T.StructType = VIOLATIONS_RAW):
+    """A batch or stream reader of ticket files: all columns as text, and a header in another order is an error."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = (
-        spark.read.schema(text).option("header", True).option("escape", '"').option("multiLine", multi_line)
-        .option("enforceSchema", False).csv(path)
-    )
+    return reader.schema(text).option("header", True).option("escape", '"').option("enforceSchema", False)
+
+
+def known_texts(raw: DataFrame) -> DataFrame:
+    """Texts that stand for a missing value become null."""
     return raw.select([F.when(~F.col(c).isin(*C.MISSING_TEXTS), F.col(c)).alias(c) for c in raw.columns])
 
 
@@ -65,6 +74,16 @@ def rejected_counts(text: DataFrame, schema: T.StructType = VIOLATIONS_RAW,
     ])
 
 
+def rejected_rows(text: DataFrame, schema: T.StructType = VIOLATIONS_RAW,
+                  formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> DataFrame:
+    """The texts of rows without id or with a value that does not parse, and the names of these columns."""
+    lost = [
+        F.when(F.col(f.name).isNotNull() & _typed(f, formats).isNull() if f.nullable else _typed(f, formats).isNull(), F.lit(f.name))
+        for f in schema if not f.nullable or not isinstance(f.dataType, T.StringType)
+    ]
+    return text.withColumn("rejected", F.array_compact(F.array(*lost))).where(F.size("rejected") > 0)
+
+
 def read_violations(spark: SparkSession, path: str, schema: T.StructType = VIOLATIONS_RAW,
                     formats: tuple[str, ...] = TIMESTAMP_FORMATS, multi_line: bool = False) -> DataFrame:
     return type_violations(read_violations_text(spark, path, schema, multi_line), schema, formats)

@@ -7,24 +7,17 @@ same functions as a batch one; nothing here keeps state.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from kerbline import constants as C
 from kerbline.functions import scoring
-from kerbline.schema import VIOLATIONS_RAW
 from kerbline.session import use_utc
-from kerbline.sources.tickets import type_violations
+from kerbline.sources.tickets import known_texts, text_reader, type_violations
 
 
 def scored_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Scored tickets from a folder that receives CSV files."""
     use_utc(spark)
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in VIOLATIONS_RAW])
-    raw = spark.readStream.schema(text).option("header", True).option("escape", '"').csv(folder)
-    known = raw.select([F.when(~F.col(c).isin(*C.MISSING_TEXTS), F.col(c)).alias(c) for c in raw.columns])
-    return scoring.score(type_violations(known))
+    return scoring.score(type_violations(known_texts(text_reader(spark.readStream).csv(folder))))
 
 
 def write_available(stream: DataFrame, path: str, state_path: str) -> StreamingQuery:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline import constants as C
-from kerbline.functions import scoring
+from kerbline.functions import rounding, scoring
 from kerbline.operators import audit, clusters, dispatch, explore, feed, junctions
 from kerbline.sources import dimensions
 from kerbline.sources.snapshot import to_json_rows
@@ -245,3 +245,16 @@ def test_dispatch(spark):
 def test_snapshot_scores_give_exact_thousandths(spark):
     df = spark.range(1, 27001).select((F.col("id") / 1000.0).alias("cis"), F.col("id"))
     assert scoring.with_milli(df).where("cis_milli <> id").count() == 0
+
+
+def test_patrols_at_full_compliance(spark):
+    clusters = spark.createDataFrame([(i, float(i + 1), 1.0) for i in range(20)], "cluster_label int, economic_loss double, avg_cis double")
+    for rate, candidates, expected in ((100.0, 15, [19, 18, 17]), (25.0, 15, [19, 18, 17]), (100.0, 2, [19, 18])):
+        plan = dispatch.assign_patrols(clusters, 1, 3, rate, candidates)
+        assert [r.cluster_label for r in plan.orderBy("rank").collect()] == expected
+
+
+def test_centres_leave_out_what_is_not_finite(spark):
+    df = spark.createDataFrame([(12.5,), (13.5,), (float("nan"),), (None,), (float("inf"),)], "x double")
+    row = df.agg(*rounding.degree_parts("x", "x")).select(rounding.mean_degrees("x").alias("mean")).first()
+    assert row.mean == 13.0

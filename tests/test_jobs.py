@@ -49,17 +49,29 @@ def test_snapshot(spark, job):
     plan = scored.where("month = 2").select("cis")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
     plan = scored.where("cis >= 1.5").select("id")._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(cis,1.5)" in plan and "ReadSchema: struct<id:bigint,cis:double>" in plan
+    assert "GreaterThanOrEqual(cis,1.5)" in plan and "ReadSchema: struct<id:string,cis:double>" in plan
 
 
 def test_model_round_trip(spark, job):
     model = approval.ApprovalModel.load(spark, job["model"])
-    staged = spark.read.parquet(job["staging"])
+    staged = spark.read.parquet(job["staging"] + "/tickets")
     again = {r.id: r.approval_probability for r in approval.score_approval(model, staged).select("id", "approval_probability").collect()}
     stored = {r.id: r.approval_probability for r in snapshot.read_scored(spark, job["scored"]).collect()}
     assert again == stored
-    loss = approval.validation_loss(model, staged)
-    assert 0 < loss < math.log(2)
+    loss = approval.validation_loss(model, staged).first()
+    assert 0 < loss.log_loss < math.log(2) and loss.n == approval.validation_rows(staged).count()
+
+
+def test_rejects_and_duplicates_are_reported(spark, tmp_path):
+    raw_csv(tmp_path / "raw.csv", 60)
+    with open(tmp_path / "raw.csv", "a") as f:
+        f.write("FK7,soon,CAR,NO PARKING,,,S1,approved,x,77.5\n59,2024-01-01 10:00:00 PM,CAR,NO PARKING,,,S1,approved,12.9,77.5\n,,,,,,,,,\n")
+    out = {k: str(tmp_path / k) for k in ("staging", "scored")}
+    score_tickets.run(spark, str(tmp_path / "raw.csv"), out["staging"], out["scored"], rounds=1)
+    lost = {r.id: r.rejected for r in spark.read.parquet(out["staging"] + "/rejected").collect()}
+    assert lost == {"FK7": ["created_datetime", "latitude"], None: ["id"]}
+    assert [(r.id, r.copies) for r in spark.read.parquet(out["staging"] + "/duplicates").collect()] == [("59", 2)]
+    assert spark.read.parquet(out["scored"]).where("id = '59' AND hour = 22").count() == 1
 
 
 def test_published_lists(spark, job):

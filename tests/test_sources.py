@@ -23,12 +23,12 @@ def test_csv_with_json_lists_missing_texts_and_rejects(spark, tmp_path):
     ]) + "\n")
     text = tickets.read_violations_text(spark, path)
     rows = {r.id: r for r in tickets.type_violations(text).collect()}
-    assert rows[1].violation_type == '["NO PARKING","DOUBLE PARKING"]'
-    assert rows[1].location == "A, B"
-    assert (rows[1].junction_name, rows[1].police_station, rows[2].location, rows[2].validation_status) == (None,) * 4
-    assert rows[2].latitude is None and rows[2].longitude == 77.6
+    assert rows["1"].violation_type == '["NO PARKING","DOUBLE PARKING"]'
+    assert rows["1"].location == "A, B"
+    assert (rows["1"].junction_name, rows["1"].police_station, rows["2"].location, rows["2"].validation_status) == (None,) * 4
+    assert rows["2"].latitude is None and rows["2"].longitude == 77.6
     assert tickets.rejected_counts(text).first().asDict() == {
-        "id": 0, "created_datetime": 1, "latitude": 1, "longitude": 0}
+        "created_datetime": 1, "latitude": 1, "longitude": 0}
     assert tickets.duplicate_ids(tickets.type_violations(text)).count() == 0
 
 
@@ -41,6 +41,9 @@ def test_csv_with_json_lists_missing_texts_and_rejects(spark, tmp_path):
     ("3/5/2024 6:07", "2024-03-05 06:07:00"),
     ("25/03/2024 06:07:08", "2024-03-25 06:07:08"),
     ("5 Mar 2024", "2024-03-05 00:00:00"),
+    ("2024-01-01 10:00:00 PM", "2024-01-01 22:00:00"),
+    ("01/02/2024 10:00 PM", "2024-01-02 22:00:00"),
+    ("1/2/2024 10:00:00.250", "2024-01-02 10:00:00.250000"),
     ("never", None), (None, None),
 ])
 def test_mixed_timestamps(spark, text, expected):

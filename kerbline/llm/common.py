@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_BATCH = 1000          # texts handed to a Python worker at once
-BYTES_PER_STEP = 4_000_000     # text bytes hashed at once
+BYTES_PER_STEP = 100_000     # text bytes hashed at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -29,8 +29,8 @@ HOT_SEGMENTS = 1_000   # an anchor with more different segments is cut into wind
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS,
-                    hot_segments: int = HOT_SEGMENTS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """``documents`` (with doc_id and text) and a column ``repeats``: struct(n_words, n_removed, kept).
+                    hot_segments: int = HOT_SEGMENTS, shard_segments: int = SHARD_SEGMENTS, result: str = "repeats") -> DataFrame:
+    """``documents`` (with doc_id and text) and a column ``result``: struct(n_words, n_removed, kept).
 
     Words are runs of bytes other than ASCII white space. A word is removed if a
     window that covers it also starts in a document with a smaller doc_id; kept
@@ -78,7 +78,7 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, anchor_words: in
     columns = documents.columns
     keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_version"))
     joined = keyed.join(removed.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_starts").hint("shuffle_hash"), ["_id", "_version"], "left")
-    return joined.select("row.*", _cut(window)(F.col("row.text").cast("string"), F.col("_starts")).alias("repeats"))
+    return joined.select("row.*", _cut(window)(F.col("row.text").cast("string"), F.col("_starts")).alias(result))
 
 
 def _cut(window: int):
@@ -119,9 +119,9 @@ def _least(words: np.ndarray, window: int, run: int) -> np.ndarray:
 def _each(texts: list[bytes], window: int, run: int):
     """(position, anchors of all windows) of every text."""
     for first, hashes, counts in texts_in_steps(texts):
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        for i in range(len(counts)):
-            yield first + i, _least(hashes[edges[i]:edges[i + 1]], window, run)
+        least, ends = _least(hashes, window, run), np.cumsum(counts)  # windows that run into the next text are left out
+        for i, (start, end) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
+            yield first + i, least[start:max(start, end - window + 1)]
 
 
 def _anchors(window: int, run: int):
@@ -191,18 +191,26 @@ def _automaton(window: int):
                     first[phrase] = lo
                 if phrase not in last or hi > last[phrase]:
                     last[phrase] = hi
+        # Confirmed passages: the longest runs of recurring windows that first stand in the same document.
         automaton = ahocorasick.Automaton()
-        for phrase, lo in first.items():
-            if lo < last[phrase]:
-                automaton.add_word(phrase, lo)
+        for text in texts:
+            start, owner = 0, None
+            for i in range(len(text) - window + 2):
+                phrase = text[i:i + window]
+                lo = first[phrase] if len(phrase) == window and first[phrase] < last[phrase] else None
+                if lo != owner:
+                    if owner is not None:
+                        automaton.add_word(text[start:i - 1 + window], (i - start, owner))
+                    start, owner = i, lo
         out_anchor, out_words, out_first = [], [], []
         if len(automaton):
             automaton.make_automaton()
             for anchor, words, text in zip(pdf["anchor"].tolist(), pdf["words"], texts):
                 found: list[int | None] = [None] * (len(text) - window + 1)
                 hit = False
-                for end, lo in automaton.iter(text):
-                    found[end - window + 1] = lo
+                for end, (n, lo) in automaton.iter(text):
+                    start = end - window + 2 - n
+                    found[start:start + n] = [lo] * n
                     hit = True
                 if hit:
                     out_anchor.append(anchor)

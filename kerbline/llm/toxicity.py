@@ -23,7 +23,7 @@ BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)   # bytes of the word beginnings that are features besides the words
 LEAST_ROWS = 4         # labelled rows a feature must stand in to get a weight
 LEAST_Z = 3.5          # and by how many deviations its share among label 1 must differ from chance
-PENALTY = 5.0
+PENALTY = 20.0
 RIDGE = 1e-4
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("she", "he"),
@@ -54,8 +54,13 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *rows]), np.concatenate([empty, *buckets])
 
 
-def _bucket(word: str) -> int:
-    """The bucket of a whole word."""
+def _term(word: str) -> np.ndarray:
+    """The features that a term brings into a text: the word and its beginnings."""
+    return _words([word.encode()])[1]
+
+
+def _whole(word: str) -> int:
+    """The bucket of the word alone."""
     (_, hashes, _), = texts_in_steps([word.encode()], PREFIXES)
     return int(hashes[0, 0] % np.uint64(BUCKETS))
 
@@ -81,27 +86,29 @@ def fit(texts: list[bytes], labels: np.ndarray, groups: Sequence[Sequence[str]]
     seen = np.bincount(buckets, minlength=BUCKETS)
     by_chance = seen * labels.mean()
     common = (seen >= LEAST_ROWS) & (np.abs(np.bincount(buckets, labels[rows], BUCKETS) - by_chance) >= LEAST_Z * np.sqrt(by_chance + 0.5))
-    groups = [[_bucket(w) for w in group] for group in groups]
-    for group in groups:
-        common[group] = True
+    terms = [[_term(w) for w in group] for group in groups]
+    spoken = [[int(seen[_whole(w)]) for w in group] for group in groups]
+    for group in terms:
+        common[np.concatenate(group)] = True
     keep = common[buckets]
     rows, buckets = rows[keep], buckets[keep]
-    used, at = np.unique(np.concatenate([buckets, *[np.array(g) for g in groups]]), return_inverse=True)
+    used, at = np.unique(np.concatenate([buckets, *[f for group in terms for f in group]]), return_inverse=True)
     at = at[: len(buckets)]
-    slots = {b: i for i, b in enumerate(used)}
-    # Swaps that occur: term -> each other term of its group, weighted by the share of labelled texts that hold the term.
-    swaps = [(slots[a], slots[b], share / (len(g) - 1)) for g in groups for a in g for b in g
-             if a != b and (share := (buckets == a).sum() / n) > 0]
-    a, b, share = (np.array(x) for x in zip(*swaps)) if swaps else (np.empty(0, int),) * 3
+    # Swaps that occur: a term for each other term of its group, weighted by the share of labelled texts that hold it.
+    swaps = [(a, b, k / n / (len(group) - 1)) for group, held in zip(terms, spoken) for a, k in zip(group, held) for b in group if a is not b and k]
+    change = np.zeros((len(swaps), len(used)), np.float32)
+    for i, (a, b, _) in enumerate(swaps):
+        change[i, np.searchsorted(used, a)] += 1
+        change[i, np.searchsorted(used, b)] -= 1
+    share = np.array([k for _, _, k in swaps])
     w, bias = np.zeros(len(used)), model.bias
     first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-(bias + np.bincount(rows, w[at], n))))
         g = (p - labels) / n
         grad = np.bincount(at, g[rows], len(used)) + ridge * w
-        if len(a):
-            pull = penalty * share * (w[a] - w[b])
-            grad += np.bincount(a, pull, len(used)) - np.bincount(b, pull, len(used))
+        if swaps:  # the change of the logit by each swap must vanish
+            grad += (penalty * share * (change @ w)) @ change
         grad = np.append(grad, g.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         move = 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)

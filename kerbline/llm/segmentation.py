@@ -119,15 +119,20 @@ class Pieces:
     def segmentations(self, word: str, n: int) -> list[Segmentation]:
         """The ``n`` best segmentations of a word, best first: A-star from its end."""
         best, _, _ = self.forward(word)
-        found, queue, order = [], [(-best[-1], 0, len(word), 0.0, ())], 0
+        # A path is a chain of cells (ids, rest), so long words share their ends. Of equal paths the furthest is followed first.
+        found, queue, order = [], [(-best[-1], 0, len(word), 0.0, None)], 0
         while queue and len(found) < n:
-            _, _, at, behind, ids = heapq.heappop(queue)
+            _, _, at, behind, path = heapq.heappop(queue)
             if at == 0:
-                found.append((behind, ids))
+                ids: list[int] = []
+                while path:
+                    ids.extend(path[0])
+                    path = path[1]
+                found.append((behind, tuple(ids)))
                 continue
             for start, score, arc in self.arcs(word, at):
-                order += 1
-                heapq.heappush(queue, (-(best[start] + score + behind), order, start, score + behind, arc + ids))
+                order -= 1
+                heapq.heappush(queue, (-(best[start] + score + behind), order, start, score + behind, (arc, path)))
         return found
 
     def n_best(self, text: str, n: int) -> list[tuple[float, bytes, bool]]:
@@ -144,7 +149,10 @@ class Pieces:
         ids, total = [f[0] for f in firsts], sum(f[1] for f in firsts)
         loose = heapq.nsmallest(n - 1, ((f[2], i) for i, f in enumerate(firsts) if f[2] != float("inf")))
         # Combine the loose words' choices, cheapest first; choices[k] = (costs, segmentations) of the k-th loose word.
-        choices = [self.segmentations(words[i], n) for _, i in loose]
+        choices = []
+        for _, i in loose:  # of equally good ones, the Viterbi path comes first
+            own = tuple(memoryview(ids[i]).cast("I"))
+            choices.append([(firsts[i][1], own), *(o for o in self.segmentations(words[i], n) if o[1] != own)][:n])
         spelt = [[b"".join(map(self.bytes_of.__getitem__, o[1])) for o in options] for options in choices]
         exact = self.decode(memoryview(b"".join(ids)).cast("I")) == text
         queue, seen, out = [(0.0, (0,) * len(loose))], {(0,) * len(loose)}, []
@@ -194,7 +202,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     @F.pandas_udf("string")
     def text_of(column: pd.Series) -> pd.Series:
         own = pieces(model)
-        return pd.Series([own.decode([i for i in ids if i is not None]) if ids is not None else "" for ids in column], dtype=object)
+        return pd.Series([own.decode([int(i) for i in ids if i is not None and i == i]) if ids is not None else "" for ids in column], dtype=object)
 
     small_batches(encoded.sparkSession)
     return encoded.withColumn("text", text_of("ids"))

@@ -20,26 +20,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5."""
     labels = catalog.table(spark, sf_dir, "labels").where(catalog.remainder(5) != 0)
     model = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("label")))
-    return toxicity.score(docs, model, "_score").where("_score < 0.5").drop("_score")
+    score = _free("score", docs)
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of which a fuzzy copy stands earlier."""
-    done = line_dedup.without_fuzzy_lines(docs)
-    return _with_text(done, "lines", docs)
+    name = _free("lines", docs)
+    return _with_text(line_dedup.without_fuzzy_lines(docs, result=name), name, docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate component; documents without id or words stay."""
     found = ngram_join.near_duplicates(docs)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").withColumn("_version", F.xxhash64("text"))
-    return named.dropDuplicates(["doc_id", "_version"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    version = _free("version", docs)
+    named = docs.join(first, "doc_id", "left_semi").withColumn(version, F.xxhash64("text"))
+    return named.dropDuplicates(["doc_id", version]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that an earlier document holds."""
-    return _with_text(substring_dedup.without_repeats(docs), "repeats", docs)
+    name = _free("repeats", docs)
+    return _with_text(substring_dedup.without_repeats(docs, result=name), name, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +50,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(packing.token_pieces(docs, catalog.tokenizer_path("word_bpe_49k.json")))
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def _with_text(done: DataFrame, result: str, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with the text a stage has kept; an untouched text stays byte for byte."""
     changed, kept = F.col(f"{result}.n_removed") > 0, F.col(f"{result}.kept")

@@ -9,7 +9,7 @@ prefix shingles. Shingles posted by one group alone are dropped.
 The rest is expanded to classes, and pairs are verified on the texts. As only
 connected components are asked for, large groups are not paired up: in a round,
 every posting list elects a pivot, and its members are verified against pivots
-alone. Lists whose members have all met in one component are done. After a few
+alone. Lists whose members have all met in one component are done. After the
 rounds, all remaining pairs of a list that are still in different components,
 agree in size and pass an exact bitmap bound are verified as well, so no link
 between two components is missed.
@@ -30,7 +30,10 @@ from kerbline.session import Written
 
 WORDS, PERCENT = 5, 80
 SLOTS = 1 << 17        # counters of the approximate shingle frequencies
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
+BITS = 1024            # bits of the shortest bitmap
+BLOCK = 2_000          # members of a list that meet outright
+SHARD_ROWS = 20_000    # list members that one task of the last comparison holds, about
 
 
 def sets_of(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -40,11 +43,15 @@ def sets_of(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """
     out = []
     for _, hashes, counts in texts_in_steps([t.lower() for t in texts]):
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        for start, end in zip(edges[:-1], edges[1:]):
-            own = hashes[start:end]
-            short = 0 < len(own) < words
-            out.append(np.unique(mix(gram_hashes(own, len(own)) + np.uint64(len(own))) if short else gram_hashes(own, words)))
+        grams = gram_hashes(hashes, words)  # those that run into the next text are left out below
+        ends = np.cumsum(counts)
+        for start, end in zip((ends - counts).tolist(), ends.tolist()):
+            if end - start >= words:
+                own = np.sort(grams[start:end - words + 1])
+                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+            else:
+                n = end - start
+                out.append(mix(gram_hashes(hashes[start:end], n) + np.uint64(n)) if n else np.empty(0, np.uint64))
     return out
 
 
@@ -52,67 +59,58 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS, slots: int = SLOTS) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS, slots: int = SLOTS,
+                    block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``documents`` (doc_id, text).
 
     Rows link if 100 * intersection >= percent * union; component_id is the
     smallest doc_id reachable. A text without words has no shingles and links
     with nothing; rows without id link with nothing and have no component. Rows
-    that share an id are different documents. Linear in the input but for pairs
-    that share rare shingles without being connected.
+    that share an id are different documents.
     """
     spark = documents.sparkSession
     small_batches(spark)
     written = Written(spark, "ngram")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("version", F.xxhash64("text"))
     level = _levels(docs, words, slots)
 
-    sketch = _sketch(words, percent, level)
-    members = written.keep(docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(sketch(False), "doc_id string, n long, c long, g long").withColumn("doc_id", F.col("doc_id").cast("long")))
+    # Ids pass as text, since a null would turn the column into doubles.
+    sketched = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketch(words, percent, level), _SKETCH)
+    members = written.keep(sketched.withColumn("doc_id", F.col("doc_id").cast("long")))
     linkable = members.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written.keep(linkable.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("g").alias("g"), F.min("n").alias("n")))
+    classes = written.keep(linkable.groupBy("c").agg(
+        F.min(F.struct("doc_id", "version")).alias("at"), F.min("g").alias("g"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("short").alias("short")).select(
+        "c", "at.doc_id", "at.version", "g", "n", "bits", "short"))
 
-    with_id = docs.where("doc_id IS NOT NULL").select("text")
-    postings = with_id.mapInPandas(sketch(True), "token long, g long")
+    postings = linkable.select(F.explode("tokens").alias("token"), "g")
     live = postings.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
     live = written.keep(live)
-    posted = written.keep(postings.distinct().join(live, "token"))
+    posted = written.keep(postings.join(live.hint("shuffle_hash"), "token").distinct())
     # Expand the groups; classes of one group meet under the group itself.
-    crowded = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", F.col("g").alias("token"))
-    lists = posted.unionByName(crowded).join(classes.select("g", "c", "n"), "g").select("token", "c", "n")
-    lists = written.keep(lists)
+    crowded = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("g").alias("token"), "g")
+    lists = written.keep(posted.unionByName(crowded).join(classes.select("g", "c", "n"), "g").select("token", "c", "n"))
+    # Pivots should have little of their own.
+    shared = lists.groupBy("c").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
+    lists = written.keep(lists.join(shared, "c"))
     written.drop(live, posted)
-    if lists.isEmpty():
-        return _result(members, classes, None)
 
-    # Texts of the classes that can have a partner, and how much of each is shared: pivots should have little of their own.
-    shared = lists.groupBy("c").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
-    asked = classes.join(shared, "c").select("doc_id", F.col("c").alias("wanted"), "share")
-    rows = docs.join(asked.hint("shuffle_hash"), "doc_id").groupBy("wanted", "share", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
-    rows = rows.mapInPandas(_signed(_sketch(words, percent, level)(False), words), "c long, share double, n long, text string, bits binary")
-    texts = written.keep(rows)
-    lists = written.keep(lists.join(texts.select("c", "share"), "c"))
-
-    links = tried = comps = None
-    for turn in range(pivot_rounds):
-        open_lists = written.keep(_open(lists, comps))
-        if open_lists.isEmpty():
-            return _result(members, classes, comps)
-        pairs = _pivot_pairs(open_lists, percent, turn)
+    tried = comps = None
+    for turn in range(pivot_rounds + 1):
+        rows = written.keep(_open(lists, comps))
+        if rows.isEmpty():
+            break
+        if turn < pivot_rounds:
+            pairs = _bounded(written.keep(_pivot_pairs(rows, percent, turn)), classes, percent)
+        else:
+            pairs = _bounded(written.keep(_all_pairs(rows, classes, percent, block)), classes, percent)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        checked = written.keep(_verified(pairs, texts, words, percent))
+        checked = written.keep(_verified(written.keep(pairs), classes, docs, words, percent))
         tried = checked if tried is None else written.keep(tried.unionByName(checked))
-        links = tried.where("linked")
-        comps = written.keep(_components(links))
-        written.drop(open_lists)
-    rest = written.keep(_open(lists, comps))
-    if not rest.isEmpty():
-        pairs = _all_pairs(rest, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written.keep(_bounded(pairs, texts, percent))
-        links = written.keep(links.unionByName(_verified(pairs, texts, words, percent).where("linked")))
-        comps = written.keep(_components(links))
-    return _result(members, classes, comps)
+        comps = written.keep(_components(tried.where("linked")))
+        written.drop(rows)
+    return _result(members.select("doc_id", "n", "c"), classes, comps)
 
 
 def _result(members: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -133,7 +131,7 @@ def _levels(docs: DataFrame, words: int, slots: int) -> np.ndarray:
         total = np.zeros(slots, np.int64)
         for pdf in batches:
             found = sets_of(as_bytes(pdf["text"]), words)
-            total += np.bincount((np.concatenate(found) % np.uint64(slots)).astype(np.int64), minlength=slots)
+            total += np.bincount((np.concatenate([np.empty(0, np.uint64), *found]) % np.uint64(slots)).astype(np.int64), minlength=slots)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"slot": at, "k": total[at]})
 
@@ -145,49 +143,49 @@ def _levels(docs: DataFrame, words: int, slots: int) -> np.ndarray:
     return np.where(frequent, 1 + np.floor(2 * np.log2(np.maximum(counts, 1) / usual)), 0).astype(np.uint8)
 
 
+_SKETCH = "doc_id string, version long, n long, c long, g long, bits binary, short binary, tokens array<long>"
+
+
 def _sketch(words: int, percent: int, level: np.ndarray):
-    """Per text: size, class (hash of the set) and group (hash of prefix and size), or the postings of its group."""
+    """Per text: size, class (hash of the set), group (hash of prefix and size), bitmap, its fold to the shortest, prefix."""
     packed, slots = level.tobytes(), np.uint64(len(level))
 
-    def prefix(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        own = levels[(found % slots).astype(np.int64)]
-        return found[np.argsort(own, kind="stable")[: prefix_length(len(found), percent)]]
-
     def number(data: np.ndarray) -> int:
         return int.from_bytes(hashlib.blake2b(data.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-    def make(postings: bool):
-        def run(batches):  # ids pass as text, since a null would turn a column of numbers into doubles
-            levels = np.frombuffer(packed, np.uint8)
-            for pdf in batches:
-                sets = sets_of(as_bytes(pdf["text"]), words)
-                heads = [prefix(found, levels) for found in sets]
-                groups = [number(np.append(head, np.uint64(len(found)))) for head, found in zip(heads, sets)]
-                if postings:
-                    yield pd.DataFrame({"token": np.concatenate([np.empty(0, np.uint64), *heads]).view(np.int64), "g": np.repeat(np.array(groups, np.int64), [len(h) for h in heads])})
-                else:
-                    yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "c": [number(s) for s in sets], "g": groups})
-        return run
+    def run(batches):
+        levels = np.frombuffer(packed, np.uint8)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            sets = sets_of(as_bytes(pdf["text"]), words)
+            heads = []
+            for found in sets:
+                own = levels[(found % slots).astype(np.int64)]
+                size = prefix_length(len(found), percent)
+                order = np.argsort(own, kind="stable") if own.any() else slice(None)
+                heads.append(found[order][:size])
+            bits = [_bits(s) for s in sets]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "version": pdf["version"], "n": [len(s) for s in sets], "c": [number(s) for s in sets],
+                "g": [number(np.append(h, np.uint64(len(s)))) for h, s in zip(heads, sets)],
+                "bits": bits, "short": [_folded(b, BITS // 8).tobytes() for b in bits], "tokens": [h.view(np.int64) for h in heads]})
 
-    return make
+    return run
 
 
-def _bits(found: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a set, 2 to 4 bits per member; halves fold onto each other."""
-    size = max(64, 1 << int(2 * max(1, len(found)) - 1).bit_length())
-    return (np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+def _bits(found: np.ndarray) -> bytes:
+    """Parity bitmap of a set, packed: at least 1024 bits and two for each member. Halves of it fold onto each other."""
+    size = max(BITS, 1 << int(2 * max(1, len(found)) - 1).bit_length())
+    return np.packbits((np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _signed(sketch, words: int):
-    """Keep the rows whose text really is of the class it was looked up for, with size and bitmap."""
-    def run(batches):
-        for pdf in batches:
-            found = sets_of(as_bytes(pdf["text"]), words)
-            own, = sketch([pdf.assign(doc_id="")])
-            right = own["c"].to_numpy() == pdf["wanted"].to_numpy()
-            rows = pdf.assign(c=pdf["wanted"], n=own["n"].to_numpy(), bits=[np.packbits(_bits(s)).tobytes() for s in found])
-            yield rows.loc[right, ["c", "share", "n", "text", "bits"]].drop_duplicates("c")
-    return run
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap folded to ``size`` bytes; a fold never adds a difference."""
+    out = np.frombuffer(bits, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2:]
+    return out
 
 
 def _open(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -212,38 +210,74 @@ def _pivot_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     return best.select(F.least("c", "pivot").alias("a"), F.greatest("c", "pivot").alias("b")).distinct()
 
 
-def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    other = rows.select("token", F.col("c").alias("d"), F.col("n").alias("other"), F.col("root").alias("other_root"))
-    met = rows.join(other, "token").where((F.col("c") < F.col("d")) & (F.col("root") != F.col("other_root")) & _fits(percent))
-    return met.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
-
+def _all_pairs(rows: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """All pairs of a list in different components whose sizes and bitmaps allow the threshold.
 
-def _with(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
-    a = texts.select(F.col("c").alias("a"), F.col("n").alias("n_left"), F.col(column).alias("left"))
-    b = texts.select(F.col("c").alias("b"), F.col("n").alias("n_right"), F.col(column).alias("right"))
-    return pairs.join(a, "a").join(b, "b")
-
-
-def _bounded(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose bitmaps allow the threshold: the symmetric difference has at least as many members as bits that differ."""
+    Lists are dealt to shards of bounded size and compared there as arrays, so
+    pairs that cannot link never become rows. A list longer than ``block`` is cut
+    into blocks, and every two of its blocks meet in a place of their own.
+    """
+    sizes = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("k"), F.min("c").alias("a"), F.max("c").alias("b"), F.min("n").alias("n"), F.max("n").alias("other"))
+    twos = sizes.where((F.col("k") == 2) & _fits(percent)).select("a", "b")
+    cut = rows.join(sizes.where("k > 2").select("token", "k"), "token").withColumn("blocks", F.ceil(F.col("k") / block).cast("int"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
+        F.least("own", other).alias("first"), F.greatest("own", other).alias("second")))
+    dealt = cut.select("token", "c", "n", "root", "own", F.inline(F.when(F.col("blocks") > 1, places).otherwise(
+        F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"))))))
+    dealt = dealt.join(classes.select("c", "short"), "c")
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("token", "first", "second"), F.lit(shards))
+    met = dealt.withColumn("shard", shard).groupBy("shard").applyInPandas(_compared(percent), "a long, b long")
+    return met.unionByName(twos).distinct()
+
+
+def _compared(percent: int):
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["token", "first", "second", "n"], ignore_index=True)
+        keys = pdf[["token", "first", "second"]].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(pdf)]])
+        ids, n, own = pdf["c"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy()
+        root = pd.factorize(pdf["root"])[0]
+        bits = np.frombuffer(b"".join(pdf["short"]), np.uint64).reshape(len(pdf), -1)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for start, end in zip(edges[:-1], edges[1:]):
+            across = keys[start, 1] != keys[start, 2]  # two blocks: only pairs between them are met here
+            for i in range(start, end - 1):
+                last = np.searchsorted(n[i + 1:end], n[i] * 100 // percent, "right") + i + 1
+                others = np.arange(i + 1, last)
+                others = others[(root[others] != root[i]) & ((own[others] != own[i]) | (not across))]
+                if len(others):
+                    differ = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
+                    shared = (n[others] + n[i] - differ) // 2
+                    others = others[100 * shared >= percent * (n[others] + n[i] - shared)]
+                    left.append(np.full(len(others), ids[i]))
+                    right.append(ids[others])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return compare
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps allow the threshold: sets differ in at least as many members as their bitmaps in bits."""
     def run(batches):
         for pdf in batches:
             keep = np.zeros(len(pdf), bool)
-            for i, (left, right) in enumerate(zip(pdf["left"], pdf["right"])):
-                x, y = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (left, right))
-                while len(x) != len(y):
-                    if len(x) > len(y):
-                        x, y = y, x
-                    y = y[: len(y) // 2] ^ y[len(y) // 2:]
-                n, m = pdf["n_left"].iloc[i], pdf["n_right"].iloc[i]
-                shared = (n + m - int((x ^ y).sum())) // 2
+            for i, (x, y, n, m) in enumerate(zip(pdf["left"], pdf["right"], pdf["n"], pdf["m"])):
+                size = min(len(x), len(y))
+                shared = (n + m - int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())) // 2
                 keep[i] = 100 * shared >= percent * (n + m - shared)
             yield pdf.loc[keep, ["a", "b"]]
 
-    return _with(pairs, texts, "bits").mapInPandas(run, "a long, b long")
+    a = classes.select(F.col("c").alias("a"), "n", F.col("bits").alias("left"))
+    b = classes.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("bits").alias("right"))
+    return pairs.join(a, "a").join(b, "b").mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs with whether they link, by the shingles of their texts."""
     def run(batches):
         for pdf in batches:
             for first in range(0, len(pdf), 100):
@@ -253,7 +287,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 total = np.array([len(x) + len(y) for x, y in zip(left, right)])
                 yield part[["a", "b"]].assign(linked=100 * shared >= percent * (total - shared))
 
-    return _with(pairs, texts, "text").mapInPandas(run, "a long, b long, linked boolean")
+    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    wanted = classes.select("c", "doc_id", "version").join(wanted, "c")
+    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "version"]).groupBy("c").agg(F.first("text").alias("text"))
+    a, b = texts.select(F.col("c").alias("a"), F.col("text").alias("left")), texts.select(F.col("c").alias("b"), F.col("text").alias("right"))
+    return pairs.join(a, "a").join(b, "b").mapInPandas(run, "a long, b long, linked boolean")
 
 
 def _components(links: DataFrame) -> DataFrame:

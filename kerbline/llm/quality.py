@@ -131,6 +131,8 @@ def train(documents: DataFrame, positives: DataFrame, max_positive: int = MAX_PO
 
     def measured(batches):
         for pdf in batches:
+            if pdf.empty:
+                continue
             yield pd.DataFrame({"x": [row.tobytes() for row in features(as_bytes(pdf["text"]))]})
 
     def collected(df: DataFrame, most: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import matrix, small_batches
+from kerbline.llm.common import matrix
 from kerbline.session import Written
 
 GROUP_ROWS = 16_384   # vectors in a group, about
@@ -84,6 +84,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def _pack(batches):
     for pdf in batches:
+        if pdf.empty:
+            continue
         rows = [np.asarray(v, np.int64) for v in pdf["vec"]]
         yield pd.DataFrame({
             "id": pdf["id"], "dim": [len(v) for v in rows],

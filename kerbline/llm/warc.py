@@ -141,13 +141,13 @@ def _number(batches):
 
 
 def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each candidate of a split, where the chain that starts there leaves the split (null: nowhere)."""
+    """For each candidate of a split, where the chain that starts there leaves the split (-1: nowhere)."""
     pdf = pdf.sort_values("offset")
-    leaves: dict[int, int | None] = {}
+    leaves: dict[int, int] = {}
     last = int(pdf["offset"].iloc[-1])
     for offset, after in zip(pdf["offset"].to_numpy()[::-1], pdf["next"].to_numpy()[::-1]):
-        leaves[offset] = after if after > last else leaves.get(after)
-    return pdf.assign(leaves=pd.array([leaves[o] for o in pdf["offset"].to_numpy()], dtype="Int64"))
+        leaves[offset] = after if after > last else leaves.get(after, -1)
+    return pdf.assign(leaves=[leaves[o] for o in pdf["offset"].to_numpy()])
 
 
 def _jump(claims: DataFrame, written: Written) -> DataFrame:
@@ -157,7 +157,7 @@ def _jump(claims: DataFrame, written: Written) -> DataFrame:
     """
     known = claims.select("file", "block", "offset")
     reached = written.keep(known.where("offset = 0").select("file", "offset"))
-    jumps = claims.where("leaves IS NOT NULL").select("file", "offset", F.col("leaves").alias("to"))
+    jumps = claims.where("leaves >= 0").select("file", "offset", F.col("leaves").alias("to"))
     jumps = written.keep(jumps.join(known.select("file", F.col("offset").alias("to")), ["file", "to"]).select("file", "offset", "to"))
     while not jumps.isEmpty():
         further = reached.join(jumps, ["file", "offset"]).select("file", F.col("to").alias("offset"))
@@ -175,7 +175,7 @@ def _mark(claims: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         while offset in after:
             out.append(offset)
             offset = after.pop(offset)
-    return pd.DataFrame({"file": [claims["file"].iloc[0]] * len(out) if out else [], "offset": np.array(out, np.int64)})
+    return pd.DataFrame({"file": pd.Series([claims["file"].iloc[0]] * len(out) if out else [], dtype=object), "offset": np.array(out, np.int64)})
 
 
 def _assembled(pieces: DataFrame, nodes: DataFrame, records: DataFrame, parted: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def _assembled(pieces: DataFrame, nodes: DataFrame, records: DataFrame, parted:
     owner = F.last("start", True).over(Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("start", owner).select("file", "block", "seq", "offset", "start")
     rows = rows.join(parted.select("file", F.col("offset").alias("start"), "next"), ["file", "start"]).where("offset < next")
-    texts = pieces.select("file", "block", "size", "value").mapInPandas(_number, "file string, block long, seq long, value string")
+    texts = pieces.select("file", "block", "size", "value").mapInPandas(_number, "file string, block long, size long, value string, seq long, place long").drop("size", "place")
     texts = texts.join(rows, ["file", "block", "seq"])
     whole = texts.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)

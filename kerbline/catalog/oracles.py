@@ -332,12 +332,20 @@ def _raw_queries() -> dict[str, str]:
     }
 
 
-def _visits(left: float) -> str:
+FILTERED = f"filtered AS (SELECT * FROM labelled WHERE police_station = {_text(STATION)} AND cis >= {MIN_CIS})"
+NARROWED = f"""narrowed AS (
+  SELECT cluster_label, {_mean('latitude')} AS lat, {_mean('longitude')} AS lng, count(*) AS violations_count,
+    {RAW} AS avg_cis, {MILLI} * 375 / 1e4 AS economic_loss, arg_min(police_station, id) AS police_station
+  FROM filtered WHERE cluster_label <> -1 GROUP BY cluster_label)"""
+
+
+def _visits(left: float, source: str = "clusters", *more: str) -> str:
     """Patrol plan: the 15 clusters with most loss left, visited by their full loss."""
     return _clustered(
         """SELECT patrol, string_agg('Hotspot #' || cluster_label, ' -> ' ORDER BY rank) AS route,
   round(sum(economic_loss), 4) AS loss, round(avg(avg_cis), 6) AS avg_cis FROM visits GROUP BY patrol""",
-        f"""considered AS (SELECT * FROM clusters ORDER BY economic_loss * {left!r}::DOUBLE DESC, economic_loss DESC, cluster_label LIMIT 15)""",
+        *more,
+        f"""considered AS (SELECT * FROM {source} ORDER BY economic_loss * {left!r}::DOUBLE DESC, economic_loss DESC, cluster_label LIMIT 15)""",
         f"""visits AS (
   SELECT *, (rank - 1) // {PER_UNIT} + 1 AS patrol
   FROM (SELECT *, row_number() OVER (ORDER BY economic_loss DESC, cluster_label) AS rank FROM considered) WHERE rank <= {UNITS * PER_UNIT})""")
@@ -392,6 +400,10 @@ WHERE v.place = 1 AND w.place = 1""",
             "milli * 345 / 1e6 AS co2_wasted, (milli * 375) // 1500000 AS economic_cost, "
             "(milli * 345) // 150000000 AS co2_impact, lat, lng FROM summary"),
         "top_junctions": _city_junctions("SELECT * FROM top", _top(10)),
+        "top_details": _city_junctions(
+            """SELECT t.junction_name, t.violations, t.cis, m.vehicle_mix_detail AS vehicle_mix, p.peak_hour_text AS peak_hour_violations,
+  s.lat AS latitude, s.lng AS longitude, t.recommendation
+FROM top t JOIN summary s USING (junction_name) JOIN mix_text m USING (junction_name) JOIN peak p USING (junction_name)""", _top(10)),
         "vehicle_mix": _city_junctions("SELECT junction_name, vehicle_type, n, percentage FROM mix"),
         "vehicle_mix_top": _user_junctions("SELECT * FROM mix_text"),
         "peak_hour": _user_junctions("SELECT * FROM peak"),
@@ -421,6 +433,14 @@ FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.juncti
             "AND regexp_matches(lower(vehicle_mix), 'tanker|bus|lgv|hcv')"),
         "search_hotspots": _user_junctions(
             "SELECT id, name, jurisdiction FROM hotspots WHERE lower(name) LIKE '%circle 1%' OR lower(jurisdiction) LIKE '%circle 1%'"),
+        "filtered_kpis": _clustered(
+            f"""SELECT count(*) AS violations, {MILLI} * 25 / 1e5 * {LEFT} AS delay_hours, {loss} AS economic_loss,
+  {loss} / 1e5 AS loss_lakh, {carbon} AS co2_kg, {carbon} / 1e3 AS co2_tonnes,
+  count(DISTINCT cluster_label) FILTER (cluster_label <> -1) AS active_hotspots FROM filtered""", FILTERED),
+        "filtered_clusters": _clustered(
+            f"""SELECT cluster_label, lat, lng, violations_count, avg_cis, economic_loss * {LEFT} AS economic_loss_compliant,
+  police_station, {TIERS} AS priority_tier FROM narrowed""", FILTERED, NARROWED),
+        "filtered_patrols": _visits((100 - COMPLIANCE) / 100.0, "narrowed", FILTERED, NARROWED),
         "kpis": _clustered(
             f"""SELECT count(*) AS violations, {MILLI} * 25 / 1e5 * {LEFT} AS delay_hours, {loss} AS economic_loss,
   {loss} / 1e5 AS loss_lakh, {carbon} AS co2_kg, {carbon} / 1e3 AS co2_tonnes,

@@ -15,6 +15,7 @@ from kerbline.functions import bands, rounding, scoring
 from kerbline.operators import (
     approval, audit, clusters, corridors, dbscan, dispatch, explore, feed, junctions, ranking,
 )
+from kerbline.plans import dashboard
 from kerbline.sources import dimensions
 from kerbline.sources.tickets import rejected_counts, type_violations
 
@@ -123,6 +124,11 @@ def top_junctions(spark, sf_dir):
     return junctions.top_junctions(scored(spark, sf_dir))
 
 
+@query
+def top_details(spark, sf_dir):
+    return junctions.top_details(scored(spark, sf_dir))
+
+
 @query
 def vehicle_mix(spark, sf_dir):
     return junctions.vehicle_mix(scored(spark, sf_dir))
@@ -386,6 +392,28 @@ def weight_contributions(spark, sf_dir):
     return audit.weight_contributions(_labelled(spark, sf_dir))
 
 
+# --- a dashboard page on filtered rows ---------------------------------------
+def _page(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return dashboard.page(_labelled(spark, sf_dir), station=STATION, min_cis=MIN_CIS, compliance_rate=COMPLIANCE, units=UNITS, per_unit=PER_UNIT)
+
+
+@query
+def filtered_kpis(spark, sf_dir):
+    return _page(spark, sf_dir)["kpis"]
+
+
+@query
+def filtered_clusters(spark, sf_dir):
+    return _page(spark, sf_dir)["clusters"].select(
+        "cluster_label", "lat", "lng", "violations_count", "avg_cis", "economic_loss_compliant", "police_station", "priority_tier")
+
+
+@query
+def filtered_patrols(spark, sf_dir):
+    return _page(spark, sf_dir)["patrols"].select(
+        "patrol", "route", F.round("loss", 4).alias("loss"), F.round("avg_cis", 6).alias("avg_cis"))
+
+
 # --- dispatch ----------------------------------------------------------------
 def _patrol_plan(spark: SparkSession, sf_dir: str, compliance: float) -> DataFrame:
     summary = clusters.cluster_summary(_labelled(spark, sf_dir))

@@ -191,7 +191,7 @@ def _profiles(df: DataFrame) -> DataFrame:
         "lat": rounding.round_np(rounding.mean_degrees("lat"), 5),
         "lng": rounding.round_np(rounding.mean_degrees("lng"), 5),
         "mix": F.transform("mix", lambda v: F.struct(
-            bands.clean_vehicle(v["vehicle"]).alias("name"),
+            bands.clean_vehicle(v["vehicle"]).alias("name"), v["vehicle"].alias("vehicle"),
             bands.share_percent(v["n"], F.col("violations")).alias("percentage"))),
     })
 
@@ -246,6 +246,18 @@ def junction_metadata(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     )
 
 
+def top_details(df: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` junctions with most violations: mean score, vehicle mix, busiest hour, place and advice."""
+    top = _profiles(df).orderBy(F.desc("violations"), F.asc("junction_name")).limit(n)
+    return top.select(
+        "junction_name", "violations", rounding.round_np(F.col("raw_cis"), 2).alias("cis"),
+        _mix_text("mix", "vehicle", 1).alias("vehicle_mix"),
+        F.format_string("%02d:00 (%d violations)", "peak_hour_val", "peak_hour_violations").alias("peak_hour_violations"),
+        F.col("lat").alias("latitude"), F.col("lng").alias("longitude"),
+        bands.action_from_raw(F.col("raw_cis")).alias("recommendation"),
+    )
+
+
 def top_junctions(df: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` junctions with most violations, with the action for their mean score."""
     sums = scoring.with_milli(named_junctions(df)).groupBy("junction_name").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerbline.functions import scoring
 from kerbline.operators import approval, clusters
+from kerbline.session import Written
 from kerbline.sources import snapshot, tickets
 
 
@@ -15,7 +16,9 @@ def score_and_cluster(scored: DataFrame, rounds: int = approval.ROUNDS,
     model = approval.fit_approval(scored, rounds)
     if model is not None and model_path is not None:
         model.save(model_path)
-    return clusters.attach_clusters(approval.score_approval(model, scored))
+    # Written once: clusters are found on the likely tickets and then joined to all, and the trees run only here.
+    likely = Written(scored.sparkSession, "scores").keep(approval.score_approval(model, scored))
+    return clusters.attach_clusters(likely)
 
 
 def run(spark: SparkSession, raw_path: str, staging_path: str, scored_path: str, model_path: str | None = None,

@@ -38,6 +38,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
+        atexit.register(_delete, df.sparkSession, context.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
@@ -54,7 +55,7 @@ class Written:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.count = 0
-        atexit.register(self._delete, self.root)
+        atexit.register(_delete, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -69,14 +70,16 @@ class Written:
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            self._delete(self.paths.pop(id(table)))
-
-    def _delete(self, path: str) -> None:
-        context = self.spark.sparkContext
-        if context._jsc is None or context._jvm is None:
-            return
-        try:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may have ended; the folder then stays
-            return
+            _delete(self.spark, self.paths.pop(id(table)))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files; after the session has ended it stays."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jvm is None:
+        return
+    try:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:
+        return

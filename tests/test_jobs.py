@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kerbline import constants as C
 from kerbline.functions import scoring
 from kerbline.operators import approval, junctions
-from kerbline.plans import publish_hotspots, score_tickets
+from kerbline.plans import dashboard, publish_hotspots, score_tickets
 from kerbline.sources import snapshot, tickets
 from kerbline.streaming import scores
 
@@ -129,3 +129,25 @@ def test_split_and_encoders(spark):
     codes = {r.vehicle_type: r.code for r in encoders["vehicle_type"].collect()}
     assert codes == {v: i for i, v in enumerate(sorted(codes))} and len(codes) == 11
     assert approval.encode(rows, encoders).where("vehicle_type_enc is null").count() == 0
+
+
+def test_dashboard_page(spark, job):
+    page = dashboard.run(spark, job["scored"], station="S1", min_cis=0.1, compliance_rate=50.0, units=1, per_unit=2)
+    rows = snapshot.read_scored(spark, job["scored"]).where("police_station = 'S1' AND cis >= 0.1")
+    assert page["kpis"].first().violations == rows.count()
+    clusters = page["clusters"].collect()
+    assert {c.cluster_label for c in clusters} == {r.cluster_label for r in rows.where("cluster_label <> -1").select("cluster_label").distinct().collect()}
+    assert page["patrols"].first().route == " -> ".join(f"Hotspot #{c.cluster_label}" for c in sorted(clusters, key=lambda c: -c.economic_loss)[:2])
+
+
+def test_trees_run_once(spark, job):
+    """The scores are read back from a table; the trees are in no plan behind them."""
+    staged = spark.read.parquet(job["staging"] + "/tickets")
+    plan = score_tickets.score_and_cluster(staged, rounds=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "probability" in plan and "UDF" not in plan
+
+
+def test_fit_on_a_bounded_sample(spark, job):
+    staged = spark.read.parquet(job["staging"] + "/tickets")
+    model = approval.fit_approval(staged, rounds=1, max_labelled=100)
+    assert approval.score_approval(model, staged).count() == staged.count()

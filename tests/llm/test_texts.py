@@ -96,7 +96,10 @@ def kept_lines(rows, shingle=10, least=20):
             if len(line) >= least:
                 places[line] = min(places.get(line, (i, pos)), (i, pos))
     lines = list(places)
-    sets = [{line[k:k + shingle] for k in range(len(line) - shingle + 1)} for line in lines]
+    sets = []
+    for line in lines:
+        found = re.findall(rf"(?<!\S)(?=(\S.{{0,{shingle - 1}}}))", line, re.S | re.A)
+        sets.append(set(found) if len(found) * 16 >= len(line) else {line[k:k + shingle] for k in range(len(line) - shingle + 1)})
     links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     roots = components(range(len(lines)), links)
     for k, line in enumerate(lines):
@@ -111,8 +114,8 @@ def kept_lines(rows, shingle=10, least=20):
     return sorted(out)
 
 
-@pytest.mark.parametrize("rounds", [2, 0])
-def test_fuzzy_lines(spark, rounds):
+@pytest.mark.parametrize(("rounds", "block"), [(2, 2_000), (0, 2_000), (0, 3)])
+def test_fuzzy_lines(spark, rounds, block):
     """Near lines here are well above the threshold, where no band is missed in practice."""
     rng = seeded(5)
     base = [prose(rng, 50) for _ in range(8)]
@@ -127,7 +130,7 @@ def test_fuzzy_lines(spark, rounds):
         rows.append((i, "\n".join([*lines, "short", lines[0]]), "s"))
     rows += [(50, "", "s"), (51, None, "s"), (52, "\n\n", "s"), (None, base[0], "s"), (None, None, None), rows[4], rows[4],
              (53, "no-blanks-" * 40, "s"), (54, "no-blanks-" * 40, "s"), (55, "漢字" * 30 + "é", "s"), (56, "x" * 20_000, "s")]
-    got = line_dedup.digest(documents(spark, rows, ("line", "lines", "h1")), pivot_rounds=rounds).collect()
+    got = line_dedup.digest(documents(spark, rows, ("line", "lines", "h1")), pivot_rounds=rounds, block=block).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_lines, r.n_removed, r.kept_sha256 or "") for r in got) == kept_lines(rows)
 
 

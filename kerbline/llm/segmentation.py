@@ -2,8 +2,9 @@
 
 The lattice of a text has an arc for every piece of the vocabulary that matches,
 and byte pieces for characters outside it. Pieces never cross from one word into
-the next (a piece holds the word mark only at its front, which is checked), so
-the lattice is a chain of word lattices. Each word's forward Viterbi scores are
+the next (a piece holds the word mark only at its front, which is checked), nor
+from a letter into most punctuation (the marks for which that holds are found in
+the vocabulary), so the lattice is a chain of small lattices, here called words. Each word's forward Viterbi scores are
 exact heuristics for a backward A-star search that yields its segmentations, best
 first. Among the n best of a text only the n - 1 words whose second choice costs
 least can deviate, hence the search runs on those alone.
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import small_batches
 
 MARK = "▁"
-WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+LETTER = r"[^\W\d_]"
 BEST = 4
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+CACHED_CHOICES = 50_000
 UNKNOWN = 10.0         # a byte piece costs this much more than the dearest piece
 RARE = -1e8            # pieces scored below this stand apart from the usual scores
 
@@ -54,11 +56,17 @@ class Pieces:
                 self.vocabulary[piece] = (model.get_score(i), i)
         if any(MARK in p.lstrip(MARK) for p in self.vocabulary):
             raise ValueError("a piece crosses words; this model has no chain of word lattices")
+        # Every beginning of a piece, with the piece's score and id if it is one itself.
+        self.beginnings: dict[str, tuple[float, int] | None] = {p[:n]: None for p in self.vocabulary for n in range(1, len(p))}
+        self.beginnings |= self.vocabulary
+        joined = set(re.findall(f"(?<={LETTER})[^\\w{MARK}]", "\n".join(self.vocabulary)))
+        apart = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in joined)
+        rest = f"(?:[^{MARK}{apart}]+|(?<!{LETTER})[{apart}])" if apart else f"[^{MARK}]+"
+        self.words = re.compile(f"{MARK}*{rest}+|[{apart}]{rest}*|{MARK}+" if apart else f"{MARK}*{rest}|{MARK}+")
         self.longest = max(map(len, self.vocabulary))
         self.byte_ids, self.byte_score = byte_ids, min(s for s, _ in self.vocabulary.values() if s > RARE) - UNKNOWN
-        # Two generations of remembered words: when the young one is full, words not met since are forgotten.
-        self.known: dict[str, tuple[bytes, float, float]] = {}
-        self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.known = _Words(self)
+        self.choices: dict[tuple[str, int], list[Segmentation]] = {}
 
     def arcs(self, word: str, end: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
         """(start, score, ids) of the arcs that end at ``end``."""
@@ -70,51 +78,45 @@ class Pieces:
             raw = word[end - 1].encode("utf-8", "surrogatepass")
             yield end - 1, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)
 
-    def forward(self, word: str) -> tuple[list[float], list[float], list[tuple[int, tuple[int, ...]]]]:
+    def forward(self, word: str) -> tuple[list[float], list[float], list[tuple[int, int | tuple[int, ...]]]]:
         """Best and second best score of every prefix, and the last arc of the best."""
-        none = float("-inf")
-        best, second, last = [0.0], [none], [(0, ())]
-        get, longest = self.vocabulary.get, self.longest
-        for end in range(1, len(word) + 1):
-            a = b = none
-            arc = None
-            for start in range(end - longest if end > longest else 0, end):
-                found = get(word[start:end])
+        none, size = float("-inf"), len(word)
+        best, second, last = [0.0] + [none] * size, [none] * (size + 1), [(0, 0)] * (size + 1)
+        get, absent = self.beginnings.get, ()
+        for start in range(size):
+            here, next_here, alone = best[start], second[start], get(word[start])
+            for end in range(start + 1, size + 1):
+                found = get(word[start:end], absent)
                 if found:
-                    score = best[start] + found[0]
-                    if score > a:
-                        a, b, arc = score, max(a, second[start] + found[0]), (start, found[1])
-                    else:
-                        b = max(b, score)
-            if word[end - 1] not in self.vocabulary:
-                for start, gain, ids in ((s, g, i) for s, g, i in self.arcs(word, end) if s == end - 1):
-                    score = best[start] + gain
-                    if score > a:
-                        a, b, arc = score, max(a, second[start] + gain), (start, ids)
-                    else:
-                        b = max(b, score)
-            best.append(a)
-            second.append(b)
-            last.append(arc)
+                    score = here + found[0]
+                    if score > best[end]:
+                        second[end] = best[end] if best[end] > next_here + found[0] else next_here + found[0]
+                        best[end], last[end] = score, (start, found[1])
+                    elif score > second[end]:
+                        second[end] = score
+                elif found is absent:
+                    break
+            if not alone:  # a character that is no piece
+                raw, end = word[start].encode("utf-8", "surrogatepass"), start + 1
+                gain = self.byte_score * len(raw)
+                score = here + gain
+                if score > best[end]:
+                    second[end] = max(best[end], next_here + gain)
+                    best[end], last[end] = score, (start, tuple(self.byte_ids[b] for b in raw))
+                elif score > second[end]:
+                    second[end] = score
         return best, second, last
 
-    def best_of(self, word: str) -> tuple[bytes, float, float]:
-        """(ids, score, cost of the second choice) of a word, remembered."""
-        found = self.known.get(word)
-        if found is None:
-            found = self.older.get(word)
-            if found is not None:
-                self.known[word] = found
-                return found
-            best, second, last = self.forward(word)
-            ids, end = [], len(word)
-            while end:
-                end, piece = last[end]
-                ids.append(piece) if isinstance(piece, int) else ids.extend(reversed(piece))
-            ids.reverse()
-            found = array("I", ids).tobytes(), best[-1], best[-1] - second[-1]
-            self.known[word] = found
-        return found
+    def best_of(self, word: str) -> tuple[bytes, float, float, bool]:
+        """(ids, score, cost of the second choice, whether the ids spell the word) of a word."""
+        best, second, last = self.forward(word)
+        ids, end = [], len(word)
+        while end:
+            end, piece = last[end]
+            ids.append(piece) if isinstance(piece, int) else ids.extend(reversed(piece))
+        ids.reverse()
+        spelt = b"".join(map(self.bytes_of.__getitem__, ids)) == word.replace(MARK, " ").encode("utf-8", "surrogatepass")
+        return array("I", ids).tobytes(), best[-1], best[-1] - second[-1], spelt
 
     def segmentations(self, word: str, n: int) -> list[Segmentation]:
         """The ``n`` best segmentations of a word, best first: A-star from its end."""
@@ -142,19 +144,24 @@ class Pieces:
         """
         if not text:
             return [(0.0, b"", True)]
-        if len(self.known) > CACHED_WORDS // 2:
-            self.known, self.older = {}, self.known
-        words = WORDS.findall(MARK + text.replace(" ", MARK))
-        firsts = [self.best_of(w) for w in words]
-        ids, total = [f[0] for f in firsts], sum(f[1] for f in firsts)
-        loose = heapq.nsmallest(n - 1, ((f[2], i) for i, f in enumerate(firsts) if f[2] != float("inf")))
+        self.known.forget()
+        if len(self.choices) > CACHED_CHOICES:
+            self.choices.clear()
+        words = self.words.findall(MARK + text.replace(" ", MARK))
+        ids, scores, costs, spelt = zip(*map(self.known.__getitem__, words))
+        total, exact = sum(scores), all(spelt) and MARK not in text
+        loose = [(c, i) for c, i in heapq.nsmallest(n - 1, zip(costs, range(len(costs)))) if c != float("inf")]
         # Combine the loose words' choices, cheapest first; choices[k] = (costs, segmentations) of the k-th loose word.
         choices = []
-        for _, i in loose:  # of equally good ones, the Viterbi path comes first
-            own = tuple(memoryview(ids[i]).cast("I"))
-            choices.append([(firsts[i][1], own), *(o for o in self.segmentations(words[i], n) if o[1] != own)][:n])
+        for _, i in loose:
+            found = self.choices.get((words[i], n))
+            if found is None:  # of equally good ones, the Viterbi path comes first
+                own = tuple(memoryview(ids[i]).cast("I"))
+                found = [(scores[i], own), *(o for o in self.segmentations(words[i], n) if o[1] != own)][:n]
+                if len(words[i]) < 32:
+                    self.choices[words[i], n] = found
+            choices.append(found)
         spelt = [[b"".join(map(self.bytes_of.__getitem__, o[1])) for o in options] for options in choices]
-        exact = self.decode(memoryview(b"".join(ids)).cast("I")) == text
         queue, seen, out = [(0.0, (0,) * len(loose))], {(0,) * len(loose)}, []
         while queue and len(out) < n:
             cost, picks = heapq.heappop(queue)
@@ -177,6 +184,24 @@ class Pieces:
         return raw.decode("utf-8", "replace")[1:] if raw.startswith(b" ") else raw.decode("utf-8", "replace")
 
 
+class _Words(dict):
+    """Remembered results of ``best_of``, in two generations: when the young one is full, words not met since are forgotten."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces, self.older = pieces, {}
+
+    def __missing__(self, word: str) -> tuple[bytes, float, float, bool]:
+        found = self.older.get(word)
+        self[word] = found = self.pieces.best_of(word) if found is None else found
+        return found
+
+    def forget(self) -> None:
+        if len(self) > CACHED_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 _loaded: dict[str, Pieces] = {}
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.common import as_bytes, small_batches, texts_in_steps
 
-MAX_LABELLED = 16_000  # labelled rows the fit reads at most, chosen by a hash of their id
+MAX_LABELLED = 8_000   # labelled rows the fit reads at most, chosen by a hash of their id
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)   # bytes of the word beginnings that are features besides the words
 LEAST_ROWS = 4         # labelled rows a feature must stand in to get a weight
@@ -48,9 +48,9 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for first, hashes, counts in texts_in_steps([_PLAIN[np.frombuffer(t, np.uint8)].tobytes() for t in texts], PREFIXES):
         own = np.repeat(np.arange(first, first + len(counts)), counts) * BUCKETS
         keys = np.unique(((hashes % np.uint64(BUCKETS)).astype(np.int64) + own)[hashes != 0])
-        rows.append(keys // BUCKETS)
-        buckets.append(keys % BUCKETS)
-    empty = np.empty(0, np.int64)
+        rows.append((keys // BUCKETS).astype(np.int32))
+        buckets.append((keys % BUCKETS).astype(np.int32))
+    empty = np.empty(0, np.int32)
     return np.concatenate([empty, *rows]), np.concatenate([empty, *buckets])
 
 
@@ -91,7 +91,7 @@ def fit(texts: list[bytes], labels: np.ndarray, groups: Sequence[Sequence[str]]
     for group in terms:
         common[np.concatenate(group)] = True
     keep = common[buckets]
-    rows, buckets = rows[keep], buckets[keep]
+    rows, buckets = rows[keep].copy(), buckets[keep].copy()
     used, at = np.unique(np.concatenate([buckets, *[f for group in terms for f in group]]), return_inverse=True)
     at = at[: len(buckets)]
     # Swaps that occur: a term for each other term of its group, weighted by the share of labelled texts that hold it.

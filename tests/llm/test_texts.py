@@ -5,6 +5,7 @@ import itertools
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from kerbline.llm import line_dedup, ngram_join, substring_dedup
 from tests.llm.helpers import awkward_documents, components, documents, prose, seeded
@@ -96,10 +97,7 @@ def kept_lines(rows, shingle=10, least=20):
             if len(line) >= least:
                 places[line] = min(places.get(line, (i, pos)), (i, pos))
     lines = list(places)
-    sets = []
-    for line in lines:
-        found = re.findall(rf"(?<!\S)(?=(\S.{{0,{shingle - 1}}}))", line, re.S | re.A)
-        sets.append(set(found) if len(found) * 16 >= len(line) else {line[k:k + shingle] for k in range(len(line) - shingle + 1)})
+    sets = [{line[k:k + shingle] for k in range(len(line) - shingle + 1)} for line in lines]
     links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     roots = components(range(len(lines)), links)
     for k, line in enumerate(lines):
@@ -134,6 +132,24 @@ def test_fuzzy_lines(spark, rounds, block):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_lines, r.n_removed, r.kept_sha256 or "") for r in got) == kept_lines(rows)
 
 
+def test_lines_that_differ_behind_a_words_tenth_character(spark):
+    """The runs at words are equal in both lines; of all runs they share half."""
+    rows = [(i, " ".join(f"ab{k:08}{end * 5}" for k in range(6)), "s") for i, end in enumerate("xyz")]
+    got = line_dedup.digest(documents(spark, rows)).collect()
+    assert sorted((False, r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in got) == kept_lines(rows)
+    assert all(r.n_removed == 0 for r in got)
+
+
+def test_runs_of_characters(spark):
+    """The same rule for ASCII and other lines, short ones and characters outside the basic plane."""
+    texts = ["abc", "0123456789", "01234567890", "é" * 12, "x😀y漢z" * 5, "aé\nb" * 6, " " * 30]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, line string")
+    runs = [(n, t[k:k + 10]) for n, t in enumerate(texts) for k in range(max(1, len(t) - 9))]
+    wanted = spark.createDataFrame(runs, "n int, run string").select("n", F.xxhash64("run").alias("h")).distinct().collect()
+    got = rows.select("n", F.explode(line_dedup._shingles(F.col("line"), 10)).alias("h")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, wanted))
+
+
 def test_other_columns_stay(spark):
     rows = awkward_documents(seeded(6), 10)
     df = documents(spark, rows, ("row", "_id", "_version", "_starts", "gone"))

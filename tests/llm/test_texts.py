@@ -140,6 +140,15 @@ def test_lines_that_differ_behind_a_words_tenth_character(spark):
     assert all(r.n_removed == 0 for r in got)
 
 
+def test_near_lines_with_long_words(spark):
+    """One character more, where a rule by the number of words would take other runs of the two lines."""
+    texts = [" ".join(f"abcdefghijklmn{k}" for k in range(3)) + " abcdefghijklmn34", "https://host.example/a/long/path?key=0123456789 end of line"]
+    rows = [(2 * i + k, text + "5" * k, "s") for i, text in enumerate(texts) for k in range(2)]
+    got = line_dedup.digest(documents(spark, rows)).collect()
+    assert sorted((False, r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in got) == kept_lines(rows)
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
 def test_runs_of_characters(spark):
     """The same rule for ASCII and other lines, short ones and characters outside the basic plane."""
     texts = ["abc", "0123456789", "01234567890", "é" * 12, "x😀y漢z" * 5, "aé\nb" * 6, " " * 30]

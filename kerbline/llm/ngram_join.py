@@ -227,12 +227,17 @@ def _all_pairs(rows: DataFrame, classes: DataFrame, percent: int, block: int) ->
     dealt = cut.select("token", "c", "n", "root", "own", F.inline(F.when(F.col("blocks") > 1, places).otherwise(
         F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"))))))
     dealt = dealt.join(classes.select("c", "short"), "c")
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64("token", "first", "second"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("token", "first", "second"), F.lit(_shards(sizes, block)))
     met = dealt.withColumn("shard", shard).groupBy("shard").applyInPandas(_compared(percent), "a long, b long")
     return met.unionByName(twos).distinct()
 
 
+def _shards(sizes: DataFrame, block: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Shards for lists of ``k`` members, each of which comes once for every block of its list."""
+    dealt = sizes.where("k > 2").agg(F.sum(F.col("k") * F.ceil(F.col("k") / block))).first()[0] or 0
+    return max(1, -(-dealt // shard_rows))
+
+
 def _compared(percent: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["token", "first", "second", "n"], ignore_index=True)

@@ -90,6 +90,13 @@ def test_chains_of_near_copies(spark):
         assert sorted((False, r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
 
 
+def test_shards_hold_what_long_lists_deal(spark):
+    """A member comes once for each block of its list: 1,000 members in 10 blocks are 10,000 rows."""
+    sizes = spark.createDataFrame([(1_000,), (3,), (2,)], "k long")
+    assert ngram_join._shards(sizes, 100, 500) == 21
+    assert ngram_join._shards(sizes.where("k < 3"), 100, 500) == 1
+
+
 def kept_lines(rows, shingle=10, least=20):
     first, places = {}, {}
     for i, text, *_ in rows:

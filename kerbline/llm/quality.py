@@ -133,18 +133,20 @@ def train(documents: DataFrame, positives: DataFrame, max_positive: int = MAX_PO
         for pdf in batches:
             if pdf.empty:
                 continue
-            yield pd.DataFrame({"x": [row.tobytes() for row in features(as_bytes(pdf["text"]))]})
+            yield pd.DataFrame({"place": pdf["place"], "x": [row.tobytes() for row in features(as_bytes(pdf["text"]))]})
 
     def collected(df: DataFrame, most: int) -> np.ndarray:
-        got = [r["x"] for r in df.select("text").mapInPandas(measured, "x binary").toLocalIterator()][:most]
-        return np.frombuffer(b"".join(got), np.float32).reshape(-1, WIDTH)
+        """The first ``most`` rows in the order of their place."""
+        found = df.select("place", "text").mapInPandas(measured, "place long, x binary").toLocalIterator()
+        got = sorted((r["place"], bytes(r["x"])) for r in found)[:most]
+        return np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(-1, WIDTH)
 
     total = documents.count()
     share = min(1.0, 1.1 * max_unlabelled / max(1, total))
     # Equal rows fall on either side together only if their place in the table is equal too.
     place = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 30))
-    sample = rows.where(place < F.lit(int(share * (1 << 30)) + 1))
-    return fit(collected(trusted.orderBy(F.xxhash64("doc_id")), max_positive), collected(sample, max_unlabelled), prior)
+    sample = rows.withColumn("place", place).where(F.col("place") < F.lit(int(share * (1 << 30)) + 1))
+    return fit(collected(trusted.withColumn("place", F.xxhash64("doc_id")), max_positive), collected(sample, max_unlabelled), prior)
 
 
 def score(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

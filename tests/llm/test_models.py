@@ -26,6 +26,18 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.97
 
 
+def test_unlabelled_sample_reaches_the_end_of_the_table(spark, monkeypatch):
+    """The last source of a table of 4,000 rows is in a sample of 1,000 by its share."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda positive, unlabelled, prior: seen.append(unlabelled))
+    rows = [(i, "some plain words of a text" if i < 3_800 else "1234 5678 !!! 90 ???") for i in range(4_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    quality.train(df, df.where("doc_id < 3"), max_unlabelled=1_000)
+    last = quality.features([rows[-1][1].encode()])[0]
+    assert len(seen[0]) == 1_000
+    assert 20 <= (seen[0] == last).all(axis=1).sum() <= 90
+
+
 def test_counterfactual_penalty():
     """A group that is mostly mentioned in toxic training texts is not toxic by itself."""
     rng = seeded(1)

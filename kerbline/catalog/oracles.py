@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from kerbline import constants as C
-from kerbline.catalog.queries import COMPLIANCE, FEED_LINES, MIN_CIS, PER_UNIT, STATION, UNITS, VEHICLE
+from kerbline.catalog.queries import COMPLIANCE, FEED_LINES, MIN_CIS, PER_UNIT, STATED_TREES, STATION, UNITS, VEHICLE
 from kerbline.catalog.tables import PLACES, VEHICLES, VIOLATIONS
 from kerbline.functions.scoring import tenths
 
+INPUTS = "hour, day_of_week, month, w_size, w_type, w_road, vehicle_type, police_station, primary_violation"
 LEFT = f"{(100 - COMPLIANCE) / 100.0!r}::DOUBLE"
 
 
@@ -423,6 +424,14 @@ FROM top t JOIN summary s USING (junction_name) JOIN mix_text m USING (junction_
         "junction_records": _city_junctions(
             f"""SELECT id, name, jurisdiction, violations, raw_cis, cis, status, action AS recommendation, vehicle_mix, mix_data,
   peak_hour, peak_hour_val, peak_hour_violations, lat, lng, {TREND_TEXT} AS trend
+FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.junction_name = h.name"""),
+        "incremental_summary": _user_junctions(
+            "SELECT junction_name, jurisdiction, violations, raw_cis, milli * 375 / 1e4 AS economic_loss, "
+            "milli * 345 / 1e6 AS co2_wasted, (milli * 375) // 1500000 AS economic_cost, "
+            "(milli * 345) // 150000000 AS co2_impact, lat, lng FROM summary"),
+        "incremental_records": _city_junctions(
+            f"""SELECT name, jurisdiction, violations, raw_cis, cis, vehicle_mix, mix_data,
+  peak_hour, peak_hour_val, peak_hour_violations, lat, lng, {TREND_TEXT} AS trend
 FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.junction_name = h.name"""),
         "hotspot_feed": _feed(),
         "filter_rows": _scored(
@@ -520,6 +529,18 @@ FROM top3 t JOIN units u ON u.position = t.position""", TOP3,
   FROM (SELECT *, {SPLIT} AS is_train FROM scored WHERE validation_status IN ('approved', 'rejected')) GROUP BY is_train"""),
         "approval_scores": _scored("SELECT id, true AS is_probability FROM scored"),
         "approval_logloss": _scored(f"SELECT count(*) AS n, true AS is_bounded FROM scored WHERE validation_status IN ('approved', 'rejected') AND NOT {SPLIT}"),
+        "approval_share": _scored("""SELECT count(*) AS n, CAST(count(*) FILTER (validation_status = 'approved') AS DOUBLE) AS approved, true AS meets_share
+  FROM scored WHERE validation_status IN ('approved', 'rejected')"""),
+        "approval_repeats": _scored(f"""SELECT {INPUTS}, count(*) AS n, true AS same_score FROM scored GROUP BY {INPUTS}"""),
+        "approval_compiled": _scored("SELECT id, true AS agrees FROM scored"),
+        "tree_margins": _sql("SELECT id, CAST(sum(value) AS DOUBLE) AS margin FROM walk JOIN nodes USING (tree, node) WHERE feature IS NULL GROUP BY id", TICKETS,
+            "nodes(tree, node, feature, threshold, l, r, value) AS (VALUES " + ", ".join(
+                "(" + ", ".join("NULL" if v is None else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in row) + ")" for row in STATED_TREES) + ")",
+            """walk(id, x, tree, node) AS (
+  SELECT DISTINCT id, [CAST(hour AS DOUBLE), w_type, w_road], tree, 0 FROM scored CROSS JOIN nodes
+  UNION ALL
+  SELECT w.id, w.x, w.tree, CASE WHEN w.x[n.feature + 1] <= n.threshold THEN n.l ELSE n.r END
+  FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature IS NOT NULL)"""),
         "approval_default": _scored("SELECT id, 0.85e0 AS approval_probability FROM scored WHERE validation_status IS NULL"),
         "dbscan_odd_coordinates": _sql("SELECT id, cluster_label FROM labelled", ODD, CLUSTERS),
         "cluster_summary_odd": _clustered(

@@ -13,9 +13,11 @@ from kerbline.catalog.tables import (
 )
 from kerbline.functions import bands, rounding, scoring
 from kerbline.operators import (
-    approval, audit, clusters, corridors, dbscan, dispatch, explore, feed, junctions, ranking,
+    approval, audit, clusters, corridors, dbscan, dispatch, explore, feed, junctions, ranking, trees,
 )
+from kerbline.operators.junction_state import JunctionState
 from kerbline.plans import dashboard
+from kerbline.session import Written
 from kerbline.sources import dimensions
 from kerbline.sources.tickets import rejected_counts, type_violations
 
@@ -189,6 +191,32 @@ def junction_records(spark, sf_dir):
         _pairs_text("trend_data", "CIS").alias("trend"))
 
 
+def _followed(spark, sf_dir, per_user=False):
+    """The state after all tickets have come in five batches, out of order, one of them twice, with a merge in between."""
+    rows, e = scored(spark, sf_dir, per_user), F.col("id")
+    state = JunctionState(spark, f"{Written(spark, 'state').root}/junctions")
+    for step in (3, 0, 3, "merge", 3, 4, 1, "merge", 0, 2):
+        if step == "merge":
+            state.merge()
+        else:
+            state.apply(step, rows.where(e % 5 == step))
+    return state
+
+
+@query
+def incremental_summary(spark, sf_dir):
+    """The junction summary without reading any ticket twice."""
+    return _followed(spark, sf_dir, per_user=True).summary()
+
+
+@query
+def incremental_records(spark, sf_dir):
+    """Mix, busiest hour and trend of the junctions from the same state."""
+    return _followed(spark, sf_dir).records().select(
+        "name", "jurisdiction", "violations", "raw_cis", "cis", "vehicle_mix", "peak_hour", "peak_hour_val", "peak_hour_violations",
+        "lat", "lng", _pairs_text("vehicle_mix_data", "percentage").alias("mix_data"), _pairs_text("trend_data", "CIS").alias("trend"))
+
+
 @query
 def hotspot_feed(spark, sf_dir):
     """Feed of a published list: the busiest user-level junctions, among lines that are blank, renamed or without advice."""
@@ -459,20 +487,70 @@ def approval_split(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum("target").alias("approved"))
 
 
+_fits: dict[tuple[str, str], tuple[approval.ApprovalModel, DataFrame]] = {}
+
+
+def _fitted(spark, sf_dir):
+    """The model fitted on the tickets, and the tickets it has scored as a written table: once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _fits:
+        rows = scoring.score(tickets(spark, sf_dir))
+        model = approval.fit_approval(rows)
+        _fits[key] = model, Written(spark, "approval").keep(approval.score_approval(model, rows))
+    return _fits[key]
+
+
 @query
 def approval_scores(spark, sf_dir):
     """Every ticket's score, as what must hold for it: a probability, or the default without a model."""
-    rows = scoring.score(tickets(spark, sf_dir))
-    return approval.score_approval(approval.fit_approval(rows), rows).select(
-        "id", F.col("approval_probability").between(0.0, 1.0).alias("is_probability"))
+    return _fitted(spark, sf_dir)[1].select("id", F.col("approval_probability").between(0.0, 1.0).alias("is_probability"))
 
 
 @query
 def approval_logloss(spark, sf_dir):
-    """Validation rows, and whether the model's mean loss is a small number."""
-    rows = scoring.score(tickets(spark, sf_dir))
-    loss = approval.validation_loss(approval.fit_approval(rows), rows)
-    return loss.select("n", (F.col("log_loss") < 1.0).alias("is_bounded"))
+    """Validation rows, and whether the mean loss is below that of always saying their share of approvals."""
+    loss = approval.loss_of(approval.validation_rows(_fitted(spark, sf_dir)[1]))
+    return loss.select("n", (F.col("log_loss") < F.col("base_loss")).alias("is_bounded"))
+
+
+@query
+def approval_share(spark, sf_dir):
+    """Judged rows and approvals, and whether the mean score is within two hundredths of their share."""
+    judged = approval.labelled(_fitted(spark, sf_dir)[1])
+    sums = judged.agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("approved"), F.avg("approval_probability").alias("mean"))
+    return sums.select("n", "approved", (F.abs(F.col("mean") - F.col("approved") / F.col("n")) < 0.02).alias("meets_share"))
+
+
+@query
+def approval_repeats(spark, sf_dir):
+    """Per distinct model input: the tickets that share it, and whether they share the score."""
+    inputs = ["hour", "day_of_week", "month", "w_size", "w_type", "w_road", *approval.ENCODED]
+    score = F.col("approval_probability")
+    return _fitted(spark, sf_dir)[1].groupBy(*inputs).agg(F.count(F.lit(1)).alias("n"), (F.min(score) == F.max(score)).alias("same_score"))
+
+
+@query
+def approval_compiled(spark, sf_dir):
+    """Whether the compiled columns say of a ticket what the model says, to 1e-12."""
+    model, scores = _fitted(spark, sf_dir)
+    both = approval.score_compiled(approval.CompiledApproval.of(spark, model), scores.withColumnRenamed("approval_probability", "by_model"))
+    return both.select("id", (F.abs(F.col("by_model") - F.col("approval_probability")) <= 1e-12).alias("agrees"))
+
+
+# A stated ensemble over (hour, w_type, w_road): tree, node, feature, threshold, left, right, value.
+STATED_TREES = (
+    (0, 0, 0, 9.5, 1, 2, None), (0, 1, 1, 1.2, 3, 4, None), (0, 2, 2, 1.6, 5, 6, None),
+    (0, 3, None, None, None, None, -0.5), (0, 4, None, None, None, None, 0.125), (0, 5, None, None, None, None, 0.375), (0, 6, None, None, None, None, 1.25),
+    (1, 0, 1, 1.5, 1, 2, None), (1, 1, None, None, None, None, -0.25), (1, 2, 0, 17.0, 3, 4, None),
+    (1, 3, None, None, None, None, 0.75), (1, 4, None, None, None, None, -1.0), (2, 0, None, None, None, None, 0.0625),
+)
+
+
+@query
+def tree_margins(spark, sf_dir):
+    """A stated ensemble as columns, on every ticket."""
+    ensemble = trees.Ensemble.of([dict(zip(trees.NODE.fieldNames(), row)) for row in STATED_TREES])
+    return scored(spark, sf_dir).select("id", ensemble.margin(["hour", "w_type", "w_road"]).alias("margin"))
 
 
 @query

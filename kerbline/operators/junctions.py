@@ -10,6 +10,9 @@ from kerbline.functions import bands, rounding, scoring
 from kerbline.operators.ranking import global_rank
 
 
+FOLD_KEYS = ("junction_name", "police_station", "vehicle_type", "hour")  # what every junction report can be told from
+
+
 def named_junctions(df: DataFrame) -> DataFrame:
     return df.where(F.col("junction_name") != C.NO_JUNCTION)
 
@@ -29,6 +32,18 @@ def fold_tickets(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def fold_junctions(df: DataFrame) -> DataFrame:
+    """The folded rows of all junction reports; rows of several batches can be folded again with ``merge_folds``."""
+    return fold_tickets(named_junctions(df), *FOLD_KEYS)
+
+
+def merge_folds(folded: DataFrame) -> DataFrame:
+    """Folded rows with equal keys as one: counts and long sums add up, the first id is the smallest."""
+    return folded.groupBy(*FOLD_KEYS).agg(
+        F.sum("n").alias("n"), F.sum("milli").alias("milli"), F.min("first_id").alias("first_id"),
+        *rounding.merge_degree_parts("lat"), *rounding.merge_degree_parts("lng"))
+
+
 def merged_sums() -> list[Column]:
     """Second-level sums over folded rows."""
     return [
@@ -46,7 +61,10 @@ def mean_cis() -> Column:
 
 def junction_summary(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     """Count, mean score, totals, daily rates, centre and first station per junction."""
-    folded = fold_tickets(named_junctions(df), "junction_name", "police_station")
+    return summary_of(fold_tickets(named_junctions(df), "junction_name", "police_station"), days)
+
+
+def summary_of(folded: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     return folded.groupBy("junction_name").agg(*merged_sums()).select(
         "junction_name", "jurisdiction", "violations",
         mean_cis().alias("raw_cis"),
@@ -61,7 +79,11 @@ def junction_summary(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
 
 def vehicle_mix(df: DataFrame) -> DataFrame:
     """Tickets, percent and place of every vehicle type within its junction."""
-    counts = named_junctions(df).groupBy("junction_name", "vehicle_type").agg(F.count(F.lit(1)).alias("n"))
+    return mix_of(named_junctions(df).groupBy("junction_name", "vehicle_type").agg(F.count(F.lit(1)).alias("n")))
+
+
+def mix_of(counts: DataFrame) -> DataFrame:
+    """The same from tickets counted per junction and vehicle type."""
     total = F.sum("n").over(Window.partitionBy("junction_name"))
     return counts.withColumn("total", total).select(
         "junction_name", "vehicle_type", "n",
@@ -99,6 +121,11 @@ def peak_hours(df: DataFrame) -> DataFrame:
     """Busiest hour per junction; the earliest of equally busy ones."""
     counts = named_junctions(df).where(F.col("hour").isNotNull()).groupBy("junction_name", "hour").agg(
         F.count(F.lit(1)).alias("n"))
+    return peaks_of(counts)
+
+
+def peaks_of(counts: DataFrame) -> DataFrame:
+    """The same from tickets counted per junction and hour."""
     return counts.groupBy("junction_name").agg(
         F.max_by("hour", F.struct("n", -F.col("hour"))).alias("peak_hour_val"),
         F.max("n").alias("peak_hour_violations"),
@@ -152,22 +179,39 @@ def _hourly(df: DataFrame) -> DataFrame:
     return sums.withColumn("raw_cis", mean_cis())
 
 
+def hourly_of(folded: DataFrame) -> DataFrame:
+    """Sums per junction and trend hour from folded rows, for ``trends_of`` and ``multipliers_of``."""
+    sums = folded.groupBy("junction_name").agg(F.sum("n").alias("violations"), F.sum("milli").alias("milli"), *_hour_sums("milli", F.col("n")))
+    return sums.withColumn("raw_cis", mean_cis())
+
+
+def trends_of(hourly: DataFrame) -> DataFrame:
+    return hourly.select("junction_name", _trend(F.col("raw_cis")).alias("trend_data"))
+
+
+def multipliers_of(hourly: DataFrame) -> DataFrame:
+    return hourly.select("junction_name", _multipliers(F.col("raw_cis")).alias("trend_multipliers"))
+
+
 def hourly_trend(df: DataFrame) -> DataFrame:
-    return _hourly(df).select("junction_name", _trend(F.col("raw_cis")).alias("trend_data"))
+    return trends_of(_hourly(df))
 
 
 def trend_multipliers(df: DataFrame) -> DataFrame:
-    return _hourly(df).select("junction_name", _multipliers(F.col("raw_cis")).alias("trend_multipliers"))
+    return multipliers_of(_hourly(df))
 
 
 def _profiles(df: DataFrame) -> DataFrame:
+    return _profiles_of(fold_junctions(df))
+
+
+def _profiles_of(folded: DataFrame) -> DataFrame:
     """Everything known per junction from one pass over the tickets.
 
     The fold leaves one row per junction, station, vehicle and hour. These few
     rows are placed by junction once; counts per vehicle and per hour, the rank
     of vehicles and the final sums all use that placement.
     """
-    folded = fold_tickets(named_junctions(df), "junction_name", "police_station", "vehicle_type", "hour")
     by_vehicle = Window.partitionBy("junction_name", "vehicle_type")
     by_hour = Window.partitionBy("junction_name", "hour")
     by_rank = Window.partitionBy("junction_name").orderBy(F.desc("vehicle_n"), F.asc("vehicle_type"))
@@ -210,8 +254,12 @@ def junction_hotspots(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
 
 def junction_records(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     """One full record per named junction, without a number: totals read only the columns they need."""
+    return records_of(fold_junctions(df), days)
+
+
+def records_of(folded: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     norm = F.col("cis")
-    return _profiles(df).withColumn("cis", bands.normalized_cis(F.col("raw_cis"))).select(
+    return _profiles_of(folded).withColumn("cis", bands.normalized_cis(F.col("raw_cis"))).select(
         F.col("junction_name").alias("name"), "jurisdiction", "violations",
         rounding.round_np(F.col("raw_cis"), 3).alias("raw_cis"),
         "cis",
@@ -234,7 +282,11 @@ def junction_records(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
 
 def junction_metadata(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     """What the feed looks up by junction name."""
-    return _profiles(df).select(
+    return metadata_of(fold_junctions(df), days)
+
+
+def metadata_of(folded: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
+    return _profiles_of(folded).select(
         F.col("junction_name").alias("name"), "jurisdiction", "lat", "lng",
         *_mix_columns(),
         bands.hour_text(F.col("peak_hour_val")).alias("peak_hour"),

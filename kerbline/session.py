@@ -73,6 +73,14 @@ class Written:
             _delete(self.spark, self.paths.pop(id(table)))
 
 
+def children(spark: SparkSession, path: str) -> set[str]:
+    """Names in a folder of any file system; none if it does not exist."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(context._jsc.hadoopConfiguration())
+    return {status.getPath().getName() for status in system.listStatus(target)} if system.exists(target) else set()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate files; after the session has ended it stays."""
     context = spark.sparkContext

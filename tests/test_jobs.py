@@ -151,3 +151,54 @@ def test_fit_on_a_bounded_sample(spark, job):
     staged = spark.read.parquet(job["staging"] + "/tickets")
     model = approval.fit_approval(staged, rounds=1, max_labelled=100)
     assert approval.score_approval(model, staged).count() == staged.count()
+
+
+def test_stream_scores_with_the_compiled_model(spark, job, tmp_path):
+    incoming = tmp_path / "incoming"
+    incoming.mkdir()
+    (incoming / "a.csv").write_text(open(job["raw"]).read())
+    stream = scores.scored_stream(spark, str(incoming), job["model"])
+    assert stream.isStreaming
+    scores.write_available(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stored = {r.id: r.approval_probability for r in snapshot.read_scored(spark, job["scored"]).collect()}
+    streamed = {r.id: r.approval_probability for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert streamed.keys() == stored.keys() and all(abs(streamed[i] - stored[i]) < 1e-12 for i in stored)
+
+
+def test_checks_of_the_scores_fail_on_shuffled_labels(spark, monkeypatch):
+    """A model of labels dealt by a hash says nothing about the true ones, and the queries notice."""
+    from kerbline.catalog import queries
+    from kerbline.catalog.tables import tickets as all_tickets
+
+    # Approval follows the hour, so that a few rounds learn it; judged rows are those of the tables.
+    truth = F.when(F.hour("created_datetime") < 12, "rejected").otherwise("approved")
+    dealt = F.when(F.xxhash64("id") % 5 == 0, "approved").otherwise("rejected")
+    rows = scoring.score(all_tickets(spark, "/root/testdata/sf0.001")).where("validation_status IS NOT NULL")
+    rows = rows.withColumn("validation_status", truth).cache()
+    for labels, passes in ((truth, True), (dealt, False)):
+        model = approval.fit_approval(rows.withColumn("validation_status", labels), rounds=10)
+        monkeypatch.setattr(queries, "_fitted", lambda *_: (model, approval.score_approval(model, rows)))
+        assert queries.approval_logloss(spark, "").first().is_bounded == passes
+        assert queries.approval_share(spark, "").first().meets_share == passes
+        assert queries.approval_repeats(spark, "").where("NOT same_score").count() == 0
+    assert queries.approval_compiled(spark, "").where("NOT agrees").count() == 0
+    from kerbline.operators.trees import Ensemble
+
+    wrong = Ensemble({0: {0: (None, None, None, None, 0.25)}})
+    monkeypatch.setattr(approval, "fitted_ensemble", lambda *_: wrong)
+    assert queries.approval_compiled(spark, "").where("NOT agrees").count() > 0
+
+
+def test_compiled_trees(spark):
+    from kerbline.operators.trees import NODE, Ensemble
+
+    nodes = [(0, 0, 1, 0.5, 1, 2, None), (0, 1, None, None, None, None, -1.0), (0, 2, 0, 2.0, 3, 4, None),
+             (0, 3, None, None, None, None, 0.25), (0, 4, None, None, None, None, 4.0)]
+    ensemble = Ensemble.of([dict(zip(NODE.fieldNames(), n)) for n in nodes])
+    rows = spark.createDataFrame([(2.0, 0.5), (2.0, 0.6), (2.1, 9.0), (float("nan"), 1.0), (1.0, float("nan")), (None, 1.0)], "a double, `b c` double")
+    assert [r.m for r in rows.select(ensemble.margin(["a", "b c"]).alias("m")).collect()] == [-1.0, 0.25, 4.0, 4.0, 0.25, None]
+    assert rows.select(Ensemble({}).margin(["a"]).alias("m")).first().m == 0.0
+    many = Ensemble({i: ensemble.trees[0] for i in range(200)})
+    frame = rows.select(many.margin(["a", "b c"]).alias("m"))
+    assert [r.m for r in frame.collect()] == [-200.0, 50.0, 800.0, 800.0, 50.0, None]
+    assert many.table(spark).count() == 1000 and Ensemble.of(many.table(spark).collect()) == many

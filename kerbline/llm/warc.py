@@ -68,10 +68,14 @@ def read_archives(spark: SparkSession, folder: str, written: Written) -> DataFra
     nodes = placed.withColumns({"offset": at, "next": at + F.col("span")}).drop("base", "place", "span")
     nodes = written.keep(nodes.where("offset >= 0"))  # what stands before a file's first magic is no candidate
 
-    claims = nodes.where("next > offset AND next <= file_size").select("file", "block", "offset", "next")
-    claims = written.keep(claims.groupBy("file", "block").applyInPandas(_follow, "file string, block long, offset long, next long, leaves long"))
+    claims = nodes.select("file", "block", "offset", F.when(F.col("next").between(F.col("offset") + 1, F.col("file_size")), F.col("next")).otherwise(-1).alias("next"), "file_size")
+    claims = written.keep(claims.groupBy("file", "block").applyInPandas(_follow, "file string, block long, offset long, next long, file_size long, leaves long"))
     entries = _jump(claims, written)
-    reached = claims.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInPandas(_mark, "file string, offset long")
+    reached = claims.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInPandas(_mark, "file string, offset long, leaves long")
+    # A chain leaves a split at most once; where it goes must be a candidate, which the jumps have then entered.
+    reached = written.keep(reached)
+    sound = reached.where("leaves >= 0").join(entries.select("file", F.col("offset").alias("leaves")), ["file", "leaves"], "left_semi")
+    reached = reached.where("leaves < 0").select("file", "offset").unionByName(sound.select("file", "offset"))
     records = written.keep(nodes.join(reached, ["file", "offset"]))
     whole = records.where("whole").select("file", "offset", *_FIELDS, "payload_bytes", "payload_digest")
     parted = records.where("NOT whole").select("file", "offset", "next")
@@ -141,12 +145,12 @@ def _number(batches):
 
 
 def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each candidate of a split, where the chain that starts there leaves the split (-1: nowhere)."""
+    """For each candidate of a split, where the chain that starts there leaves the split (-1: nowhere, or the file ends)."""
     pdf = pdf.sort_values("offset")
     leaves: dict[int, int] = {}
-    last = int(pdf["offset"].iloc[-1])
+    last, size = int(pdf["offset"].iloc[-1]), int(pdf["file_size"].iloc[0])
     for offset, after in zip(pdf["offset"].to_numpy()[::-1], pdf["next"].to_numpy()[::-1]):
-        leaves[offset] = after if after > last else leaves.get(after, -1)
+        leaves[offset] = leaves.get(after, -1) if after <= last else -1 if after == size else after
     return pdf.assign(leaves=[leaves[o] for o in pdf["offset"].to_numpy()])
 
 
@@ -168,14 +172,22 @@ def _jump(claims: DataFrame, written: Written) -> DataFrame:
 
 
 def _mark(claims: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    """The candidates of one split that the chain passes, from where it enters."""
+    """The candidates of one split that the chain passes, from where it enters, as far as both ends of each are boundaries.
+
+    ``leaves`` is where the last of them says the next record begins if that is in another split, else -1.
+    """
     after = dict(zip(claims["offset"].to_numpy(), claims["next"].to_numpy()))
-    out = []
+    last, size = (max(after), claims["file_size"].iloc[0]) if after else (-1, -1)
+    out: dict[int, int] = {}
     for offset in entries["offset"].to_numpy():
-        while offset in after:
-            out.append(offset)
-            offset = after.pop(offset)
-    return pd.DataFrame({"file": pd.Series([claims["file"].iloc[0]] * len(out) if out else [], dtype=object), "offset": np.array(out, np.int64)})
+        while offset in after and offset not in out:
+            following = after[offset]
+            if following not in after and following != size and following <= last:
+                break
+            out[offset] = following if last < following < size else -1
+            offset = following
+    return pd.DataFrame({"file": pd.Series([claims["file"].iloc[0]] * len(out) if out else [], dtype=object),
+                         "offset": np.array(list(out), np.int64), "leaves": np.array(list(out.values()), np.int64)})
 
 
 def _assembled(pieces: DataFrame, nodes: DataFrame, records: DataFrame, parted: DataFrame) -> DataFrame:

@@ -76,5 +76,28 @@ def test_broken_chain_ends_the_file(spark, tmp_path):
     assert {r.payload_digest for r in got} == {hashlib.sha256(b"abcde").hexdigest()}
 
 
+@pytest.mark.parametrize("split", ["300", "134217728"])
+def test_bad_boundaries_in_any_split(spark, tmp_path, split):
+    """A record counts if both its ends are boundaries, wherever the file is cut."""
+    record = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{}>\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
+    good = [record.format(i, 5 + i, "a" * (5 + i)) for i in range(12)]
+    expected = set()
+    for name, bad, text in (("a", 4, record.format(4, 7, "abcde")), ("b", 7, record.format(7, 100, "abcde")), ("c", 11, record.format(11, 4, "abcde")),
+                            ("d", 9, record.format(9, 10**6, "abcde")), ("e", 2, record.format(2, "x", "abcde"))):
+        (tmp_path / f"{name}.warc").write_text("".join([*good[:bad], text, *good[bad + 1:]]), newline="")
+        expected |= {(f"{name}.warc", f"<urn:page:{i}>") for i in range(bad)}
+    inner = record.format(50, 3, "xyz")
+    (tmp_path / "f.warc").write_text("".join([good[0], record.format(1, len(inner) * 3, inner * 3), *good[2:]]), newline="")
+    expected |= {("f.warc", f"<urn:page:{i}>") for i in range(12)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = warc.read_archives(spark, str(tmp_path), Written(spark, "test")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r.file.rsplit("/", 1)[1], r.record_id) for r in got} == expected and len(got) == len(expected)
+    assert {r.payload_bytes for r in got if r.file.endswith("f.warc") and r.record_id == "<urn:page:1>"} == {3 * len(inner)}
+
+
 def test_no_pages(spark):
     assert warc.page_records(spark.createDataFrame([], SCHEMA)).collect() == []

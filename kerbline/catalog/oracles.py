@@ -549,6 +549,7 @@ FROM top3 t JOIN units u ON u.position = t.position""", TOP3,
   FROM (SELECT cluster_label, CASE WHEN id % 20 IN (0, 1, 2) THEN NULL ELSE latitude END AS la, CASE WHEN id % 20 IN (3, 4) THEN NULL ELSE longitude END AS lo
         FROM labelled WHERE cluster_label <> -1))"""),
         "dbscan_streets": _sql("SELECT id, cluster_label FROM labelled", STREETS, CLUSTERS),
+        "dbscan_incremental": _sql("SELECT id, cluster_label FROM labelled", STREETS, CLUSTERS),
         "cluster_summary_streets": _sql("SELECT * FROM clusters", STREETS, CLUSTERS),
         "dbscan_labels_scored": _sql("SELECT id, cluster_label FROM labelled", TICKETS, LIKELY_CLUSTERS),
         "hotspot_audit_scored": audit.replace(CLUSTERS, LIKELY_CLUSTERS).replace(

@@ -25,11 +25,19 @@ def attach_clusters(df: DataFrame, eps: float = C.EPS_DEGREES, min_samples: int
     Rows at one coordinate share a label, so labels are found per coordinate and
     handed to the eligible rows. Every eligible row takes part.
     """
+    return attach_sites(df, dbscan_sites(eligible_points(df), eps, min_samples, limits), limits)
+
+
+def eligible_points(df: DataFrame) -> DataFrame:
+    """Id and place of the rows that take part in clustering."""
+    return df.where(F.coalesce(high_impact(), F.lit(False))).select("id", "latitude", "longitude")
+
+
+def attach_sites(df: DataFrame, sites: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``df`` with the ``cluster_label`` of its place in ``sites`` (latitude, longitude, weight, cluster_label)."""
     columns = [c for c in df.columns if c != "cluster_label"]
     df = df.select(*columns).withColumn("_eligible", F.coalesce(high_impact(), F.lit(False)))
-    sites = checkpoint(
-        dbscan_sites(df.where("_eligible").select("id", "latitude", "longitude"), eps, min_samples, limits)
-        .where(F.col("cluster_label") != C.NOISE).select("latitude", "longitude", "weight", "cluster_label"))
+    sites = checkpoint(sites.where(F.col("cluster_label") != C.NOISE).select("latitude", "longitude", "weight", "cluster_label"))
     counts = sites.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("rows")).first()
     joined = lookup_join(
         df, sites, ["latitude", "longitude"], spread=["id"], table_rows=counts["n"], total=counts["rows"] or 0,

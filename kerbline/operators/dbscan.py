@@ -100,15 +100,23 @@ def _box() -> list[Column]:
         "min(latitude) AS lat0", "max(latitude) AS lat1", "min(longitude) AS lng0", "max(longitude) AS lng1")]
 
 
-def _place_sites(points: DataFrame, eps: float, limits: Limits) -> Grid | None:
-    """Distinct coordinates on the grid, and the cells; both written once."""
+def site_rows(points: DataFrame, eps: float) -> DataFrame:
+    """Distinct coordinates of ``points`` with their rows, smallest id and places on the grid."""
     bits = _bits(eps)
     fine = eps * CELL_SHARE / (1 << bits)
-    sites = checkpoint(
+    return (
         points.where(rounding.is_finite(F.col("latitude")) & rounding.is_finite(F.col("longitude")))
         .groupBy("latitude", "longitude").agg(F.expr("count(1) AS weight"), F.expr("min(id) AS first_id"))
         .selectExpr("*", f"floor(latitude / {fine!r}D) AS fx", f"floor(longitude / {fine!r}D) AS fy")
         .selectExpr("*", f"shiftright(fx, {bits}) AS cx", f"shiftright(fy, {bits}) AS cy"))
+
+
+def _place_sites(points: DataFrame, eps: float, limits: Limits) -> Grid | None:
+    return grid_of(checkpoint(site_rows(points, eps)), eps, limits)
+
+
+def grid_of(sites: DataFrame, eps: float, limits: Limits) -> Grid | None:
+    """Written ``site_rows`` on the grid, and the cells, written once; None without sites."""
     cells = checkpoint(sites.groupBy("cx", "cy").agg(
         F.expr("count(1) AS n_sites"), F.expr("sum(weight) AS cell_weight"), *_box()))
     size = cells.agg(F.expr("sum(n_sites) AS total"), F.expr("max(n_sites) AS largest")).first()

@@ -70,11 +70,16 @@ def kpis(df: DataFrame, compliance_rate: float = 0.0) -> DataFrame:
         F.coalesce(F.sum("milli"), F.lit(0)).alias("milli"),
         F.count_if(F.col("cluster_label") != C.NOISE).alias("active_hotspots"),
     )
+    return kpis_of(totals, compliance_rate)
+
+
+def kpis_of(totals: DataFrame, compliance_rate: float, *keys: str) -> DataFrame:
+    """The same from tickets (violations), summed scores (milli) and clusters (active_hotspots), a row for each of ``totals``."""
     left = bands.compliance_factor(compliance_rate)
     loss = scoring.loss_total(F.col("milli")) * left
     carbon = scoring.co2_total(F.col("milli")) * left
     return totals.select(
-        "violations", (scoring.delay_total(F.col("milli")) * left).alias("delay_hours"),
+        *keys, "violations", (scoring.delay_total(F.col("milli")) * left).alias("delay_hours"),
         loss.alias("economic_loss"), bands.lakhs(loss).alias("loss_lakh"),
         carbon.alias("co2_kg"), bands.tonnes(carbon).alias("co2_tonnes"), "active_hotspots",
     )

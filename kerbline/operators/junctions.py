@@ -205,18 +205,19 @@ def _profiles(df: DataFrame) -> DataFrame:
     return _profiles_of(fold_junctions(df))
 
 
-def _profiles_of(folded: DataFrame) -> DataFrame:
+def _profiles_of(folded: DataFrame, placed: bool = False) -> DataFrame:
     """Everything known per junction from one pass over the tickets.
 
     The fold leaves one row per junction, station, vehicle and hour. These few
     rows are placed by junction once; counts per vehicle and per hour, the rank
-    of vehicles and the final sums all use that placement.
+    of vehicles and the final sums all use that placement. Tickets read from a
+    snapshot bucketed by junction are ``placed`` already.
     """
     by_vehicle = Window.partitionBy("junction_name", "vehicle_type")
     by_hour = Window.partitionBy("junction_name", "hour")
     by_rank = Window.partitionBy("junction_name").orderBy(F.desc("vehicle_n"), F.asc("vehicle_type"))
     placed = (
-        folded.repartition("junction_name")
+        (folded if placed else folded.repartition("junction_name"))
         .withColumn("hour_n", F.sum("n").over(by_hour))
         .withColumn("vehicle_n", F.sum("n").over(by_vehicle))
         .withColumn("place", F.dense_rank().over(by_rank))
@@ -257,9 +258,9 @@ def junction_records(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     return records_of(fold_junctions(df), days)
 
 
-def records_of(folded: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
+def records_of(folded: DataFrame, days: int = C.REPORT_DAYS, placed: bool = False) -> DataFrame:
     norm = F.col("cis")
-    return _profiles_of(folded).withColumn("cis", bands.normalized_cis(F.col("raw_cis"))).select(
+    return _profiles_of(folded, placed).withColumn("cis", bands.normalized_cis(F.col("raw_cis"))).select(
         F.col("junction_name").alias("name"), "jurisdiction", "violations",
         rounding.round_np(F.col("raw_cis"), 3).alias("raw_cis"),
         "cis",
@@ -285,8 +286,8 @@ def junction_metadata(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     return metadata_of(fold_junctions(df), days)
 
 
-def metadata_of(folded: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
-    return _profiles_of(folded).select(
+def metadata_of(folded: DataFrame, days: int = C.REPORT_DAYS, placed: bool = False) -> DataFrame:
+    return _profiles_of(folded, placed).select(
         F.col("junction_name").alias("name"), "jurisdiction", "lat", "lng",
         *_mix_columns(),
         bands.hour_text(F.col("peak_hour_val")).alias("peak_hour"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,30 @@ def read_scored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*C.SCORED_COLUMNS)
 
 
+BUCKETS = 256  # a few times the cores a report should use; the same for writing and reading a folder
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """The 23-column snapshot laid out by junction: every file holds one bucket, sorted by junction.
+
+    Reports per junction read it with ``read_bucketed`` and need no shuffle of
+    tickets. ``No Junction`` is one name like others; it fills its bucket's file.
+    """
+    name = f"snapshot_{uuid.uuid4().hex}"
+    rows = df.select(*C.SCORED_COLUMNS).repartition(buckets, "junction_name")
+    rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "junction_name").sortBy("junction_name").option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay: the table is external
+
+
+def read_bucketed(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """A snapshot written by ``write_bucketed``, known to Spark as bucketed by junction."""
+    use_utc(spark)
+    name = f"snapshot_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (junction_name) SORTED BY (junction_name) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name).select(*C.SCORED_COLUMNS)
+
+
 def write_top(df: DataFrame, path: str) -> None:
     """The top list as CSV, with the position that later numbers the feed."""
     df.select("position", "junction_name", "violations", "cis", "recommendation").write.mode("overwrite").option(

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from kerbline import constants as C
 from kerbline.schema import VIOLATIONS_RAW
 from kerbline.session import use_utc
+from kerbline.sources.records import read_csv_records
 
 # Tried in this order after Spark's own ISO forms; month-first before day-first.
 TIMESTAMP_FORMATS = (
@@ -33,10 +34,10 @@ def read_violations_text(spark: SparkSession, path: str, schema: T.StructType =
                          multi_line: bool = False) -> DataFrame:
     """The CSV as text columns, with the missing-value texts turned into nulls.
 
-    ``multi_line`` allows line breaks inside quotes, but then a file cannot be split.
+    ``multi_line`` allows line breaks inside quotes; files are then read twice, and still in splits.
     """
     use_utc(spark)
-    return known_texts(text_reader(spark.read, schema).option("multiLine", multi_line).csv(path))
+    return known_texts(read_csv_records(spark, path, schema) if multi_line else text_reader(spark.read, schema).csv(path))
 
 
 def text_reader(reader, schema: T.StructType = VIOLATIONS_RAW):

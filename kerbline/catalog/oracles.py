@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kerbline import constants as C
-from kerbline.catalog.queries import COMPLIANCE, FEED_LINES, MIN_CIS, PER_UNIT, STATED_TREES, STATION, UNITS, VEHICLE
+from kerbline.catalog.queries import COMPLIANCE, FEED_LINES, MIN_CIS, MIN_SCORES, PER_UNIT, STATED_TREES, STATION, UNITS, VEHICLE
 from kerbline.catalog.tables import PLACES, VEHICLES, VIOLATIONS
 from kerbline.functions.scoring import tenths
 
@@ -108,6 +108,11 @@ ODD = _tickets("scored", "", ODD_LATITUDE, ODD_LONGITUDE)
 PROBABILITY = "CASE id % 10 WHEN 0 THEN NULL WHEN 1 THEN 0.5 WHEN 2 THEN 0.6999 WHEN 3 THEN 0.7 ELSE (75 + id % 10) / 100 END::DOUBLE"
 
 
+JUDGED = f"""judged AS (
+  SELECT score, count(*) FILTER (validation_status = 'approved') AS approved, count(*) FILTER (validation_status = 'rejected') AS rejected
+  FROM (SELECT validation_status, {PROBABILITY} AS score FROM scored WHERE validation_status IN ('approved', 'rejected')) WHERE score IS NOT NULL GROUP BY score)"""
+
+
 def _mean(column: str) -> str:
     """Mean coordinate from whole degrees and 1e-7 parts."""
     part = f"CAST(floor(({column} - floor({column})) * 1e7 + 0.5e0) AS BIGINT)"
@@ -355,6 +360,7 @@ def _visits(left: float, source: str = "clusters", *more: str) -> str:
 def build() -> dict[str, str]:
     loss = f"({MILLI} * 375 / 1e4 * {LEFT})"
     carbon = f"({MILLI} * 345 / 1e6 * {LEFT})"
+    cube_loss, cube_carbon = f"(total * 375 / 1e4 * {LEFT})", f"(total * 345 / 1e6 * {LEFT})"
     audit = _clustered(
         f"""SELECT c.cluster_label, c.violations_count AS violations, v.vehicle_type AS top_vehicle,
   v.n / c.violations_count * 100 AS top_vehicle_pct, w.violation AS top_violation, c.avg_cis,
@@ -432,6 +438,10 @@ FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.juncti
         "incremental_records": _city_junctions(
             f"""SELECT name, jurisdiction, violations, raw_cis, cis, vehicle_mix, mix_data,
   peak_hour, peak_hour_val, peak_hour_violations, lat, lng, {TREND_TEXT} AS trend
+FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.junction_name = h.name"""),
+        "bucketed_records": _city_junctions(
+            f"""SELECT name, jurisdiction, violations, raw_cis, cis, vehicle_mix, mix_data,
+  peak_hour, peak_hour_val, peak_hour_violations, lat, lng, {TREND_TEXT} AS trend
 FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.junction_name = h.name"""),
         "hotspot_feed": _feed(),
         "filter_rows": _scored(
@@ -446,6 +456,16 @@ FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.juncti
             f"""SELECT count(*) AS violations, {MILLI} * 25 / 1e5 * {LEFT} AS delay_hours, {loss} AS economic_loss,
   {loss} / 1e5 AS loss_lakh, {carbon} AS co2_kg, {carbon} / 1e3 AS co2_tonnes,
   count(DISTINCT cluster_label) FILTER (cluster_label <> -1) AS active_hotspots FROM filtered""", FILTERED),
+        "kpi_cube": _clustered(
+            f"""SELECT station, vehicle, min_cis, n AS violations, total * 25 / 1e5 * {LEFT} AS delay_hours, {cube_loss} AS economic_loss,
+  {cube_loss} / 1e5 AS loss_lakh, {cube_carbon} AS co2_kg, {cube_carbon} / 1e3 AS co2_tonnes, active_hotspots
+FROM (SELECT c.station, c.vehicle, m.min_cis, count(l.id) AS n, CAST(coalesce(sum(l.milli), 0) AS BIGINT) AS total,
+        count(DISTINCT l.cluster_label) FILTER (l.cluster_label <> -1) AS active_hotspots
+      FROM cells c CROSS JOIN least m LEFT JOIN labelled l ON l.cis >= m.min_cis
+        AND (c.station = 'ALL' OR c.station = l.police_station) AND (c.vehicle = 'ALL' OR c.vehicle = l.vehicle_type)
+      GROUP BY c.station, c.vehicle, m.min_cis)""",
+            """cells AS (SELECT coalesce(police_station, 'ALL') AS station, coalesce(vehicle_type, 'ALL') AS vehicle FROM labelled GROUP BY CUBE (police_station, vehicle_type))""",
+            "least(min_cis) AS (VALUES " + ", ".join(f"({m!r}::DOUBLE)" for m in MIN_SCORES) + ")"),
         "filtered_clusters": _clustered(
             f"""SELECT cluster_label, lat, lng, violations_count, avg_cis, economic_loss * {LEFT} AS economic_loss_compliant,
   police_station, {TIERS} AS priority_tier FROM narrowed""", FILTERED, NARROWED),
@@ -541,6 +561,14 @@ FROM top3 t JOIN units u ON u.position = t.position""", TOP3,
   UNION ALL
   SELECT w.id, w.x, w.tree, CASE WHEN w.x[n.feature + 1] <= n.threshold THEN n.l ELSE n.r END
   FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature IS NOT NULL)"""),
+        "approval_rank": _sql("""SELECT CAST(sum(approved) AS BIGINT) AS approved, CAST(sum(rejected) AS BIGINT) AS rejected, CAST(sum(wins) AS BIGINT) AS twice_wins,
+  CAST(sum(wins) AS DOUBLE) / (2e0 * CAST(sum(approved) AS DOUBLE) * CAST(sum(rejected) AS DOUBLE)) AS auc
+FROM (SELECT approved, rejected, approved * (2 * coalesce(sum(rejected) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + rejected) AS wins FROM judged)""",
+            TICKETS, JUDGED),
+        "approval_calibration": _sql("""SELECT bin, CAST(sum(approved + rejected) AS BIGINT) AS n, CAST(sum(approved) AS BIGINT) AS approved,
+  CAST(sum(CAST(round(score * 1e6) AS BIGINT) * (approved + rejected)) AS BIGINT) / (sum(approved + rejected) * 1e6::DOUBLE) AS mean_score,
+  CAST(sum(approved) AS BIGINT) / CAST(sum(approved + rejected) AS BIGINT) AS share
+FROM (SELECT *, CAST(least(floor(score * 10), 9) AS INTEGER) AS bin FROM judged) GROUP BY bin""", TICKETS, JUDGED),
         "approval_default": _scored("SELECT id, 0.85e0 AS approval_probability FROM scored WHERE validation_status IS NULL"),
         "dbscan_odd_coordinates": _sql("SELECT id, cluster_label FROM labelled", ODD, CLUSTERS),
         "cluster_summary_odd": _clustered(

@@ -13,13 +13,13 @@ from kerbline.catalog.tables import (
 )
 from kerbline.functions import bands, rounding, scoring
 from kerbline.operators import (
-    approval, audit, clusters, corridors, dbscan, dispatch, explore, feed, junctions, ranking, trees,
+    approval, audit, clusters, corridors, cube, dbscan, dispatch, evaluation, explore, feed, junctions, ranking, trees,
 )
 from kerbline.operators.cluster_state import ClusterState
 from kerbline.operators.junction_state import JunctionState
 from kerbline.plans import dashboard
 from kerbline.session import Written
-from kerbline.sources import dimensions
+from kerbline.sources import dimensions, snapshot
 from kerbline.sources.tickets import rejected_counts, type_violations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,6 +218,17 @@ def incremental_records(spark, sf_dir):
         "lat", "lng", _pairs_text("vehicle_mix_data", "percentage").alias("mix_data"), _pairs_text("trend_data", "CIS").alias("trend"))
 
 
+@query
+def bucketed_records(spark, sf_dir):
+    """Records from a snapshot written and read back by junction buckets: tickets are grouped where they lie."""
+    path = f"{Written(spark, 'snapshot').root}/bucketed"
+    snapshot.write_bucketed(scored(spark, sf_dir).withColumn("cluster_label", F.lit(C.NOISE)), path, 16)
+    rows = snapshot.read_bucketed(spark, path, 16)
+    return junctions.records_of(junctions.fold_junctions(rows), placed=True).select(
+        "name", "jurisdiction", "violations", "raw_cis", "cis", "vehicle_mix", "peak_hour", "peak_hour_val", "peak_hour_violations",
+        "lat", "lng", _pairs_text("vehicle_mix_data", "percentage").alias("mix_data"), _pairs_text("trend_data", "CIS").alias("trend"))
+
+
 @query
 def hotspot_feed(spark, sf_dir):
     """Feed of a published list: the busiest user-level junctions, among lines that are blank, renamed or without advice."""
@@ -442,6 +453,19 @@ def filtered_kpis(spark, sf_dir):
     return _page(spark, sf_dir)["kpis"]
 
 
+MIN_SCORES = (0.0, 0.8, 1.5, 1.501, 3.0, 7.25, 1000.0)
+
+
+@query
+def kpi_cube(spark, sf_dir):
+    """The totals for every station and vehicle type, and for all, at several least scores: from the cube, not the tickets."""
+    folded = Written(spark, "cube").keep(cube.fold_scores(_labelled(spark, sf_dir)))
+    built = Written(spark, "cube").keep(cube.build_cube(folded))
+    cells = built.select(F.coalesce("police_station", F.lit(explore.ALL)).alias("station"), F.coalesce("vehicle_type", F.lit(explore.ALL)).alias("vehicle")).distinct()
+    requests = cells.withColumn("min_cis", F.explode(F.array(*[F.lit(m) for m in MIN_SCORES])))
+    return cube.filtered_kpis(built, requests, COMPLIANCE)
+
+
 @query
 def filtered_clusters(spark, sf_dir):
     return _page(spark, sf_dir)["clusters"].select(
@@ -549,6 +573,17 @@ def approval_compiled(spark, sf_dir):
     return both.select("id", (F.abs(F.col("by_model") - F.col("approval_probability")) <= 1e-12).alias("agrees"))
 
 
+@query
+def approval_rank(spark, sf_dir):
+    """Rank statistic of given probabilities against the verdicts."""
+    return evaluation.rank_statistic(with_probability(scored(spark, sf_dir)))
+
+
+@query
+def approval_calibration(spark, sf_dir):
+    return evaluation.calibration(with_probability(scored(spark, sf_dir)))
+
+
 # A stated ensemble over (hour, w_type, w_road): tree, node, feature, threshold, left, right, value.
 STATED_TREES = (
     (0, 0, 0, 9.5, 1, 2, None), (0, 1, 1, 1.2, 3, 4, None), (0, 2, 2, 1.6, 5, 6, None),

@@ -62,3 +62,31 @@ def test_forgetting_words_changes_nothing(model, monkeypatch):
     small = Pieces(PATH)
     for text in ["one two three four five", "six seven one two", "one"] * 3:
         assert small.n_best(text, 4) == model.n_best(text, 4)
+
+
+def test_words_learned_together_are_those_learned_alone(model, monkeypatch):
+    """Blocks of words give the ids, scores and second choices of the plain Viterbi steps."""
+    rng = seeded(4)
+    letters = "etaoin shrdlu\n\té漢0A.,-" + MARK
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))).replace(" ", MARK) for _ in range(3000)}
+    words |= {MARK + w for text in ("the quick brown fox", "internationalization of something") for w in text.split()} | {"x" * 39, "x" * 200, "\0a", "a\0"}
+    monkeypatch.setattr(segmentation, "TOGETHER", 500)
+    fresh = Pieces(PATH)
+    fresh.learn(words)
+    known = fresh.known
+    assert known.size == len(known.places) > 1500
+    for word, i in known.places.items():
+        ids = known.ids[known.starts[i]:known.starts[i] + known.counts[i]].tobytes()
+        assert (ids, known.scores[i], known.costs[i]) == model.best_of(word), word
+
+
+def test_group_size_changes_nothing(spark, monkeypatch):
+    df = documents(spark, awkward_documents(seeded(2))).coalesce(1)
+    whole = sorted(map(str, segmentation.digest(df, PATH, 4).collect()))
+    own, texts = Pieces(PATH), [r.text or "" for r in df.collect()]
+    monkeypatch.setattr(segmentation, "GROUP_CHARS", 50)
+    for group in segmentation._groups(texts):
+        assert list(group) and (len(group) == 1 or sum(len(texts[i]) for i in group) <= 50)
+    assert [i for g in segmentation._groups(texts) for i in g] == list(range(len(texts)))
+    found = [(r, *own.n_best(text, 4)[r - 1][:1]) for text in texts for r in range(1, len(own.n_best(text, 4)) + 1)]
+    assert len(found) == len(whole)

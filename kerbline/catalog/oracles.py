@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kerbline import constants as C
-from kerbline.catalog.queries import COMPLIANCE, FEED_LINES, MIN_CIS, MIN_SCORES, PER_UNIT, STATED_TREES, STATION, UNITS, VEHICLE
+from kerbline.catalog.queries import COMPLIANCE, FEED_LINES, MIN_CIS, MIN_SCORES, PER_UNIT, SEARCHES, STATED_TREES, STATION, UNITS, VEHICLE
 from kerbline.catalog.tables import PLACES, VEHICLES, VIOLATIONS
 from kerbline.functions.scoring import tenths
 
@@ -452,6 +452,10 @@ FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.juncti
             "AND regexp_matches(lower(vehicle_mix), 'tanker|bus|lgv|hcv')"),
         "search_hotspots": _user_junctions(
             "SELECT id, name, jurisdiction FROM hotspots WHERE lower(name) LIKE '%circle 1%' OR lower(jurisdiction) LIKE '%circle 1%'"),
+        "search_index": _user_junctions(
+            """SELECT q.query, h.id, h.name FROM hotspots h JOIN asked q
+  ON trim(q.query) = '' OR contains(lower(h.name), lower(q.query)) OR contains(lower(h.jurisdiction), lower(q.query))""",
+            "asked(query) AS (VALUES " + ", ".join(f"({_text(t)})" for t in SEARCHES) + ")"),
         "filtered_kpis": _clustered(
             f"""SELECT count(*) AS violations, {MILLI} * 25 / 1e5 * {LEFT} AS delay_hours, {loss} AS economic_loss,
   {loss} / 1e5 AS loss_lakh, {carbon} AS co2_kg, {carbon} / 1e3 AS co2_tonnes,
@@ -544,6 +548,17 @@ FROM top3""", TOP3),
 FROM top3 t JOIN units u ON u.position = t.position""", TOP3,
             "units(position, unit, a, o) AS (VALUES " + ", ".join(
                 f"({i + 1}, {_text(u)}, {a!r}::DOUBLE, {o!r}::DOUBLE)" for i, (u, a, o, _, _) in enumerate(C.PATROL_UNITS[:3])) + ")"),
+        "csv_tickets": _scored("""SELECT 'T' || s.id AS id, strftime(CASE s.id % 6 WHEN 1 THEN date_trunc('second', s.created_datetime) - INTERVAL 330 MINUTE
+  WHEN 2 THEN date_trunc('minute', s.created_datetime) WHEN 5 THEN NULL ELSE date_trunc('second', s.created_datetime) END, '%Y-%m-%d %H:%M:%S') AS created,
+  CASE WHEN s.id % 7 = 0 THEN r.location || chr(10) || '"corner", ' || s.id ELSE r.location END AS location, r.junction_name FROM scored s JOIN scored_raw r USING (id)"""),
+        "snapshot_round_trip": _scored("""SELECT id, latitude, longitude, location, vehicle_type, police_station, junction_name, validation_status, hour, day_of_week, month,
+  cis, cis * 0.25e0 AS delay_hours, cis * 0.25e0 * 150e0 AS economic_loss_inr, 0.85e0 AS approval_probability, -1 AS cluster_label, w_size, w_type, w_road FROM scored"""),
+        "top_list_round_trip": _city_junctions("SELECT * FROM top", _top(10)),
+        "hotspots_round_trip": _city_junctions(
+            f"""SELECT id, name, jurisdiction, violations, raw_cis, cis, status, action AS recommendation, vehicle_mix, mix_data,
+  peak_hour, peak_hour_val, peak_hour_violations, lat, lng, {TREND_TEXT} AS trend
+FROM hotspots h JOIN peak p ON p.junction_name = h.name JOIN trend t ON t.junction_name = h.name"""),
+        "model_round_trip": _scored("SELECT id, true AS agrees FROM scored"),
         "encoders": _scored(encoded),
         "approval_split": _scored(f"""SELECT is_train, count(*) AS n, CAST(count(*) FILTER (validation_status = 'approved') AS DOUBLE) AS approved
   FROM (SELECT *, {SPLIT} AS is_train FROM scored WHERE validation_status IN ('approved', 'rejected')) GROUP BY is_train"""),

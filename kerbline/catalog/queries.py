@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +14,14 @@ from kerbline.catalog.tables import (
 )
 from kerbline.functions import bands, rounding, scoring
 from kerbline.operators import (
-    approval, audit, clusters, corridors, cube, dbscan, dispatch, evaluation, explore, feed, junctions, ranking, trees,
+    approval, audit, clusters, corridors, cube, dbscan, dispatch, evaluation, explore, feed, junctions, ranking, search, trees,
 )
 from kerbline.operators.cluster_state import ClusterState
 from kerbline.operators.junction_state import JunctionState
 from kerbline.plans import dashboard
 from kerbline.session import Written
 from kerbline.sources import dimensions, snapshot
-from kerbline.sources.tickets import rejected_counts, type_violations
+from kerbline.sources.tickets import read_violations, rejected_counts, type_violations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -260,6 +261,18 @@ def search_hotspots(spark, sf_dir):
     return explore.filter_hotspots(_hotspots(spark, sf_dir), query="Circle 1").select("id", "name", "jurisdiction")
 
 
+SEARCHES = ("Circle 1", "btp00", "n 3", "#12", "e", "- JUNCTION #2", "station 7", "nowhere", " ", "circle 11 #1")
+
+
+@query
+def search_index(spark, sf_dir):
+    """Hotspots found for several texts through the written posting lists."""
+    hotspots = Written(spark, "search").keep(_hotspots(spark, sf_dir).select("id", "name", "jurisdiction"))
+    index = Written(spark, "search").keep(search.build_index(hotspots))
+    found = [search.search(index, hotspots, text).select(F.lit(text).alias("query"), "id", "name") for text in SEARCHES]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query
 def kpis(spark, sf_dir):
     return explore.kpis(_labelled(spark, sf_dir), COMPLIANCE)
@@ -288,12 +301,12 @@ def focus_top5(spark, sf_dir):
 
 @query
 def focus_improvement(spark, sf_dir):
-    return explore.focus_improvement(_hotspots(spark, sf_dir))
+    return explore.focus_improvement(_records(spark, sf_dir))
 
 
 @query
 def focus_bounds(spark, sf_dir):
-    return explore.focus_bounds(_hotspots(spark, sf_dir))
+    return explore.focus_bounds(_records(spark, sf_dir))
 
 
 @query
@@ -498,12 +511,68 @@ def patrol_assignment_full(spark, sf_dir):
 
 @query
 def dispatch_top3(spark, sf_dir):
-    return dispatch.dispatch_top(_hotspots(spark, sf_dir))
+    return dispatch.dispatch_top(_records(spark, sf_dir))
 
 
 @query
 def patrol_lines(spark, sf_dir):
-    return dispatch.patrol_lines(_hotspots(spark, sf_dir), dimensions.patrol_units(spark))
+    return dispatch.patrol_lines(_records(spark, sf_dir), dimensions.patrol_units(spark))
+
+
+# --- files -------------------------------------------------------------------
+def _folder(spark):
+    return Written(spark, "files").root
+
+
+@query
+def csv_tickets(spark, sf_dir):
+    """Tickets written as CSV, with line breaks in some quoted locations, and read back in splits."""
+    path, e = f"{_folder(spark)}/raw", F.substring("id", 2, 20).cast("long")
+    rows = raw_texts(spark, sf_dir).withColumn("location", F.when(e % 7 == 0, F.concat("location", F.lit('\n"corner", '), e.cast("string"))).otherwise(F.col("location")))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    back = read_violations(spark, path, multi_line=True)
+    return back.select("id", F.col("created_datetime").cast("string").alias("created"), "location", "junction_name")
+
+
+@query
+def snapshot_round_trip(spark, sf_dir):
+    """The snapshot by month, written and read back."""
+    path = f"{_folder(spark)}/scored"
+    snapshot.write_scored(scored(spark, sf_dir).withColumn("cluster_label", F.lit(C.NOISE)), path, by_month=True)
+    return snapshot.read_scored(spark, path).select(
+        "id", "latitude", "longitude", "location", "vehicle_type", "police_station", "junction_name", "validation_status", "hour", "day_of_week", "month",
+        "cis", "delay_hours", "economic_loss_inr", "approval_probability", "cluster_label", "w_size", "w_type", "w_road")
+
+
+@query
+def top_list_round_trip(spark, sf_dir):
+    """The published list as CSV, written and read back."""
+    path = f"{_folder(spark)}/top"
+    snapshot.write_top(junctions.top_junctions(scored(spark, sf_dir)), path)
+    return snapshot.read_top(spark, path)
+
+
+@query
+def hotspots_round_trip(spark, sf_dir):
+    """The ranked records as JSON lines, written and read back; arrays as text."""
+    path, records = f"{_folder(spark)}/hotspots", junctions.junction_hotspots(scored(spark, sf_dir))
+    snapshot.write_hotspots(records, path)
+    return snapshot.read_hotspots(spark, path, records.schema).select(
+        "id", "name", "jurisdiction", "violations", "raw_cis", "cis", "status", "recommendation", "vehicle_mix",
+        "peak_hour", "peak_hour_val", "peak_hour_violations", "lat", "lng",
+        _pairs_text("vehicle_mix_data", "percentage").alias("mix_data"), _pairs_text("trend_data", "CIS").alias("trend"))
+
+
+@query
+def model_round_trip(spark, sf_dir):
+    """Whether the model saved and loaded again says of every ticket what it said before, and its stored trees with it."""
+    path, (model, scores) = f"{_folder(spark)}/model", _fitted(spark, sf_dir)
+    model.save(path)
+    before = scores.withColumnRenamed("approval_probability", "before")
+    again = approval.score_approval(approval.ApprovalModel.load(spark, path), before).withColumnRenamed("approval_probability", "loaded")
+    both = approval.score_compiled(approval.CompiledApproval.load(spark, path), again)
+    same = (F.col("loaded") == F.col("before")) & (F.abs(F.col("approval_probability") - F.col("before")) <= 1e-12)
+    return both.select("id", same.alias("agrees"))
 
 
 # --- approval model ----------------------------------------------------------

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from kerbline import constants as C
 from kerbline.functions import bands, rounding
 from kerbline.functions.geo import haversine_km
+from kerbline.operators.skew import HOT_KEYS
+from kerbline.session import checkpoint
 
 MARGIN = 1.001  # cells are a little wider than the search distance
+LEAF_PLACES = 5_000  # a cell with more places is split into quarters until none has more
+DEEPEST = 40         # quarterings; below that places are a hair apart
+_LEAF = ["band", "cell", "depth", "qy", "qx"]
 
 
 def _band_degrees(km: float) -> float:
@@ -30,14 +35,48 @@ def _lng_cell(lng: Column, cells: Column) -> Column:
     return F.least(F.floor((F.pmod(lng + 180.0, F.lit(360.0))) * cells / 360.0), cells - 1)
 
 
-def link_corridors(roads: DataFrame, hotspots: DataFrame, km: float = C.LINK_KM) -> DataFrame:
+def split_places(placed: DataFrame, leaf_places: int = LEAF_PLACES) -> DataFrame:
+    """``placed`` (lat, lng, band, cell, fy, fx) with the leaf of its cell's quadtree (depth, qy, qx) each place is in.
+
+    ``fy`` and ``fx`` are the place within its cell, from 0 to 1. Only crowded
+    cells are split, and only their places are written again; a leaf holds at most
+    ``leaf_places`` of them, or a ten-thousandth of all, so that the list of
+    crowded cells of a round is short enough to send to every task.
+    """
+    waiting = checkpoint(placed.withColumns({"depth": F.lit(0), "qy": F.lit(0).cast("long"), "qx": F.lit(0).cast("long")}))
+    limit = max(leaf_places, waiting.count() // HOT_KEYS)
+    settled = None
+    for depth in range(1, DEEPEST + 1):
+        crowded = checkpoint(waiting.groupBy(*_LEAF).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).drop("n"))
+        if crowded.isEmpty():
+            break
+        done = waiting.join(F.broadcast(crowded), _LEAF, "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
+        parts = float(1 << depth)
+        waiting = checkpoint(waiting.join(F.broadcast(crowded), _LEAF, "left_semi").withColumns({
+            "depth": F.lit(depth), "qy": F.floor(F.col("fy") * parts), "qx": F.floor(F.col("fx") * parts)}))
+    return waiting if settled is None else settled.unionByName(waiting)
+
+
+def _to_leaves(reach: DataFrame, leaves: DataFrame, km: float) -> DataFrame:
+    """Path points with the leaves of their cell that may hold a place closer than ``km``; the whole cell if it is not split."""
+    boxes = leaves.where("depth > 0").groupBy(*_LEAF).agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"))
+    # At most four leaves for each crowded cell of a round.
+    met = reach.join(F.broadcast(boxes), ["band", "cell"], "left")
+    gap = F.greatest(F.col("lat0") - F.col("p_lat"), F.col("p_lat") - F.col("lat1"), F.lit(0.0))
+    met = met.where(F.col("depth").isNull() | (F.radians(gap) * C.EARTH_RADIUS_KM < km * MARGIN))
+    return met.select("id", "p_lat", "p_lng", "band", "cell", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in _LEAF[2:]])
+
+
+def link_corridors(roads: DataFrame, hotspots: DataFrame, km: float = C.LINK_KM, leaf_places: int = LEAF_PLACES) -> DataFrame:
     """(id, hotspot_id, name, status): hotspots closer than ``km`` to a path point of a corridor.
 
     Distances are taken per distinct place, so many hotspots at one place cost one distance.
 
     Path points are copied to the 3 x 3 grid cells around them and meet the
     hotspots by equal cell. Longitude cells follow the latitude band, wrap at
-    the date line, and merge towards the poles.
+    the date line, and merge towards the poles. Cells crowded with places are
+    split by a quadtree, and a point goes to the leaves near it.
     """
     step = _band_degrees(km)
     points = roads.select("id", F.explode("path").alias("p")).select(
@@ -49,9 +88,13 @@ def link_corridors(roads: DataFrame, hotspots: DataFrame, km: float = C.LINK_KM)
     spots = F.array_distinct(F.array(*[F.pmod(F.col("mid") + F.lit(d), F.col("cells")) for d in (-1, 0, 1)]))
     reach = around.select("id", "p_lat", "p_lng", "band", F.explode(spots).alias("cell"))
     placed = hotspots.select("lat", "lng").distinct().withColumn("band", F.floor(F.col("lat") / step)).withColumn(
-        "cell", _lng_cell(F.col("lng"), _cells_around(F.col("band"), km)))
+        "_cells", _cells_around(F.col("band"), km)).withColumn("cell", _lng_cell(F.col("lng"), F.col("_cells")))
+    placed = split_places(placed.select(
+        "lat", "lng", "band", "cell", (F.col("lat") / step - F.col("band")).alias("fy"),
+        (F.pmod(F.col("lng") + 180.0, F.lit(360.0)) * F.col("_cells") / 360.0 - F.col("cell")).alias("fx")), leaf_places)
+    reach = _to_leaves(reach, placed, km)
     near = haversine_km(F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng")) < km
-    places = reach.join(placed, ["band", "cell"]).where(near).select("id", "lat", "lng").distinct()
+    places = reach.join(placed, _LEAF).where(near).select("id", "lat", "lng").distinct()
     return places.join(hotspots.select(F.col("id").alias("hotspot_id"), "name", "status", "lat", "lng"), ["lat", "lng"]).select(
         "id", "hotspot_id", "name", "status")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline import constants as C
 from kerbline.functions import bands
-from kerbline.operators.explore import row_numbers, top_by_cis
+from kerbline.operators.explore import by_cis, row_numbers, top_by_cis
 
 CANDIDATES = 15  # clusters a plan considers: the top list the planner shows
 
@@ -41,7 +41,7 @@ def dispatch_plan(assigned: DataFrame) -> DataFrame:
 
 
 def _by_position(hotspots: DataFrame) -> DataFrame:
-    return row_numbers(top_by_cis(hotspots, 3), [F.desc("cis"), F.asc("id")], "position")
+    return row_numbers(top_by_cis(hotspots, 3), by_cis(hotspots), "position")
 
 
 def dispatch_top(hotspots: DataFrame) -> DataFrame:

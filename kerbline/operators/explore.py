@@ -40,9 +40,14 @@ def matches_query(query: str) -> Column:
     return F.contains(F.lower("name"), wanted) | F.contains(F.lower("jurisdiction"), wanted)
 
 
+def by_cis(hotspots: DataFrame) -> list[Column]:
+    """Largest normalized score first, ties in id order; records without a number have the order their numbers would have."""
+    return [F.desc("cis"), F.asc("id")] if "id" in hotspots.columns else [F.desc("cis"), F.desc("violations"), F.asc("name")]
+
+
 def top_by_cis(hotspots: DataFrame, n: int) -> DataFrame:
-    """The ``n`` hotspots with the largest normalized score, ties in id order."""
-    return hotspots.orderBy(F.desc("cis"), F.asc("id")).limit(n)
+    """The ``n`` hotspots with the largest normalized score."""
+    return hotspots.orderBy(*by_cis(hotspots)).limit(n)
 
 
 def filter_hotspots(hotspots: DataFrame, station: str = ALL, category: str = ALL, min_cis: float = 0.0,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbline import constants as C
 from kerbline.functions import bands, rounding, scoring
 from kerbline.operators.ranking import global_rank
+from kerbline.session import checkpoint
 
 
 FOLD_KEYS = ("junction_name", "police_station", "vehicle_type", "hour")  # what every junction report can be told from
@@ -249,8 +250,14 @@ def _mix_columns() -> list[Column]:
 
 def junction_hotspots(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:
     """One full record per named junction, numbered by violations, ties by name."""
-    records = junction_records(df, days)
-    return global_rank(records, [F.desc("violations"), F.asc("name")], "id").select("id", *records.columns)
+    return numbered(junction_records(df, days))
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """Records with their rank as id. They are written once as they come; only name and violations are sorted."""
+    records = checkpoint(records)
+    ranks = global_rank(records.select("name", "violations"), [F.desc("violations"), F.asc("name")], "id").select("id", "name")
+    return records.join(ranks, "name").select("id", *records.columns)
 
 
 def junction_records(df: DataFrame, days: int = C.REPORT_DAYS) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbline import constants as C
 from kerbline.schema import TOP_HOTSPOTS
@@ -80,6 +81,11 @@ def write_hotspots(df: DataFrame, path: str) -> None:
     df.orderBy("id").write.mode("overwrite").json(path)
 
 
+def read_hotspots(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records written by ``write_hotspots``, with the nested columns of ``schema``; nothing is inferred."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def to_json_rows(df: DataFrame, order: str = "id") -> DataFrame:
     """One JSON text per record, the body of the hotspot feed."""
     return df.orderBy(order).select(F.to_json(F.struct("*")).alias("value"))

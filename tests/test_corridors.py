@@ -44,6 +44,30 @@ def test_links_match_all_pairs(spark):
         assert set(pairs) == expected
 
 
+def test_crowded_cells_are_split(spark):
+    """One cell with nine tenths of all places: every leaf is small, and the links are those of all pairs."""
+    rng = random.Random(3)
+    spots = [(i, f"H{i}", 12.95 + rng.random() * 0.008, 77.6 + rng.random() * 0.008, "active") for i in range(540)]
+    spots += [(600 + i, f"H{600 + i}", 12.95 + rng.uniform(-0.1, 0.1), 77.6 + rng.uniform(-0.1, 0.1), "active") for i in range(60)]
+    spots += [(700, "H700", 12.95, 77.6, "active"), (701, "H701", 12.95, 77.6, "active"), (702, "H702", None, 77.6, "active")]
+    table = spark.createDataFrame(spots, SPOT)
+    roads = [road(i, [(12.95 + rng.uniform(-0.02, 0.02), 77.6 + rng.uniform(-0.02, 0.02)) for _ in range(rng.randint(1, 4))]) for i in range(12)]
+    for leaf in (1, 8, 50):
+        got = corridors.link_corridors(spark.createDataFrame(roads, CORRIDOR), table, 1.0, leaf).collect()
+        pairs = [(r.id, r.hotspot_id) for r in got]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == brute(roads, [s for s in spots if s[2] is not None], 1.0)
+    step = corridors._band_degrees(1.0)
+    placed = table.select("lat", "lng").distinct().where("lat IS NOT NULL").withColumns({"band": F.lit(0).cast("long"), "cell": F.lit(0).cast("long"),
+        "fy": (F.col("lat") - 12.85) / 0.2, "fx": (F.col("lng") - 77.5) / 0.2})
+    split = corridors.split_places(placed, 8)
+    assert split.count() == placed.count() and step > 0
+    sizes = [r["count"] for r in split.groupBy(*corridors._LEAF).count().collect()]
+    assert max(sizes) <= 8 and len(sizes) > 70
+    # The join's key spreads them: with 8 partitions no task has half of the places.
+    parts = split.repartition(8, *corridors._LEAF).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 0.3 * placed.count()
+
+
 def test_haversine(spark):
     got = spark.range(1).select(haversine_km(F.lit(12.9), F.lit(77.5), F.lit(13.1), F.lit(77.7)).alias("d")).first().d
     assert math.isclose(got, distance(12.9, 77.5, 13.1, 77.7), rel_tol=1e-12)

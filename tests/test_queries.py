@@ -10,7 +10,7 @@ from kerbline.catalog import oracles
 from kerbline.catalog.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-MODEL_QUERIES = {"approval_scores", "approval_logloss", "approval_share", "approval_repeats", "approval_compiled"}  # 100 boosting rounds; checked in test_jobs with few
+MODEL_QUERIES = {"approval_scores", "approval_logloss", "approval_share", "approval_repeats", "approval_compiled", "model_round_trip"}  # 100 boosting rounds; checked in test_jobs with few
 
 
 @pytest.fixture(scope="module")

@@ -109,3 +109,28 @@ def test_topsis_by_hand(spark):
 def test_topsis_of_equal_rows(spark):
     got = topsis(spark.createDataFrame([(0, 1.0), (1, 1.0)], "i int, a double"), ["a"]).collect()
     assert [r.closeness for r in got] == [0.0, 0.0]
+
+
+def test_records_are_ranked_by_two_columns(spark, monkeypatch):
+    """What is sorted to number the hotspots is their name and count, not the records."""
+    from kerbline.catalog.tables import scored
+    from kerbline.operators import junctions, ranking
+
+    sorted_columns = []
+    plain = ranking.checkpoint
+    monkeypatch.setattr(ranking, "checkpoint", lambda df: sorted_columns.append(df.columns) or plain(df))
+    hotspots = junctions.junction_hotspots(scored(spark, "/root/testdata/sf0.001", per_user=True))
+    assert sorted_columns == [["name", "violations", "_place"]]
+    rows = hotspots.select("id", "name", "violations").orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, len(rows) + 1))
+    assert rows == sorted(rows, key=lambda r: (-r.violations, r.name))
+
+
+def test_top_of_records_needs_no_rank(spark, monkeypatch):
+    from kerbline.catalog.tables import scored
+    from kerbline.operators import explore, junctions, ranking
+
+    rows = scored(spark, "/root/testdata/sf0.001", per_user=True)
+    by_rank = explore.top_by_cis(junctions.junction_hotspots(rows), 7).drop("id").collect()
+    monkeypatch.setattr(ranking, "checkpoint", None)
+    assert explore.top_by_cis(junctions.junction_records(rows), 7).collect() == by_rank

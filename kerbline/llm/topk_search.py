@@ -32,14 +32,15 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
 
     ``vectors`` and ``queries`` are (id long, vec array<long>), ids unique, no
     nulls inside. A query never meets the vector of its own id; ties go to the
-    smaller id; vectors of another length than the query's take no part. Scores
-    must fit a long. Empty inputs give an empty result.
+    smaller id; vectors of another length than the query's take no part. Where
+    the product of the largest norms says that a score might not fit a long, it
+    fails. Empty inputs give an empty result.
     """
     spark = vectors.sparkSession
     written = Written(spark, "topk")
     packed = vectors.select("id", "vec").mapInPandas(_pack, "id long, dim int, norm double, data binary")
     packed = written.keep(packed)
-    total = packed.count()
+    total, longest = packed.agg(F.count(F.lit(1)), F.max("norm")).first()
     if total == 0:
         return spark.createDataFrame([], RESULT)
     turn = _rotation(packed)
@@ -48,7 +49,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     ranked = written.keep(ranked)
     asked = queries.select("id", "vec").mapInPandas(_pack, "id long, dim int, norm double, data binary")
     asked = written.keep(asked)
-    blocks = max(1, math.ceil(asked.count() / BLOCK_ROWS))
+    n_asked, widest = asked.agg(F.count(F.lit(1)), F.max("norm")).first()
+    if n_asked and longest * widest >= 2.0**62:
+        raise OverflowError("vectors are too long for inner products in long numbers")
+    blocks = max(1, math.ceil(n_asked / BLOCK_ROWS))
     asked = asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
     first_group = ranked.agg(F.min("g")).first()[0]

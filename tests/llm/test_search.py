@@ -96,3 +96,11 @@ def test_parts_are_balanced():
     x = np.random.default_rng(0).normal(size=(600, 8))
     labels = ann._balanced_parts(x, ann._neighbours(x, 5), 6)
     assert np.bincount(labels, minlength=6).max() <= math.ceil(1.15 * 100)
+
+
+def test_scores_that_might_not_fit_a_long_fail(spark):
+    big = spark.createDataFrame([(1, [2**33, 0]), (2, [2**33, 1])], "id long, vec array<long>")
+    with pytest.raises(OverflowError, match="too long"):
+        topk_search.exact_top_k(big, big)
+    fits = spark.createDataFrame([(1, [2**30, 0]), (2, [2**30, 1])], "id long, vec array<long>")
+    assert {r.score for r in topk_search.exact_top_k(fits, fits).collect()} == {2**60}

@@ -128,25 +128,39 @@ def train(documents: DataFrame, positives: DataFrame, max_positive: int = MAX_PO
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = positives.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
     trusted = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    trusted = trusted.select(F.xxhash64("doc_id").alias("place"), F.lit(1).cast("long").alias("copies"), "text")
 
     def measured(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            yield pd.DataFrame({"place": pdf["place"], "x": [row.tobytes() for row in features(as_bytes(pdf["text"]))]})
+            if not pdf.empty:
+                yield pd.DataFrame({"place": pdf["place"], "copies": pdf["copies"], "x": [row.tobytes() for row in features(as_bytes(pdf["text"]))]})
 
     def collected(df: DataFrame, most: int) -> np.ndarray:
-        """The first ``most`` rows in the order of their place."""
-        found = df.select("place", "text").mapInPandas(measured, "place long, x binary").toLocalIterator()
-        got = sorted((r["place"], bytes(r["x"])) for r in found)[:most]
-        return np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(-1, WIDTH)
-
-    total = documents.count()
-    share = min(1.0, 1.1 * max_unlabelled / max(1, total))
-    # Equal rows fall on either side together only if their place in the table is equal too.
-    place = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 30))
-    sample = rows.withColumn("place", place).where(F.col("place") < F.lit(int(share * (1 << 30)) + 1))
-    return fit(collected(trusted.withColumn("place", F.xxhash64("doc_id")), max_positive), collected(sample, max_unlabelled), prior)
+        """The first ``most`` rows in the order of their place, each as often as its copies."""
+        found = df.select("place", "copies", "text").mapInPandas(measured, "place long, copies long, x binary").toLocalIterator()
+        got = [x for _, copies, x in sorted((r["place"], r["copies"], bytes(r["x"])) for r in found) for _ in range(copies)][:most]
+        return np.frombuffer(b"".join(got), np.float32).reshape(-1, WIDTH)
+
+    return fit(collected(trusted, max_positive), collected(_sample(rows, max_unlabelled), max_unlabelled), prior)
+
+
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """(place, copies, text): about ``most`` rows, and some more, picked by a hash of id and text.
+
+    Which rows these are does not depend on files or partitions. Rows equal in
+    id and text have one place; of n such rows their share of n is taken, up or
+    down by the place, so that a text that is often repeated is in the sample as
+    often as in the table.
+    """
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    share = min(1.0, 1.1 * most / max(1, total))
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    copies = F.floor(F.col("n") * share + 1 - (place + 1) / float(1 << 30))
+    chosen = counted.select("key", place.alias("place"), F.least(copies, F.lit(most)).alias("copies")).where("copies > 0")
+    chosen = chosen.orderBy("place", "key").limit(most)  # so many at most reach every task
+    return keyed.join(F.broadcast(chosen), "key").groupBy("key", "place", "copies").agg(F.min("text").alias("text"))
 
 
 def score(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

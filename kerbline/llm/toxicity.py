@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import as_bytes, small_batches, texts_in_steps
+from kerbline.session import Written
 
-MAX_LABELLED = 8_000   # labelled rows the fit reads at most, chosen by a hash of their id
+MAX_LABELLED = 16_000  # labelled rows the fit reads at most, chosen by a hash of their id
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)   # bytes of the word beginnings that are features besides the words
 LEAST_ROWS = 4         # labelled rows a feature must stand in to get a weight
@@ -78,20 +79,30 @@ class Model:
 def fit(texts: list[bytes], labels: np.ndarray, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, penalty: float = PENALTY,
         ridge: float = RIDGE, steps: int = 250) -> Model:
     """Fit on labelled texts. Without rows of both classes the score is the smoothed share of label 1."""
-    n, base = len(texts), (labels.sum() + 1) / (len(labels) + 2)
+    rows, buckets = _words(texts)
+    seen = np.bincount(buckets, minlength=BUCKETS)
+    keep = kept_features(seen, np.bincount(buckets, labels[rows], BUCKETS), labels, groups)[buckets]
+    return _solve(rows[keep].copy(), buckets[keep].copy(), labels, seen, groups, penalty, ridge, steps)
+
+
+def kept_features(seen: np.ndarray, toxic: np.ndarray, labels: np.ndarray, groups: Sequence[Sequence[str]]) -> np.ndarray:
+    """Which buckets get a weight: those that stand in enough rows and not with label 1 by chance, and the identity terms'."""
+    by_chance = seen * (labels.mean() if len(labels) else 0.0)
+    kept = (seen >= LEAST_ROWS) & (np.abs(toxic - by_chance) >= LEAST_Z * np.sqrt(by_chance + 0.5))
+    for group in groups:
+        kept[np.concatenate([_term(w) for w in group])] = True
+    return kept
+
+
+def _solve(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seen: np.ndarray, groups: Sequence[Sequence[str]],
+           penalty: float, ridge: float, steps: int) -> Model:
+    """The weights of the kept features; (row, bucket) of the kept ones, ``seen`` counts rows of all."""
+    n, base = len(labels), (labels.sum() + 1) / (len(labels) + 2)
     model = Model(np.zeros(BUCKETS, np.float32), float(np.log(base / (1 - base))))
     if n == 0 or labels.min() == labels.max():
         return model
-    rows, buckets = _words(texts)
-    seen = np.bincount(buckets, minlength=BUCKETS)
-    by_chance = seen * labels.mean()
-    common = (seen >= LEAST_ROWS) & (np.abs(np.bincount(buckets, labels[rows], BUCKETS) - by_chance) >= LEAST_Z * np.sqrt(by_chance + 0.5))
     terms = [[_term(w) for w in group] for group in groups]
     spoken = [[int(seen[_whole(w)]) for w in group] for group in groups]
-    for group in terms:
-        common[np.concatenate(group)] = True
-    keep = common[buckets]
-    rows, buckets = rows[keep].copy(), buckets[keep].copy()
     used, at = np.unique(np.concatenate([buckets, *[f for group in terms for f in group]]), return_inverse=True)
     at = at[: len(buckets)]
     # Swaps that occur: a term for each other term of its group, weighted by the share of labelled texts that hold it.
@@ -117,20 +128,43 @@ def fit(texts: list[bytes], labels: np.ndarray, groups: Sequence[Sequence[str]]
     return model
 
 
-def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **how) -> Model:
+def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS,
+          penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 250) -> Model:
     """Fit on at most ``max_labelled`` rows of ``labels`` (doc_id, label 0/1), taken in the order of a hash of the id.
 
     Rows without id or label are not read; an id that comes several times counts once, with its largest label and smallest text.
+    Texts stay on the executors: the driver gets one count per bucket, and then the numbers of the kept features of each row.
     """
+    spark = documents.sparkSession
+    small_batches(spark)
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id")
-    texts, marks = [], []
-    for row in rows.toLocalIterator():
-        texts.append(row["text"].encode("utf-8", "surrogatepass"))
-        marks.append(float(row["label"]))
-    return fit(texts, np.array(marks), **how)
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").cast("double").alias("label"))
+
+    def featured(batches):
+        for pdf in batches:
+            found, buckets = _words(as_bytes(pdf["text"]))
+            edges = np.searchsorted(found, np.arange(len(pdf) + 1))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "buckets": [buckets[a:b] for a, b in zip(edges, edges[1:])]})
+
+    written = Written(spark, "toxicity")
+    table = written.keep(rows.mapInPandas(featured, f"doc_id {dict(rows.dtypes)['doc_id']}, label double, buckets array<int>"))
+    counts = table.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).toArrow()
+    seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    seen[counts["bucket"].to_numpy()], toxic[counts["bucket"].to_numpy()] = counts["n"].to_numpy(), counts["toxic"].to_numpy()
+    marks = table.select("doc_id", "label").orderBy("doc_id").toArrow()["label"].to_numpy()
+    kept = kept_features(seen, toxic, marks, groups)
+
+    def reduced(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "buckets": [np.asarray(b, np.int32)[kept[np.asarray(b, np.int32)]].tobytes() for b in pdf["buckets"]]})
+
+    found = table.mapInPandas(reduced, f"doc_id {dict(rows.dtypes)['doc_id']}, buckets binary").orderBy("doc_id").toLocalIterator()
+    features = [np.frombuffer(bytes(r["buckets"]), np.int32) for r in found]
+    written.drop(table)
+    at = np.repeat(np.arange(len(features), dtype=np.int32), list(map(len, features)))
+    return _solve(at, np.concatenate([np.empty(0, np.int32), *features]), marks, seen, groups, penalty, ridge, steps)
 
 
 def score(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -87,3 +87,35 @@ def test_class_prior_and_non_negative_risk():
     model = quality.fit(good[:2000], unlabelled)
     scores = model.probabilities(unlabelled)
     assert (scores[:2000] >= 0.5).mean() > 0.95 and (scores[2000:] < 0.5).mean() > 0.95
+
+
+def test_models_do_not_depend_on_partitions(spark, monkeypatch):
+    """The same rows in 1 and 37 partitions, in another order, give the same samples and models."""
+    rows = awkward_documents(seeded(5), 400) + [(None, "the same words", "s")] * 300
+    df = documents(spark, rows)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, label int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda *given: seen.append(given))
+    for parts in (1, 37):
+        quality.train(df.repartition(parts, "text"), marks.where("label = 1"), max_positive=40, max_unlabelled=120)
+    for first, second in zip(seen[0][:2], seen[1][:2]):
+        assert (first == second).all() and len(first)
+    assert len(seen[0][1]) == 120
+    repeated = quality.features([b"the same words"])[0]
+    assert 25 <= (seen[0][1] == repeated).all(axis=1).sum() <= 70  # 300 of about 800 rows
+    one, many = (toxicity.train(df.repartition(parts, "text"), marks, steps=5) for parts in (1, 37))
+    assert (one.weights == many.weights).all() and one.bias == many.bias
+
+
+def test_toxicity_features_from_executors_are_those_of_the_texts(spark):
+    rng = seeded(6)
+    texts = [f"{prose(rng, 12)} {'vermin' if i % 3 == 0 else ''} {rng.choice(['women', 'men', 'É ß'])}" for i in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, label int")
+    there = toxicity.train(df, marks, steps=20)
+    here = toxicity.fit([t.encode() for t in texts], np.array([float(i % 3 == 0) for i in range(200)]), steps=20)
+    assert np.allclose(there.weights, here.weights, atol=1e-6) and abs(there.bias - here.bias) < 1e-9
+    # The gradient is that of the plain loss: a small step against it lowers the loss as a double loop computes it.
+    rows, buckets = toxicity._words([t.encode() for t in texts])
+    by_loop = [here.bias + sum(float(here.weights[b]) for b in set(buckets[rows == i])) for i in range(200)]
+    assert np.allclose(by_loop, here.logits([t.encode() for t in texts]), atol=1e-5)

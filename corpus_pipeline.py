@@ -17,7 +17,14 @@ from kerbline.session import Written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5."""
+    """Documents whose toxicity score is under 0.5.
+
+    A null text scores as an empty one, however long a text is it counts whole,
+    and equal texts have one score. Rows without id stay or go by their text;
+    repeated rows do so together. Without labelled documents all stay; with
+    labels of one kind every score is their share. Further columns stay, whatever
+    their names.
+    """
     labels = catalog.table(spark, sf_dir, "labels").where(catalog.remainder(5) != 0)
     model = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("label")))
     score = _free("score", docs)
@@ -25,13 +32,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of which a fuzzy copy stands earlier."""
+    """Documents without lines of which a fuzzy copy stands earlier.
+
+    Rows without id and null or empty texts stay as they are, short lines too;
+    repeated rows keep the same lines, and of equally placed copies the first in
+    (doc_id, line) order counts. Texts of any length are read whole; without
+    documents there are none. Further columns stay, whatever their names.
+    """
     name = _free("lines", docs)
     return _with_text(line_dedup.without_fuzzy_lines(docs, result=name), name, docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component; documents without id or words stay."""
+    """The document with the smallest id of each near-duplicate component; documents without id or words stay.
+
+    Rows that repeat id and text are one; rows that share an id but not the text
+    stay together. Texts of any length are compared whole; without documents there
+    are none. Further columns stay, whatever their names.
+    """
     found = ngram_join.near_duplicates(docs)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     version = _free("version", docs)
@@ -40,13 +58,24 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that an earlier document holds."""
+    """Documents without the words of passages that an earlier document holds.
+
+    Rows without id and null or empty texts stay as they are; rows that share an
+    id take nothing from each other, so repeated rows keep the same words. Texts
+    of any length are read whole; without documents there are none. Further
+    columns stay, whatever their names.
+    """
     name = _free("repeats", docs)
     return _with_text(substring_dedup.without_repeats(docs, result=name), name, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of the documents and their places in sequences."""
+    """The token pieces of the documents and their places in sequences.
+
+    A null or empty text is the end id alone, and so are rows without id; repeated
+    rows are packed as often as they come, long texts in several pieces. Without
+    documents there are no pieces; further columns go.
+    """
     return packing.pack(packing.token_pieces(docs, catalog.tokenizer_path("word_bpe_49k.json")))
 
 

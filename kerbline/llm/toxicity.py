@@ -24,6 +24,7 @@ BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)   # bytes of the word beginnings that are features besides the words
 LEAST_ROWS = 4         # labelled rows a feature must stand in to get a weight
 LEAST_Z = 3.5          # and by how many deviations its share among label 1 must differ from chance
+UNKNOWN = 0.25         # score of every text when nothing is labelled
 PENALTY = 20.0
 RIDGE = 1e-4
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -78,7 +79,7 @@ class Model:
 
 def fit(texts: list[bytes], labels: np.ndarray, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, penalty: float = PENALTY,
         ridge: float = RIDGE, steps: int = 250) -> Model:
-    """Fit on labelled texts. Without rows of both classes the score is the smoothed share of label 1."""
+    """Fit on labelled texts. Without rows of both classes the score is the smoothed share of label 1, without rows UNKNOWN."""
     rows, buckets = _words(texts)
     seen = np.bincount(buckets, minlength=BUCKETS)
     keep = kept_features(seen, np.bincount(buckets, labels[rows], BUCKETS), labels, groups)[buckets]
@@ -97,7 +98,8 @@ def kept_features(seen: np.ndarray, toxic: np.ndarray, labels: np.ndarray, group
 def _solve(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seen: np.ndarray, groups: Sequence[Sequence[str]],
            penalty: float, ridge: float, steps: int) -> Model:
     """The weights of the kept features; (row, bucket) of the kept ones, ``seen`` counts rows of all."""
-    n, base = len(labels), (labels.sum() + 1) / (len(labels) + 2)
+    n = len(labels)
+    base = (labels.sum() + 1) / (n + 2) if n else UNKNOWN
     model = Model(np.zeros(BUCKETS, np.float32), float(np.log(base / (1 - base))))
     if n == 0 or labels.min() == labels.max():
         return model

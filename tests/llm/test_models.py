@@ -119,3 +119,9 @@ def test_toxicity_features_from_executors_are_those_of_the_texts(spark):
     rows, buckets = toxicity._words([t.encode() for t in texts])
     by_loop = [here.bias + sum(float(here.weights[b]) for b in set(buckets[rows == i])) for i in range(200)]
     assert np.allclose(by_loop, here.logits([t.encode() for t in texts]), atol=1e-5)
+
+
+def test_nothing_labelled_is_not_toxic(spark):
+    model = toxicity.fit([], np.array([]))
+    scored = toxicity.score(documents(spark, [(1, "any words", "s"), (2, None, "s")]), model)
+    assert {round(r.score, 6) for r in scored.collect()} == {0.25}

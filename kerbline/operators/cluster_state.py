@@ -55,8 +55,9 @@ class ClusterState:
             return False
         written = Written(self.spark, "clusters")
         added = written.keep(dbscan.site_rows(points, self.eps).withColumn("tile", _tile()))
-        if added.isEmpty():
-            return True  # nothing to keep, and nothing a replay could count twice
+        if added.isEmpty():  # nothing to keep, and nothing a replay could count twice
+            written.clear()
+            return True
         opened = written.keep(_around_cells(added.select("cx", "cy").distinct(), 2 * REACH))
         tiles = written.keep(opened.select(_tile().alias("tile")).distinct())
         sites = written.keep(self._with_added(version, added, tiles))
@@ -65,6 +66,7 @@ class ClusterState:
         found, components = self._grown(grid, version, written)
         found = found.unionByName(sites.join(opened, ["cx", "cy"], "left_anti").select(*_SITE))
         self._write(version, [*ids, (batch_id, batch_id)], found, components, tiles)
+        written.clear()
         return True
 
     def sites(self) -> DataFrame:
@@ -136,7 +138,8 @@ class ClusterState:
 
     def _write(self, version: int | None, ids: list[tuple[int, int]], sites: DataFrame, components: DataFrame, tiles: DataFrame) -> None:
         number = 0 if version is None else version + 1
-        sites.repartition("tile").write.mode("overwrite").partitionBy("tile").parquet(f"{self.folder}/sites/version={number}")
+        # By range, so that a tile with very many sites is several tasks and files.
+        sites.repartitionByRange("tile", "cx", "cy", "latitude").write.mode("overwrite").partitionBy("tile").parquet(f"{self.folder}/sites/version={number}")
         moved = tiles.select("tile", F.lit(number).alias("version"))
         if version is not None:
             moved = self._tiles(version).join(tiles, "tile", "left_anti").unionByName(moved)

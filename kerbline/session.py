@@ -68,6 +68,11 @@ class Written:
         self.spark.sparkContext._jvm.System.gc()
         return kept
 
+    def clear(self) -> None:
+        """Delete all tables: for a job whose result is written elsewhere."""
+        self.paths.clear()
+        _delete(self.spark, self.root)
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             _delete(self.spark, self.paths.pop(id(table)))

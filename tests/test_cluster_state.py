@@ -1,5 +1,6 @@
 """Incremental DBSCAN against full runs and brute force, after every batch."""
 
+import glob
 import math
 import random
 from collections import Counter
@@ -9,6 +10,7 @@ import pytest
 from kerbline.operators import cluster_state
 from kerbline.operators.cluster_state import ClusterState
 from kerbline.operators.dbscan import dbscan_sites
+from kerbline.session import shared_folder
 from tests.test_dbscan import POINT, TINY, Limits, brute_force, city
 
 
@@ -76,7 +78,7 @@ def test_work_follows_the_touched_cells(spark, tmp_path, monkeypatch):
     rows = [(i, (i % 50) * 0.01, (i // 50) * 0.01) for i in range(2500)] + [(5000 + i, 0.1, 0.1) for i in range(20)]
     state = ClusterState(spark, str(tmp_path / "state"), 0.0015, 5)
     state.apply(0, spark.createDataFrame(rows, POINT))
-    opened = []
+    opened, before = [], set(glob.glob(f"{shared_folder(spark)}/clusters-*"))
     plain = cluster_state.dbscan.grid_of
     monkeypatch.setattr(cluster_state.dbscan, "grid_of", lambda sites, eps, limits: opened.append(sites.count()) or plain(sites, eps, limits))
     state.apply(1, spark.createDataFrame([(9000, 0.1, 0.1001), (9001, 0.2, 0.2)], POINT))
@@ -84,4 +86,5 @@ def test_work_follows_the_touched_cells(spark, tmp_path, monkeypatch):
     tiles = spark.read.parquet(str(tmp_path / "state/tiles/1")).groupBy("version").count().collect()
     counts = {r["version"]: r["count"] for r in tiles}
     assert counts[1] <= 8 < counts[0]
+    assert set(glob.glob(f"{shared_folder(spark)}/clusters-*")) <= before  # what a batch needed on the way is gone
     assert labels(state.sites()) == expected([*rows, (9000, 0.1, 0.1001), (9001, 0.2, 0.2)], 0.0015, 5)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kerbline import constants as C
-from kerbline.catalog.queries import COMPLIANCE, FEED_LINES, MIN_CIS, MIN_SCORES, PER_UNIT, SEARCHES, STATED_TREES, STATION, UNITS, VEHICLE
+from kerbline.catalog.queries import COMPLIANCE, FEED_LINES, MIN_CIS, MIN_SCORES, PER_UNIT, SEARCHES, SHOWN_CIS, STATED_TREES, STATION, UNITS, VEHICLE
 from kerbline.catalog.tables import PLACES, VEHICLES, VIOLATIONS
 from kerbline.functions.scoring import tenths
 
@@ -500,6 +500,10 @@ FROM (SELECT c.station, c.vehicle, m.min_cis, count(l.id) AS n, CAST(coalesce(su
         "corridor_hotspots": _user_junctions(
             """SELECT l.id, row_number() OVER (PARTITION BY l.id ORDER BY l.hotspot_id) - 1 AS place, l.name,
   h.status
+FROM linked l JOIN hotspots h ON h.name = l.name""", ROADS, LINKS),
+        "corridor_status": _user_junctions(
+            f"""SELECT l.id, CAST(row_number() OVER (PARTITION BY l.id ORDER BY l.hotspot_id) - 1 AS INTEGER) AS place, l.name,
+  CASE WHEN h.cis >= {SHOWN_CIS!r} THEN h.status ELSE 'Inactive' END AS status
 FROM linked l JOIN hotspots h ON h.name = l.name""", ROADS, LINKS),
         "corridor_stats": _sql(
             """SELECT id, name, CASE WHEN speed < 12 THEN 'Critical' WHEN speed < 20 THEN 'Severe' WHEN speed < 30 THEN 'Heavy'

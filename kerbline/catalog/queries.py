@@ -466,6 +466,7 @@ def filtered_kpis(spark, sf_dir):
     return _page(spark, sf_dir)["kpis"]
 
 
+SHOWN_CIS = 7.0  # least normalized score of the hotspots a page shows
 MIN_SCORES = (0.0, 0.8, 1.5, 1.501, 3.0, 7.25, 1000.0)
 
 
@@ -519,6 +520,15 @@ def patrol_lines(spark, sf_dir):
     return dispatch.patrol_lines(_records(spark, sf_dir), dimensions.patrol_units(spark))
 
 
+@query
+def corridor_status(spark, sf_dir):
+    """The hotspots listed for each corridor, looked up among those the page still shows; the others are inactive."""
+    hotspots = Written(spark, "corridors").keep(_hotspots(spark, sf_dir).select("id", "name", "cis", "status", "lat", "lng"))
+    lines = roads(spark, sf_dir)
+    listed = corridors.with_nearby(lines, corridors.link_corridors(lines, hotspots))
+    return corridors.linked_status(listed, hotspots.where(F.col("cis") >= SHOWN_CIS)).select("id", "place", "name", "status")
+
+
 # --- files -------------------------------------------------------------------
 def _folder(spark):
     return Written(spark, "files").root

@@ -88,6 +88,18 @@ APPROVAL_FEATURES = (
     "primary_violation_enc",
 )
 
+# --- Fixed values: sentences that explain a hotspot --------------------------
+REASONS = (
+    (8.0, "Critical bottleneck showing extreme peak-hour congestion and heavy vehicle footprint. Immediate towing enforcement required."),
+    (5.0, "High violation density and sustained peak-hour concentration. Scheduled officer deployment recommended to clear transit capacity."),
+)
+OTHER_REASON = "Routine patrol. Minor parking friction with low baseline delay impact."
+AUDIT_SENTENCE = (
+    "Hotspot prioritized as %s due to a high density of %s violations. "
+    "Analysis reveals that %.1f%% of offending vehicles are %ss, "
+    "significantly restricting transit capacity."
+)
+
 # --- Fixed values: the 23 columns of the scored snapshot --------------------
 SCORED_COLUMNS = (
     "id",

@@ -60,14 +60,7 @@ def urgency_band(normalized: Column) -> Column:
 
 
 def reason(normalized: Column) -> Column:
-    return _pick(
-        normalized,
-        (
-            (8.0, "Critical bottleneck showing extreme peak-hour congestion and heavy vehicle footprint. Immediate towing enforcement required."),
-            (5.0, "High violation density and sustained peak-hour concentration. Scheduled officer deployment recommended to clear transit capacity."),
-        ),
-        "Routine patrol. Minor parking friction with low baseline delay impact.",
-    )
+    return _pick(normalized, C.REASONS, C.OTHER_REASON)
 
 
 def speed_band(speed: Column) -> Column:
@@ -153,9 +146,4 @@ def two_vehicle_text(mix: Column) -> Column:
 
 
 def audit_sentence(tier: Column, violation: Column, percent: Column, vehicle: Column) -> Column:
-    return F.format_string(
-        "Hotspot prioritized as %s due to a high density of %s violations. "
-        "Analysis reveals that %.1f%% of offending vehicles are %ss, "
-        "significantly restricting transit capacity.",
-        tier, violation, round_one(percent), vehicle,
-    )
+    return F.format_string(C.AUDIT_SENTENCE, tier, violation, round_one(percent), vehicle)

@@ -16,6 +16,8 @@ from kerbline.session import checkpoint
 MARGIN = 1.001  # cells are a little wider than the search distance
 LEAF_PLACES = 5_000  # a cell with more places is split into quarters until none has more
 DEEPEST = 40         # quarterings; below that places are a hair apart
+STACK = 1_000        # hotspots of one place in a row, about
+BLOCK = 1_000        # corridors that meet the places of a leaf under one key, about
 _LEAF = ["band", "cell", "depth", "qy", "qx"]
 
 
@@ -68,7 +70,30 @@ def _to_leaves(reach: DataFrame, leaves: DataFrame, km: float) -> DataFrame:
     return met.select("id", "p_lat", "p_lng", "band", "cell", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in _LEAF[2:]])
 
 
-def link_corridors(roads: DataFrame, hotspots: DataFrame, km: float = C.LINK_KM, leaf_places: int = LEAF_PLACES) -> DataFrame:
+def _stacked(hotspots: DataFrame, most: int) -> DataFrame:
+    """(lat, lng, spots): the hotspots of each place, at most about ``most`` of them in a row."""
+    sizes = hotspots.groupBy("lat", "lng").agg(F.ceil(F.count(F.lit(1)) / most).alias("stacks")).where("stacks > 1")
+    # At most one row for every ``most`` hotspots.
+    rows = hotspots.select(F.col("id").alias("hotspot_id"), "name", "status", "lat", "lng").join(F.broadcast(sizes), ["lat", "lng"], "left")
+    stack = F.pmod(F.xxhash64("hotspot_id"), F.coalesce("stacks", F.lit(1)))
+    return rows.groupBy("lat", "lng", stack.alias("stack")).agg(F.collect_list(F.struct("hotspot_id", "name", "status")).alias("spots")).drop("stack")
+
+
+def _dealt(reach: DataFrame, homes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the key their rows meet by (the leaf and ``block``): about ``most`` rows of ``reach`` share one.
+
+    The places of a leaf that more paths reach are copied to each of its blocks.
+    """
+    crowded = reach.groupBy(*_LEAF).agg(F.ceil(F.count(F.lit(1)) / most).alias("blocks")).where("blocks > 1")
+    # At most one row for every ``most`` rows of the paths.
+    crowded = F.broadcast(checkpoint(crowded))
+    blocks = F.coalesce("blocks", F.lit(1))
+    copied = homes.join(crowded, _LEAF, "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return reach.join(crowded, _LEAF, "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks)).drop("blocks"), copied.drop("blocks")
+
+
+def link_corridors(roads: DataFrame, hotspots: DataFrame, km: float = C.LINK_KM, leaf_places: int = LEAF_PLACES,
+                   stack: int = STACK, block: int = BLOCK) -> DataFrame:
     """(id, hotspot_id, name, status): hotspots closer than ``km`` to a path point of a corridor.
 
     Distances are taken per distinct place, so many hotspots at one place cost one distance.
@@ -76,27 +101,36 @@ def link_corridors(roads: DataFrame, hotspots: DataFrame, km: float = C.LINK_KM,
     Path points are copied to the 3 x 3 grid cells around them and meet the
     hotspots by equal cell. Longitude cells follow the latitude band, wrap at
     the date line, and merge towards the poles. Cells crowded with places are
-    split by a quadtree, and a point goes to the leaves near it.
+    split by a quadtree, and a point goes to the leaves near it. The points of a
+    corridor that reach a leaf are one row: a place, which is in one leaf, meets a
+    corridor once, so links leave the join as they are, neither shuffled nor
+    folded. A leaf that many corridors reach is dealt over blocks of them.
     """
     step = _band_degrees(km)
     points = roads.select("id", F.explode("path").alias("p")).select(
-        "id", F.col("p.lat").alias("p_lat"), F.col("p.lng").alias("p_lng"))
+        "id", F.col("p.lat").alias("p_lat"), F.col("p.lng").alias("p_lng")).where("p_lat IS NOT NULL AND p_lng IS NOT NULL")
     bands_around = points.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("d")).withColumn(
         "band", F.floor(F.col("p_lat") / step) + F.col("d"))
     around = bands_around.withColumn("cells", _cells_around(F.col("band"), km)).withColumn(
         "mid", _lng_cell(F.col("p_lng"), F.col("cells")))
     spots = F.array_distinct(F.array(*[F.pmod(F.col("mid") + F.lit(d), F.col("cells")) for d in (-1, 0, 1)]))
     reach = around.select("id", "p_lat", "p_lng", "band", F.explode(spots).alias("cell"))
+    hotspots = checkpoint(hotspots.select("id", "name", "status", "lat", "lng").where("lat IS NOT NULL AND lng IS NOT NULL"))
     placed = hotspots.select("lat", "lng").distinct().withColumn("band", F.floor(F.col("lat") / step)).withColumn(
         "_cells", _cells_around(F.col("band"), km)).withColumn("cell", _lng_cell(F.col("lng"), F.col("_cells")))
     placed = split_places(placed.select(
         "lat", "lng", "band", "cell", (F.col("lat") / step - F.col("band")).alias("fy"),
         (F.pmod(F.col("lng") + 180.0, F.lit(360.0)) * F.col("_cells") / 360.0 - F.col("cell")).alias("fx")), leaf_places)
-    reach = _to_leaves(reach, placed, km)
-    near = haversine_km(F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng")) < km
-    places = reach.join(placed, _LEAF).where(near).select("id", "lat", "lng").distinct()
-    return places.join(hotspots.select(F.col("id").alias("hotspot_id"), "name", "status", "lat", "lng"), ["lat", "lng"]).select(
-        "id", "hotspot_id", "name", "status")
+    # Only points around a cell with places.
+    reach = reach.join(placed.select("band", "cell").distinct(), ["band", "cell"], "left_semi")
+    reach = _to_leaves(reach, placed, km).groupBy("id", *_LEAF).agg(
+        F.collect_set(F.struct("p_lat", "p_lng")).alias("points"), F.min("p_lat").alias("lat0"), F.max("p_lat").alias("lat1"))
+    homes = placed.select("lat", "lng", *_LEAF).join(_stacked(hotspots, stack), ["lat", "lng"])
+    reach, homes = _dealt(checkpoint(reach), homes, block)
+    gap = F.greatest(F.col("lat0") - F.col("lat"), F.col("lat") - F.col("lat1"))
+    near = (F.radians(gap) * C.EARTH_RADIUS_KM < km * MARGIN) & F.exists(
+        "points", lambda p: haversine_km(p["p_lat"], p["p_lng"], F.col("lat"), F.col("lng")) < km)
+    return reach.join(homes, [*_LEAF, "block"]).where(near).select("id", F.inline("spots"))
 
 
 def numbered_links(links: DataFrame) -> DataFrame:

@@ -95,3 +95,21 @@ def test_flags_and_stats(spark):
     assert corridors.speed_comparison(roads).count() == 12
     stats = corridors.network_stats(roads).first()
     assert tuple(stats) == (23.5, "HAL Airport Road", "HAL Airport Road (+8.5m)")
+
+
+def test_links_leave_the_join_as_they_are(spark):
+    """Rows of equal ids, places of many hotspots and leaves of many corridors: each link once, and nothing folds or shuffles the links."""
+    rng = random.Random(5)
+    roads = [road(i % 30, [(12.95 + rng.uniform(-0.02, 0.02), 77.6 + rng.uniform(-0.02, 0.02)) for _ in range(3)]) for i in range(60)]
+    roads += [("R3", None, None, 1, 1, None, 1, 1.0, None), ("R4", "x", [(None, 77.6), (12.95, 77.6), (12.95, 77.6)], 1, 1, None, 1, 1.0, None)]
+    spots = [(i, f"H{i}", 12.95 + i % 5 * 0.004, 77.6, "active") for i in range(90)] + [(95, None, 12.95, 77.6, None), (96, "H96", None, None, "active")]
+    tables = spark.createDataFrame(roads, CORRIDOR), spark.createDataFrame(spots, SPOT)
+    known = brute([(r[0], r[1], [p for p in r[2] or [] if p[0] is not None]) for r in roads], [s for s in spots if s[2] is not None], 1.0)
+    named = {s[0]: s for s in spots}
+    for sizes in ({}, {"stack": 4, "block": 3}, {"stack": 1, "block": 1, "leaf_places": 1}):
+        links = corridors.link_corridors(*tables, **sizes)
+        got = [tuple(r) for r in links.collect()]
+        assert len(got) == len(known) and {(r[0], r[1]) for r in got} == known
+        assert all((r[2], r[3]) == (named[r[1]][1], named[r[1]][4]) for r in got)
+        above, below = links._jdf.queryExecution().optimizedPlan().toString().upper().split("ATAN2", 1)
+        assert "AGGREGATE" not in above and below

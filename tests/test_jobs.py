@@ -153,6 +153,21 @@ def test_fit_on_a_bounded_sample(spark, job):
     assert approval.score_approval(model, staged).count() == staged.count()
 
 
+def test_fit_uses_all_cores(spark, monkeypatch):
+    """Rows that come in one partition, all with one id, are dealt over the cores before the fit reads them again and again."""
+    rows = spark.range(800).coalesce(1).select(
+        F.lit(7).alias("id"), F.when(F.col("id") % 3 == 0, "approved").otherwise("rejected").alias("validation_status"),
+        F.lit("v").alias("vehicle_type"), F.lit("S").alias("police_station"), F.lit("p").alias("primary_violation"),
+        (F.col("id") % 24).cast("int").alias("hour"), (F.col("id") % 7).cast("int").alias("day_of_week"), F.lit(1).alias("month"),
+        *[F.lit(1.0).alias(c) for c in ("w_size", "w_type", "w_road")])
+    monkeypatch.setattr(approval, "train_rows", approval.labelled)
+    kept = []
+    monkeypatch.setattr(approval, "checkpoint", lambda df: kept.append(df.localCheckpoint()) or kept[-1])
+    assert approval.fit_approval(rows, rounds=1) is not None
+    parts = [r["count"] for r in kept[-1].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 800 and len(parts) == spark.sparkContext.defaultParallelism and max(parts) < 400
+
+
 def test_stream_scores_with_the_compiled_model(spark, job, tmp_path):
     incoming = tmp_path / "incoming"
     incoming.mkdir()

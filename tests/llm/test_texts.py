@@ -166,6 +166,69 @@ def test_runs_of_characters(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, wanted))
 
 
+def runs_of(line, n=10):
+    return {line[k:k + n] for k in range(max(1, len(line) - n + 1))}
+
+
+def test_lines_are_signed_in_compiled_code(spark):
+    """Interpreted lambdas for every run of every line took more than half of the time; equal lines are folded before."""
+    lines = spark.range(9).selectExpr("concat('one line of some length ', id) AS line", "id AS n").groupBy("line").agg(F.min("n").alias("n"))
+    plan = line_dedup._signed(lines, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("Exchange") == 1
+
+
+def test_near_lines_share_a_band(spark):
+    """Pairs a little above the threshold: one of some hundred misses all bands."""
+    rng, rows = seeded(11), []
+    letters = "abcdefghijklmnopqrstuvwxyz éü漢😀"
+    for n in range(400):
+        line = "".join(rng.choice(letters) for _ in range(rng.choice([95, 100, 150, 190, 300])))
+        other = list(line)
+        for k in range(len(line) // 95):
+            other[95 * k + rng.randrange(40, 60)] = "#"
+        other = "".join(other)
+        share = len(runs_of(line) & runs_of(other)) / len(runs_of(line) | runs_of(other))
+        assert 0.79 < share < 0.9
+        rows += [(n, line), (n, other)]
+    signed = line_dedup._signed(spark.createDataFrame(rows, "n int, line string"), 10)
+    bands = signed.select("n", F.explode("bands").alias("band")).groupBy("n", "band").count().where("count > 1")
+    assert bands.select("n").distinct().count() >= 390
+
+
+def test_bitmaps_refuse_no_pair_that_links(spark):
+    """Of pairs that link none is refused; most of those that share half or less are."""
+    rng, rows = seeded(12), []
+    for n in range(800):
+        line = "".join(rng.choice("abcdeé漢😀 ") for _ in range(rng.choice([4, 10, 20, 25, 60, 200, 900])))
+        cut = rng.randrange(1, max(2, len(line) // rng.choice([2, 8, 15])))
+        other = rng.choice([line[cut:], line[:-cut] + "x" * cut, line + line[:cut], line, "x" + line[1:]])
+        rows.append((n, line, other))
+    sides = [line_dedup._with_bits(spark.createDataFrame([(r[0], r[k]) for r in rows], "id int, line string"), 10).select(
+        "id", F.struct("bits", "runs").alias(f"s{k}")) for k in (1, 2)]
+    may = {r.id: r.may for r in sides[0].join(sides[1], "id").select("id", line_dedup._may_link(F.col("s1"), F.col("s2"), 80).alias("may")).collect()}
+    share = {n: len(runs_of(a) & runs_of(b)) / len(runs_of(a) | runs_of(b)) for n, a, b in rows}
+    assert len(may) == 800 and all(may[n] for n in may if share[n] >= 0.8)
+    half = [n for n in may if share[n] <= 0.5 and 50 <= len(rows[n][1]) < 500]
+    assert len(half) > 10 and sum(may[n] for n in half) < 0.2 * len(half)
+
+
+def test_lines_with_few_and_many_runs(spark):
+    """Lines around the number of runs that one row hashes, over several partitions: their bands only follow from their runs."""
+    texts = ["é" + "abc de" * k + "xyz"[: k % 4] for k in range(2, 20)]
+    texts += [t + t for t in ("0123456789" * 4, "漢字かな" * 9)]
+    frame = spark.createDataFrame([(t,) for t in texts], "line string")
+    first = {r.line: r.bands for r in line_dedup._signed(frame, 10).collect()}
+    marks = line_dedup.MARKS
+    wanted = {}
+    for t in texts:
+        hashes = [r.h for r in spark.createDataFrame([(x.encode("utf-32-be"),) for x in runs_of(t)], "x binary").select(F.xxhash64("x").alias("h")).collect()]
+        least = [min((h ^ m) for h in hashes) for m in marks]
+        wanted[t] = least
+    rows = spark.createDataFrame(list(wanted.items()), "line string, m array<long>")
+    bands = [F.xxhash64(F.lit(n), *[F.get("m", F.lit(n + 8 * k)) for k in range(3)]) for n in range(8)]
+    assert {r.line: r.bands for r in rows.select("line", F.array(*bands).alias("bands")).collect()} == first
+
+
 def test_other_columns_stay(spark):
     rows = awkward_documents(seeded(6), 10)
     df = documents(spark, rows, ("row", "_id", "_version", "_starts", "gone"))
